@@ -6,20 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, toxicity
+from . import language, ogg, quality, toxicity
 from .common import documents, labels
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op2(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.op3(documents(spark, sf_dir))
 
 
+def op4_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ogg.op4(documents(spark, sf_dir))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op8(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_language_id, op8_toxicity)}
+    return {f.__name__: f for f in (op2_quality, op3_language_id, op4_ogg, op8_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
