@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, ogg, quality, toxicity
+from . import language, mixing, ogg, quality, toxicity
 from .common import documents, labels
 
 
@@ -26,8 +26,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op8(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.op9(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality, op3_language_id, op4_ogg, op8_toxicity)}
+    return {f.__name__: f for f in (op2_quality, op3_language_id, op4_ogg, op8_toxicity, op9_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
