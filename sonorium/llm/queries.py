@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, mixing, ogg, quality, rules, toxicity
+from . import classlm, language, mixing, ogg, quality, rules, toxicity
 from .common import documents, labels
 
 
@@ -22,6 +22,10 @@ def op4_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.op4(documents(spark, sf_dir))
 
 
+def op6_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classlm.op6(documents(spark, sf_dir))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.op7(documents(spark, sf_dir))
 
@@ -35,7 +39,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality, op3_language_id, op4_ogg, op7_quality_rules, op8_toxicity, op9_mixing)}
+    return {f.__name__: f for f in (op2_quality, op3_language_id, op4_ogg, op6_class_lm, op7_quality_rules, op8_toxicity, op9_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
