@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classlm, language, mixing, ogg, quality, rules, toxicity
+from . import classlm, language, lines, mixing, ogg, quality, rules, toxicity
 from .common import documents, labels
 
 
@@ -38,8 +38,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op9(documents(spark, sf_dir))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.op10(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality, op3_language_id, op4_ogg, op6_class_lm, op7_quality_rules, op8_toxicity, op9_mixing)}
+    return {f.__name__: f for f in (op2_quality, op3_language_id, op4_ogg, op6_class_lm, op7_quality_rules, op8_toxicity, op9_mixing, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
