@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classlm, language, lines, mixing, ogg, quality, rules, toxicity
+from . import classlm, language, lines, mixing, neardup, ogg, quality, rules, toxicity
 from .common import documents, labels
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.op1(documents(spark, sf_dir))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op2(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -43,7 +47,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality, op3_language_id, op4_ogg, op6_class_lm, op7_quality_rules, op8_toxicity, op9_mixing, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_quality, op3_language_id, op4_ogg, op6_class_lm, op7_quality_rules, op8_toxicity, op9_mixing, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
