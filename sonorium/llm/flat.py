@@ -115,14 +115,25 @@ class Words:
         return span_hash(LOWER[self.data] if lower else self.data, self.start, self.end)
 
 
-def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range."""
-    up, down = _power(len(data) + 1)
+def prefix(data: np.ndarray) -> np.ndarray:
+    """Sums from which prefix_hash tells the hash of any byte range."""
+    up, _ = _power(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
+    return sums
+
+
+def prefix_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte range, from the sums of prefix()."""
+    _, down = _power(len(sums))
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte range."""
+    return prefix_hash(prefix(data), start, end)
+
+
 def runs(hashes: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of n words in a row, and the index at which each begins."""
     if len(hashes) < n:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import labelled_sample, remainder
-from .flat import LOWER, Lookup, Words, buffer, mix, slices, span_hash
+from .flat import LOWER, Words, buffer, mix, prefix, prefix_hash, slices, span_hash
 
 #: Features are hashed to so many bits.
 BITS = 22
@@ -40,28 +40,38 @@ _EDGE = np.zeros(256, bool)
 _EDGE[list(b".,;:!?\"'()[]{}<>*#$%&|-_")] = True
 
 
-def features(texts: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed features and their rows; each at most once in a row, sorted by row."""
+def grams(texts: pa.Array, bits: int = BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashed features and their rows, kind by kind, with repeats."""
     words = Words(*buffer(texts))
-    start, end = words.start.copy(), words.end.copy()
+    data, start, end, row = words.data, words.start.copy(), words.end.copy(), words.row
+    if not len(start):
+        return
     for _ in range(4):  # up to four signs on either edge; a word of signs alone keeps one
-        start += _EDGE[words.data[start]] & (end - start > 1) if len(start) else 0
-        end -= _EDGE[words.data[end - 1]] & (end - start > 1) if len(end) else 0
-    words.start, words.end = start, end
-    h = words.hashes(lower=True)
-    keys, rows = [h], [words.row]
-    low = LOWER[words.data]
+        start += _EDGE[data[start]] & (end - start > 1)
+        end -= _EDGE[data[end - 1]] & (end - start > 1)
+    low, mask = LOWER[data], np.uint64((1 << bits) - 1)
+    h = span_hash(low, start, end)
+    yield (h & mask).astype(np.int64), row
+    sums = prefix(low)
     for n in STEMS:
         at = np.flatnonzero(end - start >= n)
-        keys.append(mix(span_hash(low, start[at], start[at] + n) + np.uint64(n)))
-        rows.append(words.row[at])
+        yield ((prefix_hash(sums, start[at], start[at] + n) + np.uint64(n)) & mask).astype(np.int64), row[at]
     for gap in (1, 2):
-        at = np.flatnonzero(words.row[:-gap] == words.row[gap:]) if len(h) > gap else np.zeros(0, np.int64)
-        keys.append(mix(h[at] * np.uint64(0x9E3779B97F4A7C15 + 2 * gap) + h[at + gap] + np.uint64(gap)))
-        rows.append(words.row[at])
-    key = np.concatenate(keys) & np.uint64((1 << bits) - 1)
-    both = np.unique((np.concatenate(rows).astype(np.uint64) << np.uint64(bits)) | key)
-    return (both & np.uint64((1 << bits) - 1)).astype(np.int64), (both >> np.uint64(bits)).astype(np.int64)
+        at = np.flatnonzero(row[:-gap] == row[gap:])
+        yield (mix(h[at] * np.uint64(0x9E3779B97F4A7C15 + 2 * gap) + h[at + gap]) & mask).astype(np.int64), row[at]
+
+
+def features(texts: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features and their rows; each at most once in a row, sorted by row."""
+    return _distinct(list(grams(texts, bits)), bits)
+
+
+def _distinct(parts: list[tuple[np.ndarray, np.ndarray]], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    key, row = (np.concatenate(x) for x in zip(*parts, strict=True))
+    both = np.unique((row << bits) | key)
+    return both & ((1 << bits) - 1), both >> bits
 
 
 class Ftrl:
@@ -87,16 +97,29 @@ class Ftrl:
 
 
 class Model:
-    """The weights that are not zero, the bias, and the prior of a text without words."""
+    """The weights that are not zero, by feature, and the bias.
+
+    Sent as two arrays of that many entries; a process that scores spreads them
+    over the hash space once.
+    """
 
     def __init__(self, keys: np.ndarray, weights: np.ndarray, bias: float, bits: int = BITS):
-        self.table, self.bias, self.bits = Lookup(keys, weights), bias, bits
+        self.keys, self.weights, self.bias, self.bits = keys.astype(np.int32), weights, bias, bits
+        self._table: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_table": None}
 
     def score(self, texts: pa.Array) -> np.ndarray:
-        key, row = features(texts, self.bits)
-        at = self.table.find(key)
-        w = self.table.values[0]
-        total = np.bincount(row[at >= 0], w[at[at >= 0]], len(texts)) + self.bias
+        if self._table is None:
+            self._table = np.zeros(1 << self.bits, np.float32)
+            self._table[self.keys] = self.weights
+        parts = []
+        for key, row in grams(texts, self.bits):
+            some = np.flatnonzero(self._table[key])
+            parts.append((key[some], row[some]))
+        key, row = _distinct(parts, self.bits)
+        total = np.bincount(row, self._table[key], len(texts)) + self.bias
         return 1 / (1 + np.exp(-np.clip(total, -35, 35)))
 
 
