@@ -34,7 +34,7 @@ from .common import written
 from .flat import Words, buffer, mix, runs, slices
 
 WORDS, SIMILARITY = 5, 0.8
-FEATURES, IDF = 1 << 20, 0.5
+FEATURES, IDF = 1 << 20, 0.25
 BINS, BAND = 64, 4
 HUB_ROUNDS = 3
 #: Counters in a row while document frequencies are summed.
