@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classlm, language, lines, mixing, neardup, ogg, quality, rules, toxicity
+from . import classlm, language, lines, mixing, neardup, ogg, pieces, quality, rules, toxicity
 from .common import documents, labels
 
 
@@ -26,6 +26,10 @@ def op4_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.op4(documents(spark, sf_dir))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.op5(documents(spark, sf_dir))
+
+
 def op6_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classlm.op6(documents(spark, sf_dir))
 
@@ -47,7 +51,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_quality, op3_language_id, op4_ogg, op6_class_lm, op7_quality_rules, op8_toxicity, op9_mixing, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_quality, op3_language_id, op4_ogg, op5_sentencepiece, op6_class_lm, op7_quality_rules, op8_toxicity, op9_mixing, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
