@@ -8,23 +8,27 @@ pseudorandom permutation of the source's block indexes names: a swap-or-not
 shuffle, which is a bijection for any number of blocks and needs no table.  Slots
 and blocks meet in an equi-join on the index.
 
-Everything runs on the JVM.  Positions within a source come from two sums, within
-buckets of documents and over the buckets' totals, so a source with a third of
-all rows is spread as any other.  On the driver are one row per source and one
+Everything but the cutting of texts runs on the JVM.  Positions within a source
+come from two sums, within buckets of documents and over the buckets' totals; a
+source has as many buckets as the square root of all rows, so both sums are over
+few rows even for a source with a third of them.  On the driver are one row per source and one
 per shard and source, with at most `MOST_SHARDS` shards.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, written
+from .flat import Words, buffer, slices
 
 #: Words in a block, slots in a shard, shards at most, rounds of the permutation.
 BLOCK, SHARD_SLOTS, MOST_SHARDS, ROUNDS = 64, 1 << 16, 1024, 6
@@ -133,12 +137,15 @@ class Mix:
     rows: _row (a number of the row), doc_id, source, size.  Rows with the same id
     stay apart; equal rows are interchangeable.  Null and empty texts have size 0
     and are in no block; an empty table gives empty results.
+
+    row: the column that numbers the rows, where they are numbered already.
     """
 
-    def __init__(self, docs: DataFrame, seed: int = SEED):
+    def __init__(self, docs: DataFrame, seed: int = SEED, row: str | None = None):
         spark = docs.sparkSession
+        number = F.col(row) if row else F.monotonically_increasing_id()
         # The number of a row must be the same when a lost task is done again: it is written before it is used.
-        self.rows = written(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")).withColumn("_row", F.monotonically_increasing_id()))
+        self.rows = written(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), number.alias("_row")))
         found = self.rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
         self.sources = sources({r["source"]: r["size"] for r in found})
         # A local relation tells its size, so that Spark broadcasts it when it is small and only then.
@@ -191,6 +198,39 @@ class Mix:
         return both.where(F.col("_words") > 0).select("_row", "_shard", "_slot", "_pass", "_from", "_words")
 
 
+def texts(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """The mix of docs itself, with the columns of docs: a row for each document and pass over its source that takes any of its words.
+
+    text has the words taken in their order, with what stood between neighbours;
+    line feeds join parts that were apart.  n_chars, where there is such a column,
+    is that of the new text.
+    """
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()))
+    parts = Mix(rows, seed, "_row").takes().groupBy("_row", "_pass").agg(F.sort_array(F.collect_list(F.struct("_from", "_words"))).alias("_parts"))
+    names, schema = docs.columns, docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            words = Words(*buffer(batch["text"]))
+            data = words.data.tobytes()
+            out = []
+            for first, own in zip(words.first[:-1].tolist(), batch["_parts"].to_pylist(), strict=True):
+                spans: list[list[int]] = []
+                for x in own:
+                    a, b = first + x["_from"], first + x["_from"] + x["_words"]
+                    if spans and spans[-1][1] == a:
+                        spans[-1][1] = b
+                    else:
+                        spans.append([a, b])
+                out.append(b"\n".join(data[words.start[a] : words.end[b - 1]] for a, b in spans).decode())
+            new = {"text": pa.array(out, pa.string())}
+            if "n_chars" in names:
+                new["n_chars"] = pc.utf8_length(new["text"])
+            yield pa.RecordBatch.from_arrays([new[k].cast(batch[k].type) if k in new else batch[k] for k in names], names)
+
+    return rows.join(parts, "_row").select(*names, "_parts").mapInArrow(run, schema)
+
+
 def op9(docs: DataFrame) -> DataFrame:
     """The contract's result: doc_id, size, source_size, target, taken for every document."""
     mix = Mix(docs)
