@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import ceil
+from math import ceil, isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +34,8 @@ from .flat import Words, buffer, slices
 BLOCK, SHARD_SLOTS, MOST_SHARDS, ROUNDS = 64, 1 << 16, 1024, 6
 #: The mix: weights of the sources in order, repeating; share of all words; how often a source may be taken.
 WEIGHTS, SHARE, MOST_TIMES = (5, 2, 1), 1.5, 2.0
-#: Documents in a bucket, and slots in a range that one row expands to.
-BUCKET_ROWS, RANGE = 4_000, 1 << 14
+#: Slots in a range that one row expands to.
+RANGE = 1 << 14
 SEED = 7
 
 
@@ -156,7 +156,7 @@ class Mix:
                 | {"_words": pa.array([x.words for x in own], pa.int64()), "_full": pa.array([x.full for x in own], pa.int64()), "_blocks": pa.array([x.blocks for x in own], pa.int64())}
             )
         )
-        self.buckets = max(16, -(-sum(r["n"] for r in found) // BUCKET_ROWS))
+        self.buckets = max(16, isqrt(sum(r["n"] for r in found)))
         self.dealt = shards([s.slots for s in self.sources], seed)
         self.seed = seed
 
