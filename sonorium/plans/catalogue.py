@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
+from ..operators import align, intervals, mos, pairing, sampling, stats
+from ..sources import audio
+
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
@@ -42,6 +46,523 @@ def summary_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _flag_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean price of each part by return flag: (l_orderkey, l_linenumber) is no key, so rows are aggregated first."""
+    return table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_returnflag").agg(F.avg("l_extendedprice").alias("price"))
+
+
+_WIDE = """SELECT l_partkey, avg(l_extendedprice) FILTER (l_returnflag = 'A') AS a, avg(l_extendedprice) FILTER (l_returnflag = 'N') AS n, avg(l_extendedprice) FILTER (l_returnflag = 'R') AS r
+    FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_returnflag) = 3"""
+
+
+def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = pairing.pair_all(_flag_prices(spark, sf_dir), ["l_partkey"], "l_returnflag", ["A", "N", "R"], "price")
+    return wide.select("l_partkey", F.col("A").alias("a"), F.col("N").alias("n"), F.col("R").alias("r"))
+
+
+@query("paired_wide", f"SELECT l_partkey, round(a, 6) AS a, round(n, 6) AS n, round(r, 6) AS r FROM ({_WIDE})")
+def paired_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _wide(spark, sf_dir).select("l_partkey", *(F.round(c, 6).alias(c) for c in "anr"))
+
+
+_LONG = f"SELECT l_partkey, 'A' AS f, a AS v FROM ({_WIDE}) UNION ALL SELECT l_partkey, 'N', n FROM ({_WIDE}) UNION ALL SELECT l_partkey, 'R', r FROM ({_WIDE})"
+
+
+@query(
+    "friedman_by_part",
+    f"""WITH l AS ({_LONG}), k AS (SELECT f, rank() OVER (PARTITION BY l_partkey ORDER BY v) + (count(*) OVER (PARTITION BY l_partkey, v) - 1) / 2.0::DOUBLE AS r, count(*) OVER (PARTITION BY l_partkey, v) AS t FROM l),
+    s AS (SELECT f, sum(r) AS s, count(*) AS n, sum(t * t - 1.0::DOUBLE) AS t FROM k GROUP BY f),
+    c AS (SELECT max(n)::DOUBLE AS n, sum(s * s) AS ss, sum(t) AS t FROM s)
+    SELECT n::BIGINT AS n, 3::BIGINT AS k, round(chi, 6) AS chi2, round(exp(-chi / 2), 8) AS p FROM (SELECT n, (12.0::DOUBLE / (n * 12) * ss - 12 * n) / (1 - t / (n * 24)) AS chi FROM c)""",
+)
+def friedman_by_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _wide(spark, sf_dir).unpivot(["l_partkey"], ["a", "n", "r"], "f", "v")
+    return stats.friedman(rows, [], ["l_partkey"], "f", "v").select("n", "k", F.round("chi2", 6).alias("chi2"), F.round("p", 8).alias("p"))
+
+
+def _erfc_sql(z: str) -> str:
+    """The rational erfc of stats.erfc in SQL, for a column expression that is not negative."""
+    t, p = f"(1.0::DOUBLE / (1.0::DOUBLE + 0.5::DOUBLE * {z}))", f"{stats.ERFC[-1]}::DOUBLE"
+    for c in reversed(stats.ERFC[:-1]):
+        p = f"({c}::DOUBLE + {t} * {p})"
+    return f"({t} * exp(-{z} * {z} + {p}))"
+
+
+_PAIRS = f"SELECT 'A-N' AS pair, a - n AS d FROM ({_WIDE}) UNION ALL SELECT 'A-R', a - r FROM ({_WIDE}) UNION ALL SELECT 'N-R', n - r FROM ({_WIDE})"
+
+
+def _wilcoxon_sql(rows: str, by: str) -> str:
+    """n, w, z, p and rank_biserial of rows (by, d)."""
+    return f"""SELECT {by}, n, w, z, least(1.0::DOUBLE, {_erfc_sql("za")}) AS p, rb FROM (SELECT *, abs(z) / sqrt(2.0::DOUBLE) AS za FROM (
+    SELECT {by}, n, least(up, down) AS w, (least(up, down) - n * (n + 1) / 4.0::DOUBLE) / sqrt(n::DOUBLE * (n + 1) * (2 * n + 1) / 24.0::DOUBLE - ties / 48.0::DOUBLE) AS z, (up - down) / (up + down) AS rb FROM (
+    SELECT {by}, count(*) AS n, coalesce(sum(r) FILTER (d > 0), 0) AS up, coalesce(sum(r) FILTER (d < 0), 0) AS down, sum(t * t - 1.0::DOUBLE) AS ties FROM (
+    SELECT {by}, d, rank() OVER (PARTITION BY {by} ORDER BY abs(d)) + (count(*) OVER (PARTITION BY {by}, abs(d)) - 1) / 2.0::DOUBLE AS r, count(*) OVER (PARTITION BY {by}, abs(d)) AS t FROM ({rows}) WHERE d <> 0) GROUP BY {by})))"""
+
+
+def _flag_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = F.explode(F.array(*(F.struct(F.lit(f"{x.upper()}-{y.upper()}").alias("pair"), (F.col(x) - F.col(y)).alias("d")) for x, y in (("a", "n"), ("a", "r"), ("n", "r"))))).alias("x")
+    return _wide(spark, sf_dir).select(pairs).select("x.*")
+
+
+@query("wilcoxon_flags", f"SELECT pair, n, round(w, 2) AS w, round(z, 6) AS z, round(p, 6) AS p, round(rb, 6) AS rank_biserial FROM ({_wilcoxon_sql(_PAIRS, 'pair')})")
+def wilcoxon_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = stats.wilcoxon(_flag_pairs(spark, sf_dir), ["pair"], "d")
+    return t.select("pair", "n", F.round("w", 2).alias("w"), F.round("z", 6).alias("z"), F.round("p", 6).alias("p"), F.round("rank_biserial", 6).alias("rank_biserial"))
+
+
+@query(
+    "holm_flags",
+    f"""SELECT pair, round(p, 6) AS p, round(max(least(1.0::DOUBLE, p * (3 - i + 1))) OVER (ORDER BY p, pair), 6) AS p_holm
+    FROM (SELECT pair, p, row_number() OVER (ORDER BY p, pair) AS i FROM ({_wilcoxon_sql(_PAIRS, "pair")}))""",
+)
+def holm_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = stats.wilcoxon(_flag_pairs(spark, sf_dir), ["pair"], "d").select("pair", "p", F.lit(0).alias("family"))
+    return stats.holm(t, ["family"], "p").select("pair", F.round("p", 6).alias("p"), F.round("p_holm", 6).alias("p_holm"))
+
+
+@query(
+    "mwu_vs_baseline",
+    """WITH e AS (SELECT o.t, e.value AS v, e.event_type = 'view' AS a FROM events e, (SELECT DISTINCT event_type AS t FROM events WHERE event_type <> 'view') o WHERE e.event_type IN ('view', o.t)),
+    k AS (SELECT *, rank() OVER (PARTITION BY t ORDER BY v) + (count(*) OVER (PARTITION BY t, v) - 1) / 2.0::DOUBLE AS r FROM e)
+    SELECT t AS event_type, count(*) FILTER (a) AS n1, count(*) FILTER (NOT a) AS n2, round(sum(r) FILTER (a) - count(*) FILTER (a) * (count(*) FILTER (a) + 1) / 2.0::DOUBLE, 2) AS u,
+    round(2 * (sum(r) FILTER (a) - count(*) FILTER (a) * (count(*) FILTER (a) + 1) / 2.0::DOUBLE) / (count(*) FILTER (a) * count(*) FILTER (NOT a)) - 1, 8) AS effect,
+    round(median(v) FILTER (a) - median(v) FILTER (NOT a), 6) AS median_diff FROM k GROUP BY t""",
+)
+def mwu_vs_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    others = e.where("event_type <> 'view'").select("event_type", "value", F.lit(False).alias("a"))
+    kinds = others.select("event_type").distinct()
+    base = e.where("event_type = 'view'").select("value", F.lit(True).alias("a"))
+    both = others.unionByName(kinds.crossJoin(base))  # the baseline once for each of a few kinds
+    t = stats.mann_whitney(both, ["event_type"], "value", F.col("a"))
+    return t.select("event_type", "n1", "n2", F.round("u", 2).alias("u"), F.round("effect", 8).alias("effect"), F.round("median_diff", 6).alias("median_diff"))
+
+
+@query(
+    "one_sample_vs_scalar",
+    f"""SELECT n, round(w, 2) AS w, round(z, 6) AS z, round(rb, 6) AS rank_biserial FROM ({_wilcoxon_sql("SELECT 1 AS one, round(avg(l_extendedprice) - (SELECT avg(l_extendedprice) FROM lineitem), 6) AS d FROM lineitem GROUP BY l_partkey", "one")})""",
+)
+def one_sample_vs_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem")
+    mean = rows.agg(F.avg("l_extendedprice").alias("m"))
+    parts = rows.groupBy("l_partkey").agg(F.avg("l_extendedprice").alias("v")).crossJoin(F.broadcast(mean))  # one row
+    t = stats.wilcoxon(parts.select(F.lit(1).alias("one"), F.round(F.col("v") - F.col("m"), 6).alias("d")), ["one"], "d")
+    return t.select("n", F.round("w", 2).alias("w"), F.round("z", 6).alias("z"), F.round("rank_biserial", 6).alias("rank_biserial"))
+
+
+@query("token_first", "SELECT user_id, event_type, arg_min(value, (ts, event_id)) AS first_value, count(*) AS n FROM events GROUP BY user_id, event_type")
+def token_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.groupBy("user_id", "event_type").agg(F.min_by("value", F.struct("ts", "event_id")).alias("first_value"), F.count("*").alias("n"))
+
+
+@query(
+    "ordinal_in_bucket",
+    """SELECT l_orderkey, l_returnflag, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity,
+    (row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) - 1)::INTEGER AS in_word_index FROM lineitem""",
+)
+def ordinal_in_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
+    return pairing.ordinal(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", *order), ["l_orderkey", "l_returnflag"], order)
+
+
+_LABELS = "['AE1', 'ay0', 'ay01', 'IY2', ' *HR ', 'sil', 'T', 'ow', 'UW1', '@']"
+_ALLOPHONE_SQL = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in text.ALLOPHONES.items()) + "}"
+
+
+@query(
+    "label_map",
+    f"""SELECT p_partkey, label, coalesce(m[lower(trim(label))], m[regexp_replace(lower(trim(label)), '^(.+)[0-9]$', '\\1')]) AS phoneme
+    FROM (SELECT p_partkey, {_LABELS}[p_partkey % 10 + 1] AS label, {_ALLOPHONE_SQL} AS m FROM part)""",
+)
+def label_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = F.array(*(F.lit(x.strip("'")) for x in _LABELS.strip("[]").split(", ")))
+    return table(spark, sf_dir, "part").select("p_partkey", F.get(labels, (F.col("p_partkey") % 10).cast("int")).alias("label")).withColumn("phoneme", text.phoneme("label"))
+
+
+@query(
+    "recording_key",
+    r"""SELECT l_orderkey, l_linenumber, key, regexp_extract(key, '(?:^|[^0-9])([0-9]+_[0-9]+)$', 1) AS stimulus, greatest(a, b) AS max_sentence, b AS trailing FROM (
+    SELECT *, split_part(regexp_extract(key, '([0-9]+_[0-9]+)$', 1), '_', 1)::BIGINT AS a, regexp_extract(key, '([0-9]+)$', 1)::BIGINT AS b FROM (
+    SELECT DISTINCT l_orderkey, l_linenumber, lower('corpus_s' || l_linenumber || '_' || l_orderkey || '_' || (l_orderkey + l_linenumber)) AS key FROM lineitem))""",
+)
+def recording_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat(F.lit("/data/x/Corpus_MRI_S"), F.col("l_linenumber"), F.lit("_"), F.col("l_orderkey"), F.lit("_"), F.col("l_orderkey") + F.col("l_linenumber"), F.lit("_tracks.csv"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", text.recording_key(path).alias("key")).distinct()
+    return rows.select("*", text.stimulus("key").alias("stimulus"), text.max_sentence("key").alias("max_sentence"), text.trailing_number("key").alias("trailing"))
+
+
+@query(
+    "range_expand",
+    "SELECT o_orderkey, unnest(range(least(a, b), greatest(a, b) + 1)) AS sid FROM (SELECT o_orderkey, o_orderkey % 50 AS a, o_orderkey % 50 + o_orderkey % 7 - 3 AS b FROM orders) WHERE b >= 0",
+)
+def range_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = F.col("o_orderkey") % 50
+    key = F.concat_ws("_", a, a + F.col("o_orderkey") % 7 - 3)
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.explode(text.expand_range(key)).alias("sid"))
+
+
+@query("inventory_filter", "SELECT o_orderkey % 60 AS file, count(*) AS n FROM orders WHERE o_orderkey % 60 <= 37 AND o_orderkey % 60 NOT IN (15, 21) GROUP BY 1")
+def inventory_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").withColumn("file", F.col("o_orderkey") % 60)
+    return rows.where(text.within_inventory(F.concat(F.lit("rec_s1_"), F.col("file")))).groupBy("file").agg(F.count("*").alias("n"))
+
+
+_RATINGS = """SELECT event_id, user_id AS rater, event_type AS condition, CASE WHEN user_id % 2 = 0 THEN 'raw' ELSE 'dsp' END AS base, date_trunc('day', ts)::DATE AS item,
+    (regexp_extract(props, '([0-9]+)', 1)::INTEGER % 5 + 1)::DOUBLE AS "OVRL", (regexp_extract(props, '([0-9]+)', 1)::INTEGER // 5 % 5 + 1)::DOUBLE AS "SIG" FROM events"""
+
+
+def _ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as ratings: the JSON property makes two scales, the type is the condition, the day the item."""
+    k = F.from_json("props", "k int")["k"]
+    base = F.when(F.col("user_id") % 2 == 0, "raw").otherwise("dsp")
+    return table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("rater"), F.col("event_type").alias("condition"), base.alias("base"), F.to_date("ts").alias("item"), (k % 5 + 1).cast("double").alias("OVRL"), (F.floor(k / 5) % 5 + 1).cast("double").alias("SIG"))
+
+
+@query(
+    "mos_condition_table",
+    f"""SELECT condition, base, dim, round_even(avg(v), 3) AS mean, round_even(stddev_samp(v), 3) AS std, count(v) AS n, round_even(1.96::DOUBLE * stddev_samp(v) / sqrt(count(v)), 3) AS ci95
+    FROM (SELECT condition, base, 'SIG' AS dim, "SIG" AS v FROM ({_RATINGS}) UNION ALL SELECT condition, base, 'OVRL', "OVRL" FROM ({_RATINGS})) GROUP BY condition, base, dim""",
+)
+def mos_condition_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mos.condition_table(_ratings(spark, sf_dir), ("SIG", "OVRL"))
+
+
+@query(
+    "mos_headline",
+    "SELECT condition, " + ", ".join(f"""printf('%.2f (%.2f)', round_even(avg("{d}") FILTER (base = '{b}'), 3), round_even(stddev_samp("{d}") FILTER (base = '{b}'), 3)) AS "{d}_{b}\"""" for d in ("SIG", "OVRL") for b in ("raw", "dsp")) + f" FROM ({_RATINGS}) GROUP BY condition",
+)
+def mos_headline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mos.headline(mos.condition_table(_ratings(spark, sf_dir), ("SIG", "OVRL")), ("SIG", "OVRL"))
+
+
+@query(
+    "rater_qc",
+    f"""WITH r AS (SELECT *, CASE condition WHEN 'view' THEN '>=3' WHEN 'error' THEN '<=2' END AS e FROM ({_RATINGS})),
+    g AS (SELECT rater, count(*) AS n, count(*) FILTER (CASE WHEN e = '>=3' THEN "OVRL" < 3 ELSE "OVRL" > 2 END) AS f FROM r WHERE e IS NOT NULL GROUP BY rater),
+    a AS (SELECT rater, arg_min(event_id % 3, event_id) AS c FROM r GROUP BY rater)
+    SELECT a.rater, coalesce(n, 0) AS gold_items, coalesce(f, 0) AS gold_fails, round(coalesce(f::DOUBLE / n, 0), 6) AS gold_fail_rate, c = 2 AS attention_fail, coalesce(f::DOUBLE / n, 0) > 0.5 OR c = 2 AS flagged FROM a LEFT JOIN g USING (rater)""",
+)
+def rater_qc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gold = F.when(F.col("condition") == "view", "gold_high").when(F.col("condition") == "error", "gold_low").otherwise("experimental")
+    rule = F.when(F.col("condition") == "view", ">=3").when(F.col("condition") == "error", "<=2").otherwise("")
+    check = F.get(F.array(F.lit("quality"), F.lit(""), F.lit("accent")), (F.col("event_id") % 3).cast("int"))
+    rows = _ratings(spark, sf_dir).withColumns({"role": gold, "expected_overall": rule, "finalCheck": check})
+    return mos.rater_checks(rows, ["event_id"]).withColumn("gold_fail_rate", F.round("gold_fail_rate", 6))
+
+
+@query(
+    "krippendorff_ordinal",
+    f"""WITH u AS (SELECT item, "OVRL" AS v, count(*)::DOUBLE AS n FROM ({_RATINGS}) GROUP BY 1, 2), m AS (SELECT *, sum(n) OVER (PARTITION BY item) AS m FROM u), k AS (SELECT * FROM m WHERE m >= 2),
+    o AS (SELECT a.v AS c, b.v AS k, sum(a.n * (b.n - (a.v = b.v)::INTEGER) / (a.m - 1)) AS o FROM k a JOIN k b USING (item) GROUP BY 1, 2),
+    t AS (SELECT v, sum(n) AS n FROM k GROUP BY v), x AS (SELECT v, n, sum(n) OVER () AS total, sum(n) OVER (ORDER BY v) - n / 2 AS mid FROM t),
+    d AS (SELECT a.v AS c, b.v AS k, a.n * b.n AS e, a.total AS total, (a.mid - b.mid) ** 2 AS d FROM x a, x b)
+    SELECT (SELECT count(DISTINCT item) FROM k) AS n_units, (SELECT count(*) FROM t) AS n_values, round(1 - (sum(coalesce(o, 0) * d) / max(total)) / (sum(e * d) / (max(total) * (max(total) - 1))), 8) AS alpha FROM d LEFT JOIN o USING (c, k)""",
+)
+def krippendorff_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.krippendorff(_ratings(spark, sf_dir), [], "item", "OVRL").withColumn("alpha", F.round("alpha", 8))
+
+
+@query("mean_item_sd", f"""SELECT round(avg(s), 8) AS mean_item_sd, count(s) AS n FROM (SELECT stddev_samp("OVRL") AS s FROM ({_RATINGS}) GROUP BY item)""")
+def mean_item_sd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _ratings(spark, sf_dir).groupBy("item").agg(F.stddev_samp("OVRL").alias("s"))
+    return items.agg(F.round(F.avg("s"), 8).alias("mean_item_sd"), F.count("s").alias("n"))
+
+
+@query(
+    "fileset_diff",
+    """WITH s AS (SELECT l_partkey, bool_or(l_returnflag = 'A' AND l_shipdate < '1996-01-01') AS a, bool_or(l_returnflag = 'N' AND l_shipdate < '1996-06-01') AS n, bool_or(l_returnflag = 'R' AND l_shipdate < '1996-01-01') AS r FROM lineitem GROUP BY l_partkey), t AS (SELECT * FROM s WHERE a OR n OR r)
+    SELECT count(*) FILTER (a AND n AND r) AS n_all, count(*) AS n_any, bool_and(a AND n AND r) AS equal, count(*) FILTER (a AND NOT n AND NOT r) AS only_A, count(*) FILTER (n AND NOT a AND NOT r) AS only_N, count(*) FILTER (r AND NOT a AND NOT n) AS only_R FROM t""",
+)
+def fileset_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairing.set_counts(_file_sets(spark, sf_dir), [], "l_returnflag", "l_partkey", ["A", "N", "R"])
+
+
+def _file_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound = F.when(F.col("l_returnflag") == "N", F.lit("1996-06-01")).otherwise(F.lit("1996-01-01")).cast("timestamp_ntz")
+    return table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") < bound).select("l_returnflag", "l_partkey")
+
+
+@query(
+    "three_way_intersect",
+    """SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' AND l_shipdate < '1996-01-01' INTERSECT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'N' AND l_shipdate < '1996-06-01'
+    INTERSECT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_shipdate < '1996-01-01'""",
+)
+def three_way_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairing.in_all(_file_sets(spark, sf_dir), ["l_partkey"], "l_returnflag", 3)
+
+
+@query(
+    "orphans",
+    """WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders), b AS (SELECT c_custkey AS k FROM customer WHERE c_acctbal > 0)
+    SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'right_only' WHEN b.k IS NULL THEN 'left_only' ELSE 'pair' END AS side FROM a FULL JOIN b ON a.k = b.k""",
+)
+def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"))
+    b = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("k"))
+    return pairing.orphans(a, b, ["k"])
+
+
+@query(
+    "listing",
+    """SELECT c_nationkey, array_to_string(list_sort(list(DISTINCT c_mktsegment || c_custkey % 3))[1:5], ', ') || CASE WHEN count(DISTINCT c_mktsegment || c_custkey % 3) > 5 THEN ' +' || (count(DISTINCT c_mktsegment || c_custkey % 3) - 5) || ' more' ELSE '' END AS listed
+    FROM customer GROUP BY c_nationkey""",
+)
+def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").select("c_nationkey", F.concat("c_mktsegment", F.col("c_custkey") % 3).alias("name"))
+    return pairing.listing(rows, ["c_nationkey"], "name")
+
+
+@query("exists_all_cells", "SELECT user_id FROM events GROUP BY user_id HAVING count(DISTINCT event_type) = (SELECT count(DISTINCT event_type) FROM events)")
+def exists_all_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    kinds = e.select("event_type").distinct().count()
+    return pairing.in_all(e, ["user_id"], "event_type", kinds)
+
+
+@query(
+    "exclusion_reason",
+    """WITH t AS (SELECT o_custkey AS rec, o_orderstatus AS slot, o_orderpriority AS ph, o_orderkey % 3 AS c, row_number() OVER (PARTITION BY o_custkey, o_orderstatus, o_orderpriority, o_orderkey % 3 ORDER BY o_orderkey) - 1 AS i FROM orders),
+    r AS (SELECT rec, slot, ph, i FROM t WHERE c = 0), o AS (SELECT * FROM t WHERE c > 0),
+    f AS (SELECT rec, slot, ph, i, count(DISTINCT c) AS n FROM o GROUP BY ALL), s AS (SELECT rec, slot, count(DISTINCT c) AS n FROM o GROUP BY ALL), k AS (SELECT rec, slot, ph, count(DISTINCT c) AS n FROM o GROUP BY ALL)
+    SELECT reason, count(*) AS n FROM (SELECT CASE WHEN coalesce(s.n, 0) < 2 THEN 'different_word_context' WHEN coalesce(k.n, 0) >= 2 THEN 'phoneme_count_mismatch' ELSE 'different_phoneme' END AS reason
+    FROM r LEFT JOIN f USING (rec, slot, ph, i) LEFT JOIN s USING (rec, slot) LEFT JOIN k USING (rec, slot, ph) WHERE coalesce(f.n, 0) < 2) GROUP BY reason""",
+)
+def exclusion_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("rec"), F.col("o_orderstatus").alias("slot"), F.col("o_orderpriority").alias("ph"), (F.col("o_orderkey") % 3).alias("condition"), "o_orderkey")
+    rows = pairing.ordinal(rows, ["rec", "slot", "ph", "condition"], ["o_orderkey"]).drop("o_orderkey")
+    reference, others = rows.where("condition = 0").drop("condition"), rows.where("condition > 0")
+    return pairing.exclusion_reasons(reference, others, ["rec", "slot"], "ph", 2).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def _tier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's events as intervals of whole seconds that reach to the next event, or a day at most."""
+    e = table(spark, sf_dir, "events").where("user_id % 2 = 0")
+    own = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    start = F.unix_seconds(F.col("ts").cast("timestamp")).cast("double")
+    rows = e.select("user_id", "ts", "event_id", F.col("event_type").alias("label"), start.alias("xmin")).withColumn("_next", F.lead("xmin").over(own))
+    return rows.select("user_id", "ts", "event_id", "label", "xmin", F.least(F.coalesce("_next", F.col("xmin")), F.col("xmin") + 14400).alias("xmax"))
+
+
+_TIER = """SELECT user_id, ts, event_id, label, xmin, least(coalesce(lead(xmin) OVER (PARTITION BY user_id ORDER BY ts, event_id), xmin), xmin + 14400) AS xmax
+    FROM (SELECT user_id, ts, event_id, event_type AS label, floor(epoch(ts))::DOUBLE AS xmin FROM events WHERE user_id % 2 = 0)"""
+
+
+@query(
+    "gaps_islands",
+    f"""WITH t AS ({_TIER}), o AS (SELECT *, CASE WHEN label = lag(label) OVER w AND abs(xmin - lag(xmax) OVER w) < 1e-6 THEN 0 ELSE 1 END AS opens FROM t WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    i AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM o)
+    SELECT user_id, min(xmin) AS xmin, max(xmax) AS xmax, min(label) AS label, (island - 1)::INTEGER AS pos FROM i GROUP BY user_id, island""",
+)
+def gaps_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.merge_contiguous(_tier(spark, sf_dir), ["user_id"], order=["ts", "event_id"])
+
+
+@query(
+    "seal_gaps",
+    f"""WITH t AS (SELECT *, max(xmax) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM ({_TIER}))
+    SELECT user_id, CASE WHEN xmin < e THEN e ELSE xmin END AS xmin, CASE WHEN xmin < e THEN greatest(xmax, e) ELSE xmax END AS xmax, label FROM t
+    UNION ALL SELECT user_id, e, xmin, 'sp' FROM t WHERE xmin - e > 1e-6""",
+)
+def seal_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.seal_gaps(_tier(spark, sf_dir), ["user_id"], order=["ts", "event_id"])
+
+
+@query(
+    "phones_in_word",
+    """WITH e AS (SELECT user_id, event_id, event_type AS label, floor(epoch(ts))::DOUBLE AS xmin, floor(epoch(ts))::DOUBLE + 600 AS xmax FROM events),
+    w AS (SELECT user_id, event_id, label AS word, xmin AS a, xmin + 86400 AS b FROM e WHERE label = 'view')
+    SELECT w.user_id, w.event_id AS pos, w.word, coalesce(list(e.label ORDER BY e.event_id) FILTER (e.label IS NOT NULL), []) AS phones FROM w LEFT JOIN e ON w.user_id = e.user_id AND e.xmin >= a - 1e-6 AND e.xmax <= b + 1e-6 GROUP BY ALL""",
+)
+def phones_in_word(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start = F.unix_seconds(F.col("ts").cast("timestamp")).cast("double")
+    e = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("pos"), F.col("event_type").alias("label"), start.alias("xmin"), (start + 600).alias("xmax"))
+    words = e.where("label = 'view'").withColumn("xmax", F.col("xmin") + 86400)
+    return intervals.contained(words, e, ["user_id"])
+
+
+@query(
+    "occurrence_pairing",
+    """WITH e AS (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 1 AS occurrence FROM events)
+    SELECT (a.user_id // 2)::BIGINT AS pair, a.event_type, a.occurrence::INTEGER AS occurrence, a.value AS a_value, b.value AS b_value FROM e a JOIN e b ON a.user_id % 2 = 0 AND b.user_id = a.user_id + 1 AND a.event_type = b.event_type AND a.occurrence = b.occurrence""",
+)
+def occurrence_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("pair", F.expr("user_id div 2"))
+    return pairing.occurrence_pairs(e.where("user_id % 2 = 0"), e.where("user_id % 2 = 1"), ["pair"], "event_type", ["ts", "event_id"], "value")
+
+
+@query(
+    "tolerance_match",
+    """WITH s AS (SELECT DISTINCT l_orderkey AS k, date_trunc('day', l_shipdate) AS t FROM lineitem), o AS (SELECT o_orderkey, date_trunc('day', o_orderdate) + INTERVAL (o_orderkey % 120) DAY AS d FROM orders)
+    SELECT o_orderkey, d, CASE WHEN EXISTS (FROM s WHERE k = o_orderkey AND t = d) THEN d WHEN EXISTS (FROM s WHERE k = o_orderkey AND t = d + INTERVAL 1 DAY) THEN d + INTERVAL 1 DAY WHEN EXISTS (FROM s WHERE k = o_orderkey AND t = d - INTERVAL 1 DAY) THEN d - INTERVAL 1 DAY END AS matched FROM o""",
+)
+def tolerance_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = lambda c: F.date_trunc("day", F.col(c)).cast("timestamp_ntz")
+    left = table(spark, sf_dir, "orders").select("o_orderkey", (day("o_orderdate") + F.expr("make_dt_interval(cast(o_orderkey % 120 as int))")).alias("d"))
+    right = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), day("l_shipdate").alias("t"))
+    return pairing.tolerance_match(left, right, ["o_orderkey"], "d", "t", unit="1 day")
+
+
+@query(
+    "moving_mean",
+    "SELECT user_id, event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING), 6) AS mean FROM events",
+)
+def moving_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.moving_mean(table(spark, sf_dir, "events"), ["user_id"], "event_id", "value", 4).select("user_id", "event_id", F.round("mean", 6).alias("mean"))
+
+
+@query(
+    "drop_index",
+    """WITH s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS idx, value AS x, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+    r AS (SELECT user_id, idx, n, sqrt(avg(x * x) OVER (PARTITION BY user_id ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING)) AS r, 5 AS s0, n - floor(least(70, 0.7::DOUBLE * n) + 0.5::DOUBLE) AS e FROM s),
+    m AS (SELECT *, min(r) FILTER (idx >= s0 - 1 AND idx < e) OVER (PARTITION BY user_id) AS least FROM r)
+    SELECT user_id, (min(idx) FILTER (idx >= e - 1 AND r < 0.9::DOUBLE * least) + 1)::BIGINT AS end_idx FROM m GROUP BY user_id""",
+)
+def drop_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = Window.partitionBy("user_id").orderBy("event_id")
+    samples = table(spark, sf_dir, "events").select("user_id", (F.row_number().over(own) - 1).alias("idx"), F.col("value").alias("sample"))
+    return intervals.drop_index(samples, ["user_id"], 10, fixed_width=4).select("user_id", F.col("end_idx").cast("long").alias("end_idx"))
+
+
+@query(
+    "capped_sample",
+    """SELECT doc_id, source FROM (SELECT doc_id, source, md5('3:' || doc_id) AS h, row_number() OVER (PARTITION BY source ORDER BY md5('3:' || doc_id), doc_id) AS i FROM documents) WHERE i <= 2 ORDER BY h, doc_id LIMIT 12""",
+)
+def capped_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.capped_per_group(table(spark, sf_dir, "documents").select("doc_id", "source"), ["source"], "doc_id", 2, 12, seed=3)
+
+
+@query(
+    "grid",
+    """SELECT r_name, event_type, 'stim_' || lpad(row_number() OVER (ORDER BY md5('5:' || r_name || '|' || event_type), r_name, event_type)::VARCHAR, 4, '0') AS id FROM region, (SELECT DISTINCT event_type FROM events)""",
+)
+def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = sampling.grid(table(spark, sf_dir, "region").select("r_name"), table(spark, sf_dir, "events").select("event_type").distinct())
+    return sampling.opaque_ids(cells, ["r_name", "event_type"], seed=5)
+
+
+@query(
+    "block_assignment",
+    """WITH u AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS p, count(*) OVER () AS n FROM (SELECT DISTINCT source FROM documents)), b AS (SELECT source FROM u WHERE (p - 8 + n) % n < 4)
+    SELECT doc_id, source FROM documents JOIN b USING (source)""",
+)
+def block_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.blocks(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", 3).select("doc_id", "source")
+
+
+@query(
+    "sentence_split",
+    r"""SELECT conv_id, turn, len(s)::INTEGER AS n, s[1] AS first, s[-1] AS last FROM (SELECT conv_id, turn, list_filter(list_transform(regexp_split_to_array(text, '[.!?;]'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS s FROM conversations)""",
+)
+def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.sentences("text").alias("s"))
+    return rows.select("conv_id", "turn", F.size("s").alias("n"), F.get("s", F.lit(0)).alias("first"), F.try_element_at("s", F.lit(-1)).alias("last"))
+
+
+@query(
+    "subseq_contains",
+    r"""WITH n AS (SELECT item_id, list_filter(regexp_split_to_array(text, '[ \n]+'), lambda x: x <> '')[1:8] AS w FROM benchmark), d AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \n]+'), lambda x: x <> '') AS w FROM documents WHERE lang = 'en')
+    SELECT item_id, count(*) AS n FROM n, d WHERE contains(chr(1) || array_to_string(d.w, chr(1)) || chr(1), chr(1) || array_to_string(n.w, chr(1)) || chr(1)) GROUP BY item_id""",
+)
+def subseq_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = lambda c: F.filter(F.split(c, r"[ \n]+"), lambda w: w != "")
+    needles = table(spark, sf_dir, "benchmark").select("item_id", F.slice(words("text"), 1, 8).alias("needle"))
+    hay = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", words("text").alias("hay"))
+    # Runs of as many words as the needle has meet it by equality; the array test then confirms.
+    runs = hay.select("doc_id", "hay", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("hay") - 7, F.lit(1))), lambda i: F.xxhash64(F.slice("hay", i, 8))))).alias("h"))
+    met = runs.join(needles.withColumn("h", F.xxhash64("needle")), "h").where(intervals.contains("hay", "needle"))
+    return met.groupBy("item_id").agg(F.count("*").alias("n"))
+
+
+@query("wer_turns")
+def wer_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.letters_tokens("text").alias("ref"))
+    pairs = rows.withColumn("hyp", F.lead("ref").over(Window.partitionBy("conv_id").orderBy("turn"))).where("hyp is not null")
+    return align.error_rate(align.edit_counts(pairs, "ref", "hyp"), ["conv_id"])
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as tracks of 21 frames of three positive values."""
+    v = lambda i: F.get("embedding", i)
+    frame = lambda k: F.struct(*((F.abs(v(3 * k + j)).cast("double") * 1000 + 200).alias(f"F{j + 1}") for j in range(3)))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), (F.col("vec_id") % 4).alias("speaker"), F.col("label").alias("phoneme"), "embedding", F.transform(F.sequence(F.lit(0), F.lit(20)), frame).alias("track"))
+
+
+@query("dtw_rmse")
+def dtw_rmse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _items(spark, sf_dir)
+    own = Window.partitionBy("phoneme").orderBy("id")
+    pairs = items.select("id", "phoneme", "track").withColumn("other", F.lead("track").over(own)).where("other is not null")
+    out = align.warped_rmse(pairs, "track", "other", ["F1", "F2", "F3"])
+    return out.select("id", "phoneme", *(F.round(f"rmse_F{k}", 6).alias(f"rmse_F{k}") for k in (1, 2, 3)))
+
+
+@query("abx_dtw_cells")
+def abx_dtw_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _items(spark, sf_dir)
+    chosen = sampling.triplets(items, most=5)
+    distances = align.pair_distances(chosen, items, "track", lambda d: align.warped_divergence(d, "_x", "_y", ["F1", "F2", "F3"]))
+    return align.abx_cells(align.abx_scores(chosen, distances))
+
+
+@query(
+    "abx_l2_cells",
+    """WITH i AS (SELECT vec_id AS id, vec_id % 4 AS speaker, label AS phoneme, embedding AS e FROM embeddings WHERE vec_id < 120 AND label < 4),
+    t AS (SELECT x.speaker, x.phoneme AS p, b.phoneme AS q, x.e AS xe, a.e AS ae, b.e AS be FROM i x JOIN i a ON a.speaker = x.speaker AND a.phoneme = x.phoneme AND a.id <> x.id JOIN i b ON b.speaker = x.speaker AND b.phoneme <> x.phoneme),
+    s AS (SELECT speaker, p, q, list_sum(list_transform(list_zip(xe, ae), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) ** 2)) AS da, list_sum(list_transform(list_zip(xe, be), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) ** 2)) AS db FROM t)
+    SELECT speaker, p, q, round(avg(CASE WHEN da < db THEN 1.0::DOUBLE WHEN da > db THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END), 8) AS score, count(*) AS n FROM s GROUP BY ALL""",
+)
+def abx_l2_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # A small study of four classes, in which all triplets are made.
+    items = _items(spark, sf_dir).where("id < 120 and phoneme < 4")
+    x = items.select("speaker", F.col("phoneme").alias("p"), F.col("id").alias("x_id"))
+    a = items.select("speaker", F.col("phoneme").alias("p"), F.col("id").alias("a_id"))
+    b = items.select("speaker", F.col("phoneme").alias("q"), F.col("id").alias("b_id"))
+    every = x.join(a, ["speaker", "p"]).where("x_id <> a_id").join(b, "speaker").where("p <> q")
+    distances = align.pair_distances(every, items, "embedding", lambda d: d.withColumn("distance", align.distance_l2(F.col("_x"), F.col("_y"))))
+    return align.abx_cells(align.abx_scores(every, distances)).withColumn("score", F.round("score", 8))
+
+
+@query("bootstrap_ci")
+def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flags = _ratings(spark, sf_dir).select("condition", F.when(F.col("OVRL") > 3, 1.0).when(F.col("OVRL") < 3, 0.0).otherwise(0.5).alias("flag"))
+    return stats.bootstrap(flags, ["condition"], "flag")
+
+
+@query("normality")
+def normality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.normality(table(spark, sf_dir, "events").select("event_type", "value"), ["event_type"], "value")
+
+
+@query(
+    "anova_f",
+    """WITH g AS (SELECT event_type, count(*)::DOUBLE AS n, avg(value) AS m, var_pop(value) AS v FROM events GROUP BY 1)
+    SELECT round(((sum(n * m * m) - sum(n * m) ** 2 / sum(n)) / (count(*) - 1)) / (sum(n * v) / (sum(n) - count(*))), 6) AS f, (count(*) - 1)::BIGINT AS df1, (sum(n) - count(*))::BIGINT AS df2 FROM g""",
+)
+def anova_f(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.anova(table(spark, sf_dir, "events"), [], "event_type", "value").select(F.round("f", 6).alias("f"), "df1", "df2")
+
+
+@query("paired_t", f"SELECT pair, count(d) AS n, round(avg(d) / stddev_samp(d) * sqrt(count(d)), 6) AS t FROM ({_PAIRS}) GROUP BY pair")
+def paired_t(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.paired_t(_flag_pairs(spark, sf_dir), ["pair"], "d").select("pair", "n", F.round("t", 6).alias("t"))
+
+
+@query(
+    "upsert",
+    """SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, 0.0::DOUBLE FROM orders WHERE o_orderkey % 3 <> 0""",
+)
+def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select("o_orderkey", "o_totalprice")
+    old = table(spark, sf_dir, "orders").select("o_orderkey", F.lit(0.0).alias("o_totalprice"))
+    return pairing.upsert(old, new, ["o_orderkey"])
+
+
+@query("rate_histogram", "SELECT p_brand AS dir, p_size AS rate, count(*) AS files, count(*) OVER (PARTITION BY p_brand) > 1 AS mixed FROM part GROUP BY p_brand, p_size")
+def rate_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.rate_histogram(table(spark, sf_dir, "part").select(F.col("p_brand").alias("dir"), F.col("p_size").alias("rate")))
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
