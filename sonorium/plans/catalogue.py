@@ -230,10 +230,10 @@ def mos_condition_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "mos_headline",
-    "SELECT condition, " + ", ".join(f"""printf('%.2f (%.2f)', round_even(avg("{d}") FILTER (base = '{b}'), 3), round_even(stddev_samp("{d}") FILTER (base = '{b}'), 3)) AS "{d}_{b}\"""" for d in ("SIG", "OVRL") for b in ("raw", "dsp")) + f" FROM ({_RATINGS}) GROUP BY condition",
+    "SELECT condition, " + ", ".join(f"""printf('%.2f (%.2f)', round_even(avg("{d}") FILTER (base = '{b}'), 2), round_even(stddev_samp("{d}") FILTER (base = '{b}'), 2)) AS "{d}_{b}\"""" for d in ("SIG", "OVRL") for b in ("raw", "dsp")) + f" FROM ({_RATINGS}) GROUP BY condition",
 )
 def mos_headline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mos.headline(mos.condition_table(_ratings(spark, sf_dir), ("SIG", "OVRL")), ("SIG", "OVRL"))
+    return mos.headline(mos.condition_table(_ratings(spark, sf_dir), ("SIG", "OVRL"), 2), ("SIG", "OVRL"))
 
 
 @query(
