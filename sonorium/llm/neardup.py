@@ -11,10 +11,13 @@ near duplicates when their weighted Jaccard similarity is `SIMILARITY` or more.
   that a fixed permutation names.  Four samples make a band, sixteen bands a
   signature: of pairs with similarity 0.8, 99.98 % meet in a band.
 * Documents that meet are verified on their whole texts.  Within a bucket they
-  are compared with one member, the hub, not with each other.  Members of a
-  bucket that are then still in different groups get another hub, and after
-  `HUB_ROUNDS` rounds every pair of them that lies in different groups is compared.
-  So a group of n copies costs n comparisons, and no link between groups is lost.
+  are compared with one member, the hub, not with each other: the one that meets
+  most others in all buckets, as the text that others were copied from does.
+  Members of a bucket that are then still in different groups get another hub, and
+  after `HUB_ROUNDS` rounds every pair of them that lies in different groups is
+  compared, unless it has no shingle in common among those of which similar texts
+  must share one (prefix and position filters, which are exact).  So a group of n copies costs
+  about n comparisons, and no link between groups is lost.
 * Links make groups: connected components, by labels that spread along links.
 
 Equal texts are one node (a 64-bit hash of the text) from the start.  Texts
@@ -36,7 +39,7 @@ from .flat import Words, buffer, mix, runs, slices
 WORDS, SIMILARITY = 5, 0.8
 FEATURES, IDF = 1 << 20, 0.25
 BINS, BAND = 64, 4
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
 #: Counters in a row while document frequencies are summed.
 CHUNK = 1 << 13
 #: Texts of so many nodes are picked by a broadcast of their ids, of more by a shuffle.
@@ -191,6 +194,34 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, least: float)
     return both.select("_a", "_b", "_x", "_y").mapInArrow(run, "_a long, _b long")
 
 
+def prefixes(texts: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
+    """_node, _token, _after, _total: the rare shingles of each text of which similar texts must share one; the weight from it on, and of all.
+
+    Shingles are ordered by how often they occur in these texts, rare ones first.  Let
+    a prefix go on until what follows weighs less than `least` of the whole.  If the
+    first shingle that two texts share follows either's prefix, then so does all that
+    they share, and they are not similar.  Any order that is the same for all texts
+    would do; this one keeps texts apart that differ from each other in many places.
+    """
+    counts, _ = document_frequencies(texts)
+    sc = texts.sparkSession.sparkContext
+    often, weights = sc.broadcast(counts), sc.broadcast(idf)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            h, row, times = shingles(batch["text"])
+            order = np.lexsort((h, often.value[_feature(h)], row))
+            h, row, w = h[order], row[order], (times * weights.value[_feature(h)].astype(float))[order]
+            total = np.bincount(row, w, batch.num_rows)
+            upto = np.cumsum(w)
+            begin = np.concatenate(([0.0], np.cumsum(total)))[:-1]
+            after = total[row] - (upto - w - begin[row])
+            kept = after >= least * total[row] * (1 - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch["_node"].take(pa.array(row[kept])), pa.array(h[kept].view(np.int64)), pa.array(after[kept]), pa.array(total[row[kept]])], ["_node", "_token", "_after", "_total"])
+
+    return texts.select("_node", "text").mapInArrow(run, "_node long, _token long, _after double, _total double")
+
+
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """_node and _label for each of nodes (_node): the least node that it is linked with, directly or not.
 
@@ -233,18 +264,28 @@ def groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     if texts.count() > active.count():
         texts = written(texts.groupBy("_node").agg(F.min("text").alias("text")))
     nodes = active.select("_node")
+    sizes = members.groupBy("_band").agg(F.count("*").alias("_size"))
+    met = members.join(sizes, "_band").groupBy("_node").agg(F.sum("_size").alias("_met"))
+    members = written(members.join(met, "_node"))
     labels, links, tried = nodes.select("_node", F.col("_node").alias("_label")), None, None
     for k in range(HUB_ROUNDS + 1):
         placed = members.join(labels, "_node")
+        first = F.struct(-F.col("_met"), "_node") if k == 0 else F.struct(F.xxhash64("_node", F.lit(k)), "_node")
         # Buckets whose members are not yet in one group.
-        split = placed.groupBy("_band").agg(F.min("_label").alias("_low"), F.max("_label").alias("_high"), F.min_by(F.struct(F.col("_node").alias("hub"), F.col("_label").alias("label")), F.xxhash64("_node", F.lit(k))).alias("_hub")).where("_low <> _high")
+        split = placed.groupBy("_band").agg(F.min("_label").alias("_low"), F.max("_label").alias("_high"), F.min_by(F.struct(F.col("_node").alias("hub"), F.col("_label").alias("label")), first).alias("_hub")).where("_low <> _high")
         placed = placed.join(split.select("_band", "_hub"), "_band")
         if k < HUB_ROUNDS:
             pairs = placed.where(F.col("_label") != F.col("_hub.label")).select(F.least("_node", "_hub.hub").alias("_a"), F.greatest("_node", "_hub.hub").alias("_b"))
         else:
-            here = placed.select("_band", F.col("_node").alias("_a"), F.col("_label").alias("_la"))
-            there = placed.select("_band", F.col("_node").alias("_b"), F.col("_label").alias("_lb"))
-            pairs = here.join(there, "_band").where((F.col("_a") < F.col("_b")) & (F.col("_la") != F.col("_lb"))).select("_a", "_b")
+            open_ = written(placed.select("_node").distinct())
+            if open_.isEmpty():
+                break
+            begun = prefixes(texts.join(open_, "_node"), idf, least).join(labels, "_node")
+            here, there = (begun.select("_token", *(F.col(c).alias(c + side) for c in ("_node", "_label", "_after", "_total"))) for side in "ab")
+            # To be similar, texts must share least / (1 + least) of their summed weights.
+            enough = F.least("_aftera", "_afterb") >= least / (1 + least) * (1 - 1e-9) * (F.col("_totala") + F.col("_totalb"))
+            met = (here["_token"] == there["_token"]) & (F.col("_nodea") < F.col("_nodeb")) & (F.col("_labela") != F.col("_labelb")) & enough
+            pairs = here.join(there, met).select(F.col("_nodea").alias("_a"), F.col("_nodeb").alias("_b"))
         pairs = pairs.distinct()
         pairs = written(pairs if tried is None else pairs.join(tried, ["_a", "_b"], "left_anti"))
         if pairs.isEmpty():
