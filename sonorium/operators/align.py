@@ -56,38 +56,36 @@ def _parts(sizes: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def _edits(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """(pairs, 3): substitutions, deletions and insertions that turn x into y; of equal costs a match or substitution is taken before a deletion, that before an insertion."""
+    """(pairs, 3): substitutions, deletions and insertions that turn x into y; of equal costs a match or substitution is taken before a deletion, that before an insertion.
+
+    The counts are carried in one integer, 20 bits each.
+    """
     pairs, wide, high = len(n), x.shape[1] + 1, y.shape[1] + 1
-    # carried: cost, substitutions, deletions, insertions
-    before, last = np.zeros((pairs, wide, 4), np.int64), np.zeros((pairs, wide, 4), np.int64)
+    far, bits = np.int32(1 << 30), 20
+    first = lambda v, fill: np.concatenate([np.full((pairs, 1), fill), v], 1).astype(np.int32)
+    x, y = first(x, -3), first(y, -4)
+    # Place i of a diagonal is kept at i + 1, so that place -1 is there and far away.
+    costs = [np.full((pairs, wide + 1), far, np.int32) for _ in range(3)]
+    kinds = [np.zeros((pairs, wide + 1), np.int64) for _ in range(3)]
+    costs[0][:, 1] = 0
     out = np.zeros((pairs, 3), np.int64)
-    far = 1 << 40
     for d in range(1, int((n + m).max(initial=0)) + 1):
-        i = np.arange(max(0, d - high + 1), min(d, wide - 1) + 1)
-        j = d - i
-        now = np.full((pairs, wide, 4), 0, np.int64)
-        now[:, :, 0] = far
-        both = (i > 0) & (j > 0)
-        diag = np.full((pairs, len(i)), far)
-        if both.any():
-            differ = x[:, i[both] - 1] != y[:, j[both] - 1]
-            diag[:, both] = before[:, i[both] - 1, 0] + differ
-        up = np.where(i > 0, last[:, i - 1, 0] + 1, far)
-        left = np.where(j > 0, last[:, i, 0] + 1, far)
-        take_diag = (diag <= up) & (diag <= left)
-        take_up = ~take_diag & (up <= left)
-        new = np.where(take_diag[..., None], before[:, i - 1], np.where(take_up[..., None], last[:, i - 1], last[:, i]))
-        changed = np.zeros((pairs, len(i)), bool)
-        if both.any():
-            changed[:, both] = differ
-        new[..., 1] += take_diag & changed
-        new[..., 2] += take_up
-        new[..., 3] += ~take_diag & ~take_up
-        new[..., 0] = np.minimum(np.minimum(diag, up), left)
-        now[:, i] = new
+        last, before, now = costs[(d - 1) % 3], costs[(d - 2) % 3], costs[d % 3]
+        lo, hi = max(0, d - high + 1), min(d, wide - 1)
+        at, above, own = slice(lo + 1, hi + 2), slice(lo, hi + 1), slice(lo, hi + 1)
+        differ = x[:, own] != y[:, d - hi : d - lo + 1][:, ::-1]
+        diag, up, left = before[:, above] + differ, last[:, above] + 1, last[:, at] + 1
+        up_first = up <= left
+        side = np.where(up_first, up, left)
+        straight = diag <= side
+        was, mine = kinds[(d - 2) % 3], kinds[(d - 1) % 3]
+        carried = np.where(straight, was[:, above] + differ * np.int64(1 << 2 * bits), np.where(up_first, mine[:, above] + (1 << bits), mine[:, at] + 1))
+        now.fill(far)
+        now[:, at] = np.where(straight, diag, side)
+        kinds[d % 3][:, at] = carried
         done = np.flatnonzero(n + m == d)
-        out[done] = now[done, n[done], 1:]
-        before, last = last, now
+        total = kinds[d % 3][done, n[done] + 1]
+        out[done] = np.stack([total >> 2 * bits, (total >> bits) & ((1 << bits) - 1), total & ((1 << bits) - 1)], 1)
     return out
 
 
