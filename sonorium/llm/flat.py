@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 1 << 20
 
 #: The characters that end a word: space and the controls 9 to 13.
 _SPACE = np.zeros(256, bool)
