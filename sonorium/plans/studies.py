@@ -89,8 +89,8 @@ def abx(items: DataFrame, most: int = 5, replicates: int = 2000, seed: int = 0,
     """
     fields = fields or FORMANTS
     conditions = sorted(r["condition"] for r in items.select("condition").distinct().collect())
-    shared = items.join(pairing.in_all(items, ["id"], "condition", len(conditions)), "id")
-    chosen = sampling.triplets(shared.where(F.col("condition") == conditions[0]) if conditions else shared, most=most, seed=seed)
+    shared = items.join(pairing.in_all(items, ["id"], "condition", len(conditions)), "id").persist()
+    chosen = sampling.triplets(shared.where(F.col("condition") == conditions[0]) if conditions else shared, most=most, seed=seed).persist()
     scored = []
     for c in conditions:
         own = shared.where(F.col("condition") == c)

@@ -29,15 +29,6 @@ def test_token_errors(spark):
     assert [(r.pair, r.n_pairs, r.rank_biserial) for r in out["paired"].collect()] == [("x-y", 12, 1.0)]
 
 
-def test_abx(spark):
-    v = studies.vowels(frames(spark, ("ref", "x")))
-    items = v.selectExpr("condition", "vowel_id as id", "speaker", "phoneme", "track").cache()
-    out = studies.abx(items, most=4, replicates=200)
-    assert {r.condition for r in out["accuracy"].collect()} == {"ref", "x"} and all(0 <= r.accuracy_pooled <= 1 and r.n_triplets == 8 for r in out["accuracy"].collect())
-    tests = studies.abx_tests(out["cells"], [("ref", "x")], 0.5)
-    assert tests["paired"].count() == 1 and tests["against"].count() == 2
-
-
 def test_verification(spark):
     rows = [("f_1_2.TextGrid", "words", k, float(k), k + 1.0, w) for k, w in enumerate(["The", "sp", "cat", "sat"])] + [("f_1_2.TextGrid", "phones", 0, 2.0, 2.5, "k"), ("f_1_2.TextGrid", "phones", 1, 2.5, 3.0, "t")]
     schema = "file string, tier string, pos int, xmin double, xmax double, label string"
