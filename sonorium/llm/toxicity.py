@@ -134,9 +134,8 @@ def fit(rows: list[tuple[int, np.ndarray]], bits: int = BITS, epochs: int = EPOC
         for i in np.random.default_rng(epoch).permutation(len(rows)):
             label, at = rows[i]
             model.learn(np.append(at, size), label)
-    w = model.weights(slice(0, size))
-    at = np.flatnonzero(w)
-    return Model(at, w[at], float(model.weights(np.array([size]))[0]), bits)
+    at = np.flatnonzero(np.abs(model.z[:size]) > model.l1)
+    return Model(at, model.weights(at), float(model.weights(np.array([size]))[0]), bits)
 
 
 def learn(docs: DataFrame, marks: DataFrame, most: int = MOST, bits: int = BITS) -> Model:
@@ -151,7 +150,7 @@ def learn(docs: DataFrame, marks: DataFrame, most: int = MOST, bits: int = BITS)
 
     table = sample.mapInArrow(extract, "doc_id long, label int, keys array<int>").toArrow().sort_by("doc_id")
     label, keys = table["label"].to_pylist(), table["keys"].combine_chunks()
-    flat, off = np.asarray(keys.flatten(), np.int64), np.concatenate(([0], np.cumsum(np.asarray(pc.list_value_length(keys), np.int64)))) if len(keys) else np.zeros(1, np.int64)
+    flat, off = np.asarray(keys.flatten()), np.concatenate(([0], np.cumsum(np.asarray(pc.list_value_length(keys), np.int64)))) if len(keys) else np.zeros(1, np.int64)
     return fit([(label[i], flat[off[i] : off[i + 1]]) for i in range(len(label))], bits)
 
 
