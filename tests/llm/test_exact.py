@@ -175,6 +175,23 @@ def test_line_dedup(spark, edges, none):
     assert lines.op10(none).count() == 0 and lines.clean(none).count() == 0
 
 
+def test_long_lines_with_changed_words(spark):
+    """A changed word in a long line is a near copy; a line that is half another one is not; a large group stays linear."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(4, 7)))
+    base = [[word() for _ in range(36)] for _ in range(30)]
+    texts = [" ".join(b) for b in base]
+    swapped = [" ".join([*b[:9], "changed", *b[10:]]) for b in base]
+    half = [" ".join([*b[:18], *(word() for _ in range(18))]) for b in base]
+    docs = spark.createDataFrame([(k, "\n".join(x)) for k, x in enumerate((texts, swapped, half))] + [(9 + k, " ".join([*base[0][:k], "other", *base[0][k + 1 :]])) for k in range(20)], "doc_id long, text string")
+    got = {x.doc_id: (x.n_kept, x.n_near) for x in lines.op10(docs).collect()}
+    assert got == {0: (30, 0), 1: (0, 30), 2: (30, 0)} | {9 + k: (0, 1) for k in range(20)}
+    df = lines.split_lines(docs)
+    name = {x._fp: x.line for x in df.collect()}
+    pairs = lines.alike(df).collect()
+    assert all(edit(name[x._a], name[x._b]) <= len(min(name[x._a], name[x._b], key=len)) // 10 for x in pairs[::20])
+
+
 def test_near_documents(spark, edges, none):
     r = random.Random(9)
     docs = []
