@@ -153,3 +153,11 @@ def test_kneser_ney_sums_to_one(corpus):
     for context in (b"\0\0\0", b"la ", b"zzz", b"ba\xff"):
         code = int.from_bytes(context, "big") * 256 + np.arange(256, dtype=np.uint32)
         assert abs(np.exp2(model.logs(code.astype(np.uint32)).astype(float)).sum() - 1) < 1e-3
+
+
+def test_bands_reject_what_is_far_out(spark):
+    """A text 7 deviations from the median is out on both sides, one of 4 is in."""
+    df = spark.createDataFrame([("xx", 2 + k / 100, False) for k in range(-10, 11)], "lang string, bits double, base_failed boolean")
+    own, deviation = rules.bands(df).first(), 1.4826 * 0.05
+    assert own.upper < 2 + 7 * deviation and own.lower > 2 - 7 * deviation
+    assert own.upper > 2 + 4 * deviation and own.lower < 2 - 4 * deviation
