@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,24 +23,71 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share.
+    """A new path in the folder that driver and executors share, gone with the session.
 
-    The cluster names it in spark.checkpoint.dir; only where that is unset (as in
-    tests) a local folder is used.
+    The cluster names it in spark.checkpoint.dir.  Where that is unset, a local
+    master gets a temporary folder, and a cluster an error: its nodes have none in common.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/sonorium-checkpoints"
-    return f"{root.rstrip('/')}/sonorium-{uuid.uuid4().hex}"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        root = f"file://{tempfile.gettempdir()}/sonorium"
+    path = f"{root.rstrip('/')}/sonorium-{uuid.uuid4().hex}"
+    files, at = _files(spark, path)
+    files.deleteOnExit(at)
+    return path
+
+
+def _files(spark: SparkSession, path: str) -> tuple:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _put(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def written(df: DataFrame) -> DataFrame:
-    """The rows, written once to the shared folder and read back.
+    """The rows, written once to the shared folder and read back; for what a result still reads.
 
     It cuts the lineage, survives lost executors, and each later use is a scan.
     """
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _put(df, shared_dir(df.sparkSession))
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A `written` for tables that are read within the block only: they are deleted at its end."""
+    root = shared_dir(spark)
+    try:
+        yield lambda df: _put(df, f"{root}/{uuid.uuid4().hex}")
+    finally:
+        files, at = _files(spark, root)
+        files.delete(at, True)
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """The whole row as one column _all, so that no column of docs can clash with a work column."""
+    return docs.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("_all"))
+
+
+def unpacked(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The columns of the rows in _all; those in `new` have these values."""
+    return df.select(*((new[c] if c in new else F.col("_all").getField(c)).alias(c) for c in columns))
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def integral(docs: DataFrame) -> DataFrame:
+    """docs, if doc_id is an integer, as all operators here carry it; else an error that says so."""
+    kind = docs.schema["doc_id"].dataType
+    if kind.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"doc_id must be an integer, not {kind.simpleString()}")
+    return docs
 
 
 def remainder(doc_id: str | Column, by: int) -> Column:

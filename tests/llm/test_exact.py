@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sonorium.llm import lines, mixing, neardup, ogg, pieces
+from sonorium.llm.common import scratch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -152,15 +153,63 @@ def test_edit_automaton(spark, tau):
     assert df.where(lines.within(F.col("x"), F.col("y"), tau) != F.col("want")).count() == 0
 
 
+def near_lines(spark, texts):
+    """What lines.near finds, as (later, earlier); and what it must and may find, by brute force."""
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    df = lines.split_lines(docs)
+    at = {x._fp: x.doc_id for x in df.collect()}
+    with scratch(spark) as put:
+        got = [(at[x._a], at[x._b]) for x in lines.near(df, df.select("_fp", F.struct("doc_id", "_text", "_no").alias("first")), put).collect()]
+    want = set()
+    for i, b in enumerate(texts):
+        for j, a in enumerate(texts[:i]):
+            for kind, x, y in ((lines.CHARS, a, b), (lines.UNITS_WORDS, a.split(" "), b.split(" "))):
+                words = [len(t.split(" ")) for t in (a, b)]
+                if not (min(words) >= lines.WORDS if kind else max(words) < lines.WORDS + 2):
+                    continue
+                tau = next((r.tau for r in lines.RULES if r.kind == kind and r.least <= min(len(x), len(y)) < r.below), 0)
+                if tau and abs(len(x) - len(y)) <= tau and edit(x, y) <= tau:
+                    want.add((i, j))
+    assert len(got) == len(set(got)) and set(got) <= want and {i for i, _ in got} == {i for i, _ in want}
+    return want
+
+
 def test_near_lines(spark):
     r = random.Random(4)
-    base = ["".join(r.choice("abcdé 漢") for _ in range(r.randint(18, 60))) for _ in range(40)]
-    texts = sorted({x for b in base for x in (b, *(changed(r, b, 4) for _ in range(5)))})
-    df = spark.createDataFrame([(t,) for t in texts], "line string").withColumn("_fp", F.xxhash64("line"))
-    name = {x._fp: x.line for x in df.collect()}
-    got = [tuple(sorted((name[x._a], name[x._b]))) for x in lines.near(df).collect()]
-    want = {(a, b) for i, b in enumerate(texts) for a in texts[:i] if min(len(a), len(b)) >= lines.LEAST and edit(a, b) <= lines.TAU}
-    assert len(got) == len(set(got)) and set(got) == want and len(want) > 40
+    base = ["".join(r.choice("abcdé 漢") for _ in range(r.randint(8, 60))) for _ in range(40)]
+    texts = [x for x in {x for b in base for x in (b, *(changed(r, b, 4) for _ in range(5)))} if x.strip()]
+    assert len(near_lines(spark, texts)) > 60
+
+
+def wordy(r, n, size):
+    return [" ".join("".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(r.randint(*size))) for _ in range(n)]
+
+
+def reworded(r, line, most):
+    c = line.split(" ")
+    for _ in range(r.randint(0, most)):
+        i = r.randrange(len(c))
+        c[i : i + r.randint(0, 1)] = [] if r.random() < 0.3 else [r.choice("uvwxyz") * 3]
+    return " ".join(c)
+
+
+def test_near_lines_of_words(spark):
+    r = random.Random(5)
+    texts = list({x for b in wordy(r, 24, (10, 200)) for x in (b, *(reworded(r, b, 5) for _ in range(4)))})
+    r.shuffle(texts)
+    assert len(near_lines(spark, texts)) > 60
+
+
+@pytest.mark.parametrize("keys, hot", [(0, 2)])
+def test_near_lines_by_the_other_way(spark, monkeypatch, keys, hot):
+    """Surviving keys joined by a shuffle; buckets cut again by what stands beside a phrase in common."""
+    monkeypatch.setattr(lines, "BROADCAST_KEYS", keys)
+    monkeypatch.setattr(lines, "HOT", hot)
+    r = random.Random(6)
+    phrase = wordy(r, 1, (30, 30))[0]
+    texts = list({f"{x} {phrase}" if k % 2 else f"{phrase} {x}" for k, b in enumerate(wordy(r, 12, (12, 30))) for x in (b, *(reworded(r, b, 3) for _ in range(4)))} | {"ab" * k + "x" * (20 - k) for k in range(12)})
+    r.shuffle(texts)
+    assert len(near_lines(spark, texts)) > 20
 
 
 def test_line_dedup(spark, edges, none):
@@ -178,18 +227,21 @@ def test_line_dedup(spark, edges, none):
 def test_long_lines_with_changed_words(spark):
     """A changed word in a long line is a near copy; a line that is half another one is not; a large group stays linear."""
     r = random.Random(5)
-    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(4, 7)))
-    base = [[word() for _ in range(36)] for _ in range(30)]
+    base = [x.split(" ") for x in wordy(r, 30, (36, 36))]
     texts = [" ".join(b) for b in base]
     swapped = [" ".join([*b[:9], "changed", *b[10:]]) for b in base]
-    half = [" ".join([*b[:18], *(word() for _ in range(18))]) for b in base]
+    half = [" ".join([*b[:18], *wordy(r, 18, (1, 1))]) for b in base]
     docs = spark.createDataFrame([(k, "\n".join(x)) for k, x in enumerate((texts, swapped, half))] + [(9 + k, " ".join([*base[0][:k], "other", *base[0][k + 1 :]])) for k in range(20)], "doc_id long, text string")
-    got = {x.doc_id: (x.n_kept, x.n_near) for x in lines.op10(docs).collect()}
-    assert got == {0: (30, 0), 1: (0, 30), 2: (30, 0)} | {9 + k: (0, 1) for k in range(20)}
-    df = lines.split_lines(docs)
-    name = {x._fp: x.line for x in df.collect()}
-    pairs = lines.alike(df).collect()
-    assert all(edit(name[x._a], name[x._b]) <= len(min(name[x._a], name[x._b], key=len)) // 10 for x in pairs[::20])
+    rows = lines.op10(docs).collect()
+    assert {x.doc_id: (x.n_kept, x.n_near) for x in rows} == {0: (30, 0), 1: (0, 30), 2: (30, 0)} | {9 + k: (0, 1) for k in range(20)}
+    assert sum(x.links for x in rows) <= 2 * 50
+
+
+def test_line_dedup_keeps_blank_lines_and_columns(spark):
+    text = "\n\n".join(f"line number {k} {'xyz'[k % 3] * k}" for k in range(20)) + "\n \n"
+    docs = spark.createDataFrame([(1, text, 7, 8, 9, "t", 5), (2, text, 7, 8, 9, "t", 5)], "doc_id long, text string, kept int, links int, near int, _text string, _doc int")
+    got = lines.clean(docs).collect()
+    assert [r.asDict() for r in got] == [docs.first().asDict()]
 
 
 def test_near_documents(spark, edges, none):
