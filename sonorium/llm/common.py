@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -59,13 +60,19 @@ def written(df: DataFrame) -> DataFrame:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """A `written` for tables that are read within the block only: they are deleted at its end."""
+    """A `written` for tables that are read within the block only: they are deleted at its end.
+
+    Nothing refers to the shuffles that made them by then, so Spark's cleaner is
+    told to look: their files would else stay until the driver's memory fills up.
+    """
     root = shared_dir(spark)
     try:
         yield lambda df: _put(df, f"{root}/{uuid.uuid4().hex}")
     finally:
         files, at = _files(spark, root)
         files.delete(at, True)
+        gc.collect()
+        spark._jvm.System.gc()
 
 
 def packed(docs: DataFrame) -> DataFrame:

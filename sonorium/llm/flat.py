@@ -8,7 +8,9 @@ the table, only on the longest single text.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -71,18 +73,32 @@ def buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most so many bytes of text, or one row."""
+    """The same rows in batches of at most so many bytes of text, or one row.
+
+    What Spark sends is bounded by its own batch size in rows; this bounds the
+    temporary arrays, which are many times the text.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
-        size = np.asarray(pc.fill_null(pc.binary_length(batch[column]), 0), np.int64)
-        ends = np.cumsum(size)
+        whole = batch[column.split(".")[0]]
+        for name in column.split(".")[1:]:
+            whole = whole.field(name)
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(whole), 0), np.int64))
         at = 0
-        while at < len(size):
+        while at < len(ends):
             base = ends[at - 1] if at else 0
             to = max(at + 1, int(np.searchsorted(ends, base + most, "right")))
             yield batch.slice(at, to - at)
             at = to
+    trim()
+
+
+def trim() -> None:
+    """Gives free memory back: a worker stays after its task, beside whatever runs next on its node."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 class Words:
@@ -145,13 +161,6 @@ def runs(hashes: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
     return mix(total), at
 
 
-def word_bytes(words: Words, which: np.ndarray, lower: bool = False) -> pa.Array:
-    """The chosen words as a string column."""
-    data = LOWER[words.data] if lower else words.data
-    start, end = words.start[which], words.end[which]
-    return gather(data, start, end).cast(pa.string())
-
-
 def gather(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
     """Byte ranges of data as a binary column."""
     size = end - start
@@ -219,14 +228,6 @@ class Tally:
         return out
 
 
-def chunks_of(table: dict[str, np.ndarray | pa.Array], schema: pa.Schema, rows: int = 50_000) -> Iterator[pa.RecordBatch]:
-    """Columns as record batches of bounded rows."""
-    arrays = [pa.array(table[f.name]).cast(f.type) if not isinstance(table[f.name], pa.Array) else table[f.name].cast(f.type) for f in schema]
-    n = len(arrays[0])
-    for at in range(0, n, rows):
-        yield pa.RecordBatch.from_arrays([a.slice(at, rows) for a in arrays], schema=schema)
-
-
 def signed(x: np.ndarray) -> np.ndarray:
     """uint64 as the int64 of the same bits, which is what Spark's long holds."""
     return x.view(np.int64)

@@ -17,17 +17,17 @@ per shard and source, with at most `MOST_SHARDS` shards.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from math import ceil, isqrt
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import WORD, written
+from .common import WORD, integral, packed, quoted, scratch, unpacked, written
 from .flat import Words, buffer, slices
 
 #: Words in a block, slots in a shard, shards at most, rounds of the permutation.
@@ -138,14 +138,15 @@ class Mix:
     stay apart; equal rows are interchangeable.  Null and empty texts have size 0
     and are in no block; an empty table gives empty results.
 
-    row: the column that numbers the rows, where they are numbered already.
+    row: the column that tells rows apart, if there is one; equal rows may share
+    its value.  put: writes the rows for later use.
     """
 
-    def __init__(self, docs: DataFrame, seed: int = SEED, row: str | None = None):
-        spark = docs.sparkSession
+    def __init__(self, docs: DataFrame, seed: int = SEED, row: str | None = None, put: Callable[[DataFrame], DataFrame] = written):
+        spark = integral(docs).sparkSession
         number = F.col(row) if row else F.monotonically_increasing_id()
         # The number of a row must be the same when a lost task is done again: it is written before it is used.
-        self.rows = written(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), number.alias("_row")))
+        self.rows = put(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("_text"), number.alias("_row")))
         found = self.rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
         self.sources = sources({r["source"]: r["size"] for r in found})
         # A local relation tells its size, so that Spark broadcasts it when it is small and only then.
@@ -162,21 +163,22 @@ class Mix:
 
     def placed(self) -> DataFrame:
         """Rows with words: _row, _source and _start, the place of the first word in the source."""
-        bucket = F.pmod(F.xxhash64("doc_id", F.lit(self.seed)), F.lit(self.buckets))
+        # By the text too: rows without an id, or with one and the same, are no bucket of their own.
+        bucket = F.pmod(F.xxhash64("doc_id", "_text", F.lit(self.seed)), F.lit(self.buckets))
         ranks = self.table.select("_source", F.col("source").alias("_name"))
         rows = self.rows.where(F.col("size") > 0).withColumn("_bucket", bucket).join(ranks, F.col("source").eqNullSafe(F.col("_name"))).drop("_name")
         sums = rows.groupBy("_source", "_bucket").agg(F.sum("size").alias("_sum"))
         base = sums.withColumn("_base", F.sum("_sum").over(Window.partitionBy("_source").orderBy("_bucket")) - F.col("_sum")).drop("_sum")
-        within = Window.partitionBy("_source", "_bucket").orderBy(F.xxhash64("doc_id", F.lit(self.seed)), "doc_id", "size", "_row").rowsBetween(Window.unboundedPreceding, 0)
+        within = Window.partitionBy("_source", "_bucket").orderBy(F.xxhash64("doc_id", "_text", F.lit(self.seed)), "doc_id", "_text", "size", "_row").rowsBetween(Window.unboundedPreceding, 0)
         rows = rows.withColumn("_within", F.sum("size").over(within) - F.col("size"))
         return rows.join(base, ["_source", "_bucket"]).select("_row", "_source", "size", (F.col("_base") + F.col("_within")).alias("_start"))
 
     def blocks(self) -> DataFrame:
-        """_source, _block, _row, and which words of the row are where in the block: _from (in the row), _at (in the block), _n."""
+        """_source, _block, _row, _start, and which words of the row are where in the block: _from (in the row), _at (in the block), _n."""
         end = F.col("_start") + F.col("size")
         rows = self.placed().withColumn("_block", F.explode(F.sequence(F.expr(f"_start div {BLOCK}"), F.expr(f"(_start + size - 1) div {BLOCK}"))))
         first = F.greatest(F.col("_start"), F.col("_block") * BLOCK)
-        return rows.select("_source", "_block", "_row", (first - F.col("_start")).alias("_from"), (first - F.col("_block") * BLOCK).alias("_at"), (F.least(end, (F.col("_block") + 1) * BLOCK) - first).alias("_n"))
+        return rows.select("_source", "_block", "_row", "_start", (first - F.col("_start")).alias("_from"), (first - F.col("_block") * BLOCK).alias("_at"), (F.least(end, (F.col("_block") + 1) * BLOCK) - first).alias("_n"))
 
     def slots(self) -> DataFrame:
         """_source, _block, _shard, _slot (in the source), _pass, and _take: the words that the slot takes of the block."""
@@ -193,9 +195,9 @@ class Mix:
         return one.select("_source", F.coalesce(F.when(F.col("_i") < F.col("_full"), F.col("_image")).otherwise(F.col("_i")), F.lit(0).cast("long")).alias("_block"), "_shard", "_slot", "_pass", F.least(length, F.col("_words") - before).alias("_take"))
 
     def takes(self) -> DataFrame:
-        """_row, _shard, _slot, _pass, _from and _words: the words of each row that each slot takes."""
+        """_row, _start, _shard, _slot, _pass, _from and _words: the words of each row that each slot takes."""
         both = self.blocks().join(self.slots(), ["_source", "_block"]).withColumn("_words", F.least("_n", F.col("_take") - F.col("_at")))
-        return both.where(F.col("_words") > 0).select("_row", "_shard", "_slot", "_pass", "_from", "_words")
+        return both.where(F.col("_words") > 0).select("_row", "_start", "_shard", "_slot", "_pass", "_from", "_words")
 
 
 def texts(docs: DataFrame, seed: int = SEED) -> DataFrame:
@@ -203,15 +205,23 @@ def texts(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
     text has the words taken in their order, with what stood between neighbours;
     line feeds join parts that were apart.  n_chars, where there is such a column,
-    is that of the new text.
+    is that of the new text.  Rows are met by a hash of all their columns, so none
+    may be a map.
     """
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()))
-    parts = Mix(rows, seed, "_row").takes().groupBy("_row", "_pass").agg(F.sort_array(F.collect_list(F.struct("_from", "_words"))).alias("_parts"))
-    names, schema = docs.columns, docs.schema
+    key = F.xxhash64(*(F.col(quoted(c)) for c in docs.columns))
+    with scratch(docs.sparkSession) as put:
+        mix = Mix(docs.select("doc_id", "text", "source", key.alias("_row")), seed, "_row", put)
+        twice = not mix.rows.groupBy("_row").agg(F.count("*").alias("_n")).where("_n > 1").isEmpty()
+        # Equal rows are taken apart by where they start.
+        takes = mix.takes().groupBy("_row", "_start", "_pass").agg(F.sort_array(F.collect_list(F.struct("_from", "_words"))).alias("_parts"))
+        parts = written(takes.select("_row", "_parts"))
+    rows = packed(docs).withColumn("_key", F.xxhash64(*(F.col("_all").getField(c) for c in docs.columns)))
+    if twice:
+        rows = rows.dropDuplicates(["_key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            words = Words(*buffer(batch["text"]))
+        for batch in slices(batches, "_all.text"):
+            words = Words(*buffer(batch["_all"].field("text")))
             data = words.data.tobytes()
             out = []
             for first, own in zip(words.first[:-1].tolist(), batch["_parts"].to_pylist(), strict=True):
@@ -223,12 +233,14 @@ def texts(docs: DataFrame, seed: int = SEED) -> DataFrame:
                     else:
                         spans.append([a, b])
                 out.append(b"\n".join(data[words.start[a] : words.end[b - 1]] for a, b in spans).decode())
-            new = {"text": pa.array(out, pa.string())}
-            if "n_chars" in names:
-                new["n_chars"] = pc.utf8_length(new["text"])
-            yield pa.RecordBatch.from_arrays([new[k].cast(batch[k].type) if k in new else batch[k] for k in names], names)
-
-    return rows.join(parts, "_row").select(*names, "_parts").mapInArrow(run, schema)
+            yield pa.RecordBatch.from_arrays([batch["_all"], pa.array(out, pa.string())], ["_all", "_new"])
+
+    joined = rows.join(parts, F.col("_key") == F.col("_row")).select("_all", "_parts")
+    out = joined.mapInArrow(run, StructType([joined.schema["_all"], StructField("_new", StringType())]))
+    new = {"text": F.col("_new")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.char_length("_new").cast(docs.schema["n_chars"].dataType)
+    return unpacked(out, docs.columns, **new)
 
 
 def op9(docs: DataFrame) -> DataFrame:

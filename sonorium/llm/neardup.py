@@ -26,14 +26,14 @@ travel only for nodes that met another one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import integral, packed, scratch, unpacked, written
 from .flat import Words, buffer, mix, runs, slices
 
 WORDS, SIMILARITY = 5, 0.8
@@ -222,7 +222,7 @@ def prefixes(texts: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
     return texts.select("_node", "text").mapInArrow(run, "_node long, _token long, _after double, _total double")
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+def components(nodes: DataFrame, links: DataFrame, written: Callable[[DataFrame], DataFrame] = written) -> DataFrame:
     """_node and _label for each of nodes (_node): the least node that it is linked with, directly or not.
 
     Labels spread along links and then along labels, so a chain of n takes about
@@ -248,6 +248,11 @@ def groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     the connected component of near duplicates.  Null and empty texts, and texts
     of white space, are near to none but equal ones.
     """
+    with scratch(docs.sparkSession) as put:
+        return written(_groups(integral(docs), least, put))
+
+
+def _groups(docs: DataFrame, least: float, written: Callable[[DataFrame], DataFrame]) -> DataFrame:
     own = _nodes(docs)
     idf = inverse_frequencies(*document_frequencies(own))
     signed = written(_signed(own, idf))
@@ -296,7 +301,7 @@ def groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         tried = pairs if tried is None else tried.union(pairs)
         links = found if links is None else links.union(found)
         if not found.isEmpty():
-            labels = components(nodes, links)
+            labels = components(nodes, links, written)
     first = labels.join(active, "_node").groupBy("_label").agg(F.min("class_id").alias("group_id"))
     of_node = labels.join(first, "_label").select("_node", "group_id")
     known = classes.join(of_node, "_node", "left").select("_node", "class_id", F.coalesce("group_id", "class_id").alias("group_id"))
@@ -305,12 +310,13 @@ def groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
 def clean(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """One row of each group, with the columns of docs: that of the least doc_id."""
-    kept = groups(docs, least).where(F.col("doc_id").eqNullSafe(F.col("group_id"))).groupBy(F.col("doc_id").alias("_doc"), F.col("_node").alias("_kept")).agg(F.count("*").alias("_n"))
+    kept = groups(docs.select("doc_id", "text"), least).where(F.col("doc_id").eqNullSafe(F.col("group_id"))).groupBy(F.col("doc_id").alias("_doc"), F.col("_node").alias("_kept")).agg(F.count("*").alias("_n"))
     kept = written(kept)
-    out = docs.withColumn("_node", F.xxhash64(F.coalesce("text", F.lit("")))).join(kept, (F.col("_node") == F.col("_kept")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
+    node = F.xxhash64(F.coalesce(F.col("_all.text"), F.lit("")))
+    out = packed(docs).join(kept, (node == F.col("_kept")) & F.col("_all.doc_id").eqNullSafe(F.col("_doc")))
     if not kept.where("_n > 1").isEmpty():  # rows equal in doc_id and text
         out = out.dropDuplicates(["_doc", "_kept"])
-    return out.select(*docs.columns)
+    return unpacked(out, docs.columns)
 
 
 def op1(docs: DataFrame) -> DataFrame:

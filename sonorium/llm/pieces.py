@@ -7,8 +7,8 @@ the edges found are grouped by unit, and a higher-order aggregate folds them,
 sorted by their ends, into the best path (Viterbi over the pieces' scores).  A
 character without a piece is an edge that becomes byte pieces.
 
-Units whose share of all units reaches `WIDE` (at most 1/WIDE) are broadcast and
-looked up where the text is; the others meet their encodings in a join.
+The most frequent units, at most `SHARED` and none longer than `SHARED_CHARS`, are
+broadcast and looked up where the text is; the others meet their encodings in a join.
 
 The model file's pieces and scores are taken as they are and never trained.
 Where the file is of the BPE kind, its scores are ranks, and the path with the
@@ -19,19 +19,21 @@ the text all the same.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import written
+from .common import integral, packed, quoted, scratch, unpacked, written
 from .flat import Lookup, buffer, gather, mix, slices, span_hash
 
 MODEL = "piece_bpe_32k.model"
-WIDE = 2e-7
+#: Units that are broadcast: so many at most, of so many characters at most, hence of bounded size.
+SHARED, SHARED_CHARS = 400_000, 64
 #: A piece table of more rows is not broadcast to the join of substrings.
 MOST_PIECES = 1_000_000
 #: Units in one partition of the lattice, about: bounds what the grouping holds.
@@ -41,7 +43,9 @@ UNKNOWN = 10.0
 SPACE = "▁"
 #: In a link of the best path: bits for the id, and what is added to it, as a character without a piece has the negated code point.
 _ID_BITS, _ID_ADD = 26, 1 << 21
-#: Of the digest: word positions count modulo this.
+#: Characters of a part of a unit, whose edges one fold takes: Spark copies the state of a fold at each step.
+PART = 256
+#: Of the digest: places of pieces count modulo this.
 PRIME = 1_000_003
 
 
@@ -131,55 +135,80 @@ def count_units(docs: DataFrame, table: Table) -> DataFrame:
     return docs.select("text").mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
-def lattice(units: DataFrame, table: Table) -> DataFrame:
-    """unit and its edges: array of (e, b, s, id), the piece from character b to e with score s; sorted.
+def _name(unit: str = "unit") -> tuple[Column, Column]:
+    """Two hashes that stand for a unit where its text would travel with every edge."""
+    return F.xxhash64(unit).alias("_u"), F.xxhash64(F.lit("unit"), unit).alias("_v")
 
-    units: unit string, each once, hash-partitioned by it; the grouping then needs
-    no shuffle.
+
+def lattice(units: DataFrame, table: Table, long: bool = False) -> DataFrame:
+    """_u, _v (of the unit) and parts: for each PART characters the array of edges (e, b, s, id) that end there, sorted; the piece from character b to e has score s.
+
+    units: unit string, _u, _v, each once, hash-partitioned by _u and _v; the grouping
+    then needs no shuffle.  long: units may have more than one part.  A unit is cut into windows first, which go on far enough
+    for each piece that begins in them, so that no substring is looked for from far away.
     """
     spark = units.sparkSession
     pieces = table.frame(spark)
     pieces = F.broadcast(pieces) if len(table.rows) <= MOST_PIECES else pieces
-    word = units.select("unit", F.replace("unit", F.lit(" "), F.lit(SPACE)).alias("_w")).withColumn("_n", F.char_length("_w"))
-    starts = word.select("unit", "_w", "_n", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("b"))
-    spans = starts.select("unit", "_w", "b", F.explode(F.sequence(F.lit(1), F.least(F.lit(table.longest), F.col("_n") - F.col("b")))).alias("_l"))
-    spans = spans.select("unit", "b", "_l", F.substring("_w", F.col("b") + 1, F.col("_l")).alias("piece"))
+    word = units.select("_u", "_v", F.replace("unit", F.lit(" "), F.lit(SPACE)).alias("_w")).withColumn("_n", F.char_length("_w"))
+    word = word.select("_u", "_v", "_w", "_n", F.explode(F.sequence(F.lit(0), F.col("_n") - 1, F.lit(PART))).alias("_at"))
+    word = word.select("_u", "_v", "_at", F.substring("_w", F.col("_at") + 1, F.lit(PART + table.longest - 1)).alias("_w"), F.least(F.lit(PART), F.col("_n") - F.col("_at")).alias("_n"))
+    starts = word.select("_u", "_v", "_at", "_w", F.char_length("_w").alias("_n"), F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("b"))
+    spans = starts.select("_u", "_v", "_at", "_w", "b", F.explode(F.sequence(F.lit(1), F.least(F.lit(table.longest), F.col("_n") - F.col("b")))).alias("_l"))
+    spans = spans.select("_u", "_v", (F.col("_at") + F.col("b")).alias("b"), "_l", F.substring("_w", F.col("b") + 1, F.col("_l")).alias("piece"))
     edges = spans.join(pieces, "piece", "left").where(F.col("id").isNotNull() | (F.col("_l") == 1))
     unknown = -F.call_function("ascii", F.col("piece"))
     edge = F.struct((F.col("b") + F.col("_l")).alias("e"), "b", F.coalesce("score", F.lit(table.unknown)).alias("s"), F.coalesce("id", unknown).alias("id"))
-    return edges.select("unit", edge.alias("_edge")).groupBy("unit").agg(F.sort_array(F.collect_list("_edge")).alias("edges"))
+    edges = edges.select("_u", "_v", edge.alias("_edge"), F.floor((F.col("b") + F.col("_l") - 1) / PART).alias("_part"))
+    if not long:
+        return edges.groupBy("_u", "_v").agg(F.array(F.sort_array(F.collect_list("_edge"))).alias("parts"))
+    parts = edges.groupBy("_u", "_v", "_part").agg(F.sort_array(F.collect_list("_edge")).alias("_edges"))
+    return parts.groupBy("_u", "_v").agg(F.transform(F.sort_array(F.collect_list(F.struct("_part", "_edges"))), lambda x: x["_edges"]).alias("parts"))
 
 
-def viterbi(edges: Column) -> Column:
-    """ids of the best path over sorted edges; a character without a piece is the negated code point.
+def viterbi(parts: Column, longest: int) -> Column:
+    """ids of the best path over the edges of a unit; a character without a piece is the negated code point.
 
-    The state has the scores and links of the ends that are done and the best edge
-    so far to the end at hand.  Of equal scores the longest last piece stays.
+    A fold over the parts, and in it one over a part's edges.  The state has the
+    scores of the last `longest` ends, for no edge goes further back, the best edge
+    so far to the end at hand, and the links of the part's ends that are done.  Of
+    equal scores the longest last piece stays.
     """
     link = lambda b, i: b.cast("long") * (1 << _ID_BITS) + i + _ID_ADD
-    zero = F.struct(F.array().cast("array<double>").alias("best"), F.array().cast("array<bigint>").alias("links"), F.lit(0).alias("e"), F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("l"))
+    none = lambda kind: F.array().cast(f"array<{kind}>")
 
-    def state(best: Column, links: Column, e: Column, s: Column, l: Column) -> Column:  # noqa: E741
-        return F.struct(best.alias("best"), links.alias("links"), e.alias("e"), s.alias("s"), l.alias("l"))
+    def state(near: Column, links: Column, e: Column, s: Column, l: Column) -> Column:  # noqa: E741
+        return F.struct(near.alias("near"), links.alias("links"), e.alias("e"), s.alias("s"), l.alias("l"))
 
     def step(a: Column, x: Column) -> Column:
-        score = F.when(x["b"] == a["e"], a["s"]).otherwise(F.get(a["best"], x["b"])) + x["s"]
-        same = x["e"] == a["e"]
-        better = state(a["best"], a["links"], a["e"], score, link(x["b"], x["id"]))
-        onward = state(F.array_append(a["best"], a["s"]), F.array_append(a["links"], a["l"]), x["e"], score, link(x["b"], x["id"]))
-        return F.when(~same, onward).when(score > a["s"], better).otherwise(a)
+        score = F.when(x["b"] == a["e"], a["s"]).otherwise(F.get(a["near"], x["b"] - a["e"] + F.size(a["near"]))) + x["s"]
+        near = F.when(F.size(a["near"]) < longest, F.array_append(a["near"], a["s"])).otherwise(F.array_append(F.slice(a["near"], 2, longest - 1), a["s"]))
+        better = state(a["near"], a["links"], a["e"], score, link(x["b"], x["id"]))
+        onward = state(near, F.array_append(a["links"], a["l"]), x["e"], score, link(x["b"], x["id"]))
+        return F.when(x["e"] != a["e"], onward).when(score > a["s"], better).otherwise(a)
+
+    def part(o: Column, edges: Column) -> Column:
+        begin = state(o["near"], none("bigint"), o["e"], o["s"], o["l"])
+        return F.aggregate(edges, begin, step, lambda a: state(a["near"], F.array_append(o["links"], a["links"]), a["e"], a["s"], a["l"]))
+
+    def back(o: Column) -> Column:
+        """From the last end: each link on the path names the end that comes before it."""
+
+        def at(at_: Column, i: Column, out: Column) -> Column:
+            return F.struct(at_.alias("at"), i.alias("i"), out.alias("out"))
 
-    def back(a: Column) -> Column:
-        links = F.array_append(a["links"], a["l"])
-        start = F.struct(a["e"].alias("at"), F.array().cast("array<int>").alias("out"))
+        def take(t: Column, own: Column) -> Column:
+            hit = at(F.shiftright(own, _ID_BITS).cast("int"), t["i"] - 1, F.array_append(t["out"], (own.bitwiseAND((1 << _ID_BITS) - 1) - _ID_ADD).cast("int")))
+            return F.when((t["i"] == t["at"]) & (t["i"] > 0), hit).otherwise(at(t["at"], t["i"] - 1, t["out"]))
 
-        def take(t: Column, i: Column) -> Column:
-            own = F.get(links, i)
-            return F.when(i == t["at"], F.struct(F.shiftright(own, _ID_BITS).cast("int").alias("at"), F.array_append(t["out"], (own.bitwiseAND((1 << _ID_BITS) - 1) - _ID_ADD).cast("int")).alias("out"))).otherwise(t)
+        def some(t: Column, links: Column) -> Column:
+            return F.aggregate(F.reverse(links), at(t["at"], t["i"], none("int")), take, lambda a: at(a["at"], a["i"], F.array_append(t["out"], a["out"])))
 
-        return F.aggregate(F.sequence(a["e"], F.lit(1), F.lit(-1)), start, take, lambda t: F.reverse(t["out"]))
+        links = F.reverse(F.array_append(o["links"], F.array(o["l"])))
+        return F.aggregate(links, at(o["e"], o["e"], none("array<int>")), some, lambda t: F.reverse(F.flatten(t["out"])))
 
-    return F.aggregate(edges, zero, step, back)
+    zero = state(none("double"), none("array<bigint>"), F.lit(0), F.lit(0.0), F.lit(0).cast("long"))
+    return F.aggregate(parts, zero, part, back)
 
 
 def with_bytes(ids: Column, byte: np.ndarray) -> Column:
@@ -201,155 +230,97 @@ def with_bytes(ids: Column, byte: np.ndarray) -> Column:
     return F.when(F.exists(ids, lambda x: x <= 0), F.flatten(F.transform(ids, expand))).otherwise(ids)
 
 
-def encodings(docs: DataFrame, table: Table) -> DataFrame:
+def encodings(docs: DataFrame, table: Table, written: Callable[[DataFrame], DataFrame] = written) -> DataFrame:
     """unit, n and ids of every different unit of the texts; written."""
     spark = docs.sparkSession
     units = written(count_units(docs, table))
     parts = max(1, math.ceil(units.count() / UNITS))
-    grouped = lattice(units.select("unit").repartition(parts, "unit"), table)
+    # In two ways, as most units have one part and need one grouping.
+    short = F.char_length("unit") <= PART
+    grouped = lattice(units.where(short).select("unit", *_name()).repartition(parts, "_u", "_v"), table)
+    grouped = grouped.union(lattice(units.where(~short).select("unit", *_name()).repartition(parts, "_u", "_v"), table, long=True))
     # A partition has about UNITS groups, which fit in memory; without this, grouping sorts after 128.
     name = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
     before = spark.conf.get(name)
     spark.conf.set(name, str(8 * UNITS))
     try:
         # A column of its own: the path would else be found again for each place that it is used in.
-        paths = grouped.select("unit", viterbi(F.col("edges")).alias("ids"))
-        found = written(paths.select("unit", with_bytes(F.col("ids"), table.byte).alias("ids")))
+        paths = grouped.select("_u", "_v", viterbi(F.col("parts"), table.longest).alias("ids"))
+        found = written(paths.select("_u", "_v", with_bytes(F.col("ids"), table.byte).alias("ids")))
     finally:
         spark.conf.set(name, before)
-    return units.join(found, "unit")
+    return units.select("unit", "n", *_name()).join(found, ["_u", "_v"]).drop("_u", "_v")
 
 
 class Codes:
-    """Encodings by unit hash: place -> number of pieces, digest, flags, and the ids one after another."""
+    """Encodings by unit hash: number of pieces, where they begin, and the ids one after another."""
 
-    def __init__(self, units: pa.Array, ids: pa.Array, table: Table):
+    def __init__(self, units: pa.Array, ids: pa.Array):
         data, off = buffer(units)
-        self.table = Lookup(span_hash(data, off[:-1], off[1:]), *_measures(units, ids, table))
         size = np.asarray(pc.list_value_length(ids), np.int64)
-        order = np.argsort(span_hash(data, off[:-1], off[1:]), kind="stable")
-        flat = ids.flatten()
-        self.size = size[order]
-        first = np.concatenate(([0], np.cumsum(size)))[:-1]
-        self.first = first[order]
-        self.ids = np.asarray(flat, np.int32)
-
-
-def _measures(units: pa.Array, ids: pa.Array, table: Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each unit: the number of pieces, the sum of (id + 1) times the place from 1, and 1 where decoding fails to give the unit."""
-    size = np.asarray(pc.list_value_length(ids), np.int64)
-    flat = np.asarray(ids.flatten(), np.int64)
-    row = np.repeat(np.arange(len(size)), size)
-    place = np.arange(len(flat)) - np.repeat(np.concatenate(([0], np.cumsum(size)))[:-1], size)
-    total = np.zeros(len(size), np.int64)
-    np.add.at(total, row, (flat + 1) * (place + 1))
-    bad = np.asarray(pc.not_equal(table.decode(flat, size), units.cast(pa.large_binary())).to_numpy(zero_copy_only=False), np.int64)
-    return size, total, bad
-
-
-def _frequent(coded: DataFrame, table: Table) -> tuple[Codes, int]:
-    """The broadcastable encodings, and the least count among them."""
-    total = coded.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    least = max(1, math.ceil(WIDE * total))
-    wide = coded.where(F.col("n") >= least).select("unit", "ids").toArrow()
-    units, ids = (wide[k].combine_chunks() for k in ("unit", "ids"))
-    if isinstance(units, pa.ChunkedArray):
-        units, ids = pa.array([], pa.string()), pa.array([], pa.list_(pa.int32()))
-    return Codes(units, ids, table), least
-
-
-def measure(docs: DataFrame, table: Table) -> DataFrame:
-    """doc_id, n_units, n_pieces, digest and n_bad of each row of docs (doc_id, text).
-
-    digest: the sum over the text's units of (number of the unit mod PRIME, plus 1)
-    times the sum over its pieces of (id + 1) times the piece's place from 1 in the
-    unit.  n_bad: units that decode to something else.  A null or empty text has
-    no unit.  Sums by document, so no text is shuffled.
+        self.table = Lookup(span_hash(data, off[:-1], off[1:]), size, np.concatenate(([0], np.cumsum(size)))[:-1])
+        self.ids = np.asarray(ids.flatten(), np.int32)
+
+
+def _shared(coded: DataFrame) -> tuple[Codes, Column]:
+    """The encodings of the most frequent units, and the condition that tells them."""
+    short = F.char_length("unit") <= SHARED_CHARS
+    sizes = coded.where(short).groupBy(F.floor(F.log2("n") * 8).alias("_b")).agg(F.count("*").alias("units"), F.min("n").alias("least")).orderBy(F.desc("_b")).collect()
+    least, held = None, 0
+    for r in sizes:
+        held += r["units"]
+        if held > SHARED:
+            break
+        least = r["least"]
+    own = short & (F.col("n") >= least) if least else F.lit(False)
+    wide = coded.where(own).select("unit", "ids").toArrow()
+    units, ids = (wide[k].combine_chunks() if wide.num_rows else pa.array([], wide.schema.field(k).type) for k in ("unit", "ids"))
+    return Codes(units, ids), own
+
+
+def _encoded(docs: DataFrame, table: Table, carry: str, finish: Callable[[pa.RecordBatch, pa.Array, pa.ListArray], dict[str, pa.Array]], out: list[StructField]) -> DataFrame:
+    """What finish makes of each batch of rows of docs, its texts and their ids; carry: the columns it needs besides, by expression.
+
+    Texts are shuffled once, to meet the encodings of their rare units; rows and
+    encodings meet by two hashes of the text, so nothing of the rows is written.
     """
     sc = docs.sparkSession.sparkContext
-    coded = written(encodings(docs, table))
-    codes, least = _frequent(coded, table)
+    with scratch(docs.sparkSession) as put:
+        coded = put(encodings(docs, table, put))
+        codes, own = _shared(coded)
+        rest = written(coded.where(~own).select("unit", "ids"))
     shared, tables = sc.broadcast(codes), sc.broadcast(table)
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, off = buffer(batch["unit"])
-            size, total, bad = _measures(batch["unit"], batch["ids"], tables.value)
-            yield pa.RecordBatch.from_arrays([pa.array(span_hash(data, off[:-1], off[1:]).view(np.int64)), *(pa.array(x) for x in (size, total, bad))], ["_hash", "_size", "_total", "_bad"])
-
-    schema = pa.schema([("_row", pa.int64()), ("doc_id", pa.int64()), ("_kind", pa.int32()), ("_hash", pa.int64()), ("_place", pa.int64()), ("_units", pa.int64()), ("_pieces", pa.int64()), ("_digest", pa.int64()), ("_wrong", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = shared.value.table
-        for batch in slices(batches):
-            u, rows = Units(batch["text"], tables.value.meets), batch.num_rows
-            at = look.find(u.hash)
-            here = at >= 0
-            sums = []
-            for k in range(3):
-                value = np.where(here, look.values[k][at], 0) if len(look.keys) else np.zeros(len(at), np.int64)
-                value = value * (u.place % PRIME + 1) if k == 1 else value
-                upto = np.concatenate(([0], np.cumsum(value)))
-                sums.append(upto[u.first[1:]] - upto[u.first[:-1]])
-            # Settled rows have kind 0 and match nothing; their number keeps them apart in the shuffle.
-            yield pa.RecordBatch.from_arrays([batch["_row"], batch["doc_id"].cast(pa.int64()), pa.array(np.zeros(rows, np.int32)), batch["_row"], pa.nulls(rows, pa.int64()), pa.array(np.diff(u.first)), *(pa.array(x) for x in sums)], schema=schema)
-            left = np.flatnonzero(~here)
-            n = len(left)
-            if n:
-                none = pa.nulls(n, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch["_row"].take(pa.array(u.row[left])), none, pa.array(np.ones(n, np.int32)), pa.array(u.hash[left].view(np.int64)), pa.array(u.place[left]), none, none, none, none], schema=schema)
-
-    rest = coded.where(F.col("n") < least).select("unit", "ids").mapInArrow(rare, "_hash long, _size long, _total long, _bad long").withColumn("_kind", F.lit(1))
-    rows = docs.select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id())
-    parts = rows.mapInArrow(run, "_row long, doc_id long, _kind int, _hash long, _place long, _units long, _pieces long, _digest long, _wrong long").join(rest, ["_hash", "_kind"], "left")
-    sums = parts.groupBy("_row").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.sum("_units").alias("n_units"),
-        F.sum(F.coalesce("_pieces", "_size")).alias("n_pieces"),
-        F.sum(F.coalesce("_digest", F.col("_total") * (F.col("_place") % PRIME + 1))).alias("digest"),
-        F.sum(F.coalesce("_wrong", "_bad")).alias("n_bad"),
-    )
-    return sums.drop("_row")
-
-
-def encode(docs: DataFrame, table: Table) -> DataFrame:
-    """docs with ids array<int>: the pieces of the whole text; null for a null text, empty for an empty one.
-
-    Texts are shuffled once, to meet the encodings of their rare units.
-    """
-    spark = docs.sparkSession
-    sc = spark.sparkContext
-    coded = written(encodings(docs, table))
-    codes, least = _frequent(coded, table)
-    shared, tables = sc.broadcast(codes), sc.broadcast(table)
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()))
+    keys = (F.xxhash64("text"), F.xxhash64(F.lit("text"), "text"))
 
     def missing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             u = Units(batch["text"], tables.value.meets)
             left = np.flatnonzero(shared.value.table.find(u.hash) < 0)
-            both, at = np.unique(np.stack([u.row[left].astype(np.uint64), u.hash[left]], 1), axis=0, return_index=True) if len(left) else (None, left)
-            at = left[at] if len(left) else left
-            yield pa.RecordBatch.from_arrays([batch["_row"].take(pa.array(u.row[at])), gather(u.data, u.start[at], u.end[at]).cast(pa.string())], ["_row", "unit"])
-
-    rare = rows.select("_row", "text").mapInArrow(missing, "_row long, unit string").join(coded.where(F.col("n") < least).select("unit", "ids"), "unit")
-    rare = rare.groupBy("_row").agg(F.collect_list("unit").alias("_units"), F.collect_list("ids").alias("_ids"))
-    joined = rows.join(rare, "_row", "left")
+            if not len(left):
+                continue
+            _, at = np.unique(u.hash[left] ^ mix(u.row[left].astype(np.uint64)), return_index=True)
+            at = left[at]
+            of = pa.array(u.row[at])
+            yield pa.RecordBatch.from_arrays([batch["_k"].take(of), batch["_l"].take(of), gather(u.data, u.start[at], u.end[at]).cast(pa.string())], ["_k", "_l", "unit"])
+
+    rare = docs.select("text", keys[0].alias("_k"), keys[1].alias("_l")).mapInArrow(missing, "_k long, _l long, unit string").join(rest, "unit")
+    rare = rare.groupBy("_k", "_l").agg(F.collect_set(F.struct("unit", "ids")).alias("_own")).withColumnsRenamed({"_k": "_rk", "_l": "_rl"})
+    rows = docs.select("text", F.expr(carry).alias("_carry"), keys[0].alias("_k"), keys[1].alias("_l"))
+    joined = rows.join(rare, (F.col("_k") == F.col("_rk")) & (F.col("_l") == F.col("_rl")), "left").select("text", "_carry", "_own")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shared.value
         for batch in slices(batches):
             u = Units(batch["text"], tables.value.meets)
             at = c.table.find(u.hash)
-            size = np.where(at >= 0, c.size[at], 0) if len(c.size) else np.zeros(len(at), np.int64)
-            first = np.where(at >= 0, c.first[at], 0) if len(c.size) else np.zeros(len(at), np.int64)
+            size, first = (np.where(at >= 0, v[at], 0) if len(v) else np.zeros(len(at), np.int64) for v in c.table.values)
             own = c.ids
             if (at < 0).any():
                 # The rows' own encodings stand behind the shared ones.
-                units, ids = batch["_units"], batch["_ids"]
-                owner = np.repeat(np.arange(batch.num_rows), np.asarray(pc.fill_null(pc.list_value_length(units), 0), np.int64))
-                data, off = buffer(units.flatten())
-                inner = ids.flatten()
+                lists = batch["_own"]
+                owner = np.repeat(np.arange(batch.num_rows), np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64))
+                units, inner = (lists.flatten().field(k) for k in ("unit", "ids"))
+                data, off = buffer(units)
                 n = np.asarray(pc.list_value_length(inner), np.int64)
                 begin = len(own) + np.concatenate(([0], np.cumsum(n)))[:-1]
                 own = np.concatenate((own, np.asarray(inner.flatten(), np.int32)))
@@ -362,14 +333,26 @@ def encode(docs: DataFrame, table: Table) -> DataFrame:
                 size[left], first[left] = look.values[0][place], look.values[1][place]
             ends = np.concatenate(([0], np.cumsum(size)))
             flat = own[np.arange(ends[-1]) + np.repeat(first - ends[:-1], size)]
-            off = ends[u.first].astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(off), pa.array(flat.astype(np.int32)))
-            lists = pc.if_else(pc.is_valid(batch["text"]), lists, pa.nulls(batch.num_rows, lists.type))
-            yield pa.RecordBatch.from_arrays([*(batch[x] for x in names), lists], [*names, "ids"])
+            lists = pa.ListArray.from_arrays(pa.array(ends[u.first].astype(np.int32)), pa.array(flat.astype(np.int32)))
+            done = finish(batch["_carry"], batch["text"], lists)
+            yield pa.RecordBatch.from_arrays(list(done.values()), list(done))
+
+    return joined.mapInArrow(run, StructType(out))
+
+
+def encode(docs: DataFrame, table: Table) -> DataFrame:
+    """docs with ids array<int>: the pieces of the whole text; null for a null text, empty for an empty one.
 
-    names = docs.columns
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", ids array<int>"
-    return joined.mapInArrow(run, out)
+    A column of docs named ids is replaced; others may have any names.
+    """
+    names = [c for c in docs.columns if c != "ids"]
+    rows = packed(docs.select(*(F.col(quoted(c)) for c in names))).select("_all", F.col("_all.text").alias("text"))
+
+    def finish(all_: pa.Array, text: pa.Array, lists: pa.ListArray) -> dict[str, pa.Array]:
+        return {"_all": all_, "_ids": pc.if_else(pc.is_valid(text), lists, pa.nulls(len(text), lists.type))}
+
+    out = [StructField("_all", rows.schema["_all"].dataType), StructField("_ids", ArrayType(IntegerType()))]
+    return unpacked(_encoded(rows, table, "_all", finish, out).select(F.col("_all").withField("ids", F.col("_ids")).alias("_all")), [*names, "ids"])
 
 
 def decode(coded: DataFrame, table: Table) -> DataFrame:
@@ -382,19 +365,51 @@ def decode(coded: DataFrame, table: Table) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch["ids"]
-            size = np.asarray(pc.fill_null(pc.list_value_length(ids), 0), np.int64)
-            flat = np.asarray(ids.flatten(), np.int64)
-            data, off = buffer(shared.value.decode(flat, size))
-            whole = data.tobytes()
-            texts = [whole[a + (whole[a : a + 1] == b" ") : b].decode("utf-8", "replace") for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-            decoded = pa.array(texts, pa.string(), mask=np.asarray(pc.is_null(ids).to_numpy(zero_copy_only=False)))
+            decoded = texts_of(batch["ids"], shared.value)
             yield pa.RecordBatch.from_arrays([*(batch[x] for x in names), decoded], [*names, "decoded"])
 
-    out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in coded.schema if f.name != "ids"), "decoded string"])
-    return coded.mapInArrow(run, out)
+    fields = [f for f in coded.schema if f.name != "ids"]
+    return coded.select(*(F.col(quoted(x)) for x in [*names, "ids"])).mapInArrow(run, StructType([*fields, StructField("decoded", StringType())]))
+
+
+def texts_of(ids: pa.ListArray, table: Table) -> pa.Array:
+    """The decoded text of each list; null for a null list."""
+    size = np.asarray(pc.fill_null(pc.list_value_length(ids), 0), np.int64)
+    data, off = buffer(table.decode(np.asarray(ids.flatten(), np.int64), size))
+    # The space put in front goes: each text begins a byte later.
+    start = off[:-1] + ((size > 0) & (data[np.minimum(off[:-1], max(len(data) - 1, 0))] == 32 if len(data) else False))
+    out = gather(data, start, off[1:])
+    try:
+        out = out.cast(pa.string())
+    except pa.ArrowInvalid:
+        out = pa.array([x.as_py().decode("utf-8", "replace") for x in out], pa.string())
+    return pc.if_else(pc.is_valid(ids), out, pa.scalar(None, pa.string()))
 
 
 def op5(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_units, n_pieces, digest of the ids in order, and n_bad (units that don't decode to themselves)."""
-    return measure(docs, Table())
+    """One row per document: doc_id, n_pieces, digest of the ids in order, n_chars of the decoded text, and round_trip: whether it is the text.
+
+    The ids are those of encode() and are decoded again.  The digest is the sum over
+    the pieces of (id + 1) times (the piece's number from 0, mod PRIME, plus 1).  The
+    space sign itself decodes to a space, so a text with one makes no round trip.  A
+    null text has no piece, and null for the rest.
+    """
+    table = Table()
+
+    def finish(doc_id: pa.Array, text: pa.Array, lists: pa.ListArray) -> dict[str, pa.Array]:
+        size = np.asarray(pc.list_value_length(lists), np.int64)
+        flat, first = np.asarray(lists.flatten(), np.int64), np.concatenate(([0], np.cumsum(size)))
+        place = np.arange(len(flat)) - np.repeat(first[:-1], size)
+        upto = np.concatenate(([0], np.cumsum((flat + 1) * (place % PRIME + 1))))
+        decoded, some = texts_of(lists, table), pc.is_valid(text)
+        null = pa.scalar(None, pa.int64())
+        return {
+            "doc_id": doc_id,
+            "n_pieces": pa.array(size),
+            "digest": pc.if_else(some, pa.array(upto[first[1:]] - upto[first[:-1]]), null),
+            "n_chars": pc.if_else(some, pc.utf8_length(decoded).cast(pa.int64()), null),
+            "round_trip": pc.equal(decoded, text),
+        }
+
+    out = [StructField("doc_id", LongType()), *(StructField(k, LongType()) for k in ("n_pieces", "digest", "n_chars")), StructField("round_trip", BooleanType())]
+    return _encoded(integral(docs).select("doc_id", "text"), table, "cast(doc_id as long)", finish, out)
