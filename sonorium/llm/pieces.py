@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from .common import integral, packed, quoted, scratch, unpacked, written
-from .flat import Lookup, buffer, gather, mix, slices, span_hash
+from .flat import Lookup, buffer, gather, mix, slices, span_hash, trim
 
 MODEL = "piece_bpe_32k.model"
 #: Units that are broadcast: so many at most, of so many characters at most, hence of bounded size.
@@ -259,7 +259,7 @@ class Codes:
         data, off = buffer(units)
         size = np.asarray(pc.list_value_length(ids), np.int64)
         self.table = Lookup(span_hash(data, off[:-1], off[1:]), size, np.concatenate(([0], np.cumsum(size)))[:-1])
-        self.ids = np.asarray(ids.flatten(), np.int32)
+        self.ids = np.array(ids.flatten(), np.int32)
 
 
 def _shared(coded: DataFrame) -> tuple[Codes, Column]:
@@ -275,7 +275,10 @@ def _shared(coded: DataFrame) -> tuple[Codes, Column]:
     own = short & (F.col("n") >= least) if least else F.lit(False)
     wide = coded.where(own).select("unit", "ids").toArrow()
     units, ids = (wide[k].combine_chunks() if wide.num_rows else pa.array([], wide.schema.field(k).type) for k in ("unit", "ids"))
-    return Codes(units, ids), own
+    codes = Codes(units, ids)
+    del wide, units, ids
+    trim()
+    return codes, own
 
 
 def _encoded(docs: DataFrame, table: Table, carry: str, finish: Callable[[pa.RecordBatch, pa.Array, pa.ListArray], dict[str, pa.Array]], out: list[StructField]) -> DataFrame:

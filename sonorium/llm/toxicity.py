@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import labelled_sample, remainder
-from .flat import LOWER, Words, buffer, mix, prefix, prefix_hash, slices, span_hash
+from .flat import LOWER, Words, buffer, mix, prefix, prefix_hash, slices, span_hash, trim
 
 #: Features are hashed to so many bits.
 BITS = 22
@@ -148,10 +148,15 @@ def learn(docs: DataFrame, marks: DataFrame, most: int = MOST, bits: int = BITS)
             off = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), batch["_label"].cast(pa.int32()), pa.ListArray.from_arrays(pa.array(off), pa.array(key.astype(np.int32)))], ["doc_id", "label", "keys"])
 
-    table = sample.mapInArrow(extract, "doc_id long, label int, keys array<int>").toArrow().sort_by("doc_id")
-    label, keys = table["label"].to_pylist(), table["keys"].combine_chunks()
-    flat, off = np.asarray(keys.flatten()), np.concatenate(([0], np.cumsum(np.asarray(pc.list_value_length(keys), np.int64)))) if len(keys) else np.zeros(1, np.int64)
-    return fit([(label[i], flat[off[i] : off[i + 1]]) for i in range(len(label))], bits)
+    # Each row's features stay where they came, as views: sorting the table would hold it several times.
+    rows = []
+    for batch in sample.mapInArrow(extract, "doc_id long, label int, keys array<int>").toArrow().to_batches():
+        flat, off = np.asarray(batch["keys"].flatten()), np.concatenate(([0], np.cumsum(np.asarray(pc.list_value_length(batch["keys"]), np.int64))))
+        rows += [(i, label, flat[off[k] : off[k + 1]]) for k, (i, label) in enumerate(zip(batch["doc_id"].to_pylist(), batch["label"].to_pylist(), strict=True))]
+    model = fit([x[1:] for x in sorted(rows, key=lambda x: x[0])], bits)
+    del rows
+    trim()
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
