@@ -101,11 +101,13 @@ def tolerance_match(left: DataFrame, right: DataFrame, by: list[str], time: str,
     Offsets are exploded and equi-joined, so nothing is compared by ranges.
     """
     tries = F.explode(F.array(*(F.struct(F.lit(i).alias("_rank"), F.lit(o).alias("_off")) for i, o in enumerate(offsets)))).alias("_o")
-    rows = left.withColumn("_id", F.struct(*left.columns)).select("*", tries)
+    rows = left.select("*", tries)
     rows = rows.withColumn("_at", F.col(time) + F.expr(f"interval {unit}") * F.col("_o._off"))
     there = right.select(*(F.col(c).alias(f"_{c}") for c in by), F.col(other).alias("_t")).distinct()
     hit = rows.join(there, [F.col(c) == F.col(f"_{c}") for c in by] + [F.col("_at") == F.col("_t")], "left")
-    return hit.groupBy(*left.columns).agg(F.min_by("_t", F.when(F.col("_t").isNotNull(), F.col("_o._rank"))).alias("matched"))
+    # Each row of left is here once for each offset: so many times it comes back, if it was repeated.
+    found = hit.groupBy(*left.columns).agg(F.min_by("_t", F.when(F.col("_t").isNotNull(), F.col("_o._rank"))).alias("matched"), (F.count("*") / len(offsets)).cast("int").alias("_times"))
+    return found.select(*left.columns, "matched", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*left.columns, "matched")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:

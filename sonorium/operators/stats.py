@@ -111,7 +111,7 @@ def friedman(df: DataFrame, by: list[str], block: list[str], condition: str, val
     out = sums.groupBy(*by).agg(F.max("_n").alias("n"), F.count("*").alias("k"), F.sum(F.col("_sum") * F.col("_sum")).alias("_ss"), F.sum("_t").alias("_ties"))
     n, k = F.col("n").cast("double"), F.col("k").cast("double")
     raw = 12.0 / (n * k * (k + 1)) * F.col("_ss") - 3 * n * (k + 1)
-    chi = raw / (1 - F.col("_ties") / (n * (k * k * k - k)))
+    chi = raw / F.nullif(1 - F.col("_ties") / (n * (k * k * k - k)), F.lit(0.0))  # null where all is tied
     return out.select(*by, "n", "k", chi.alias("chi2"), chi_square_p(chi, k - 1).alias("p"))
 
 
@@ -190,7 +190,8 @@ def bootstrap(df: DataFrame, by: list[str], flag: str, replicates: int = 2000, s
     A resample of n flags has multinomial counts of the three values, so a replicate
     costs three numbers whatever n is.  Rows reach Python as counts by group.
     """
-    kinds = df.where(F.col(flag).isNotNull()).groupBy(*by).agg(*(F.count_if(F.col(flag) == v).alias(f"_{k}") for k, v in enumerate((0.0, 0.5, 1.0))))
+    odd = F.when(~F.col(flag).isin(0.0, 0.5, 1.0), F.raise_error(F.lit(f"{flag} has values other than 0, 0.5 and 1")).cast("boolean"))
+    kinds = df.where(F.col(flag).isNotNull() & F.coalesce(odd, F.lit(True))).groupBy(*by).agg(*(F.count_if(F.col(flag) == v).alias(f"_{k}") for k, v in enumerate((0.0, 0.5, 1.0))))
     names = [f"`{f.name}` {f.dataType.simpleString()}" for f in kinds.schema if f.name in by]
 
     def run(batches):  # noqa: ANN001, ANN202
@@ -240,8 +241,10 @@ def f_tail(f: float, d1: float, d2: float) -> float:
 def anova(df: DataFrame, by: list[str], condition: str, value: str) -> DataFrame:
     """One-way analysis of variance between conditions: f, df1, df2, p."""
     sums = df.where(F.col(value).isNotNull()).groupBy(*by, condition).agg(F.count("*").alias("_n"), F.avg(value).alias("_m"), F.coalesce(F.var_pop(value), F.lit(0.0)).alias("_v"))
-    n = F.sum("_n")
-    between = F.sum(F.col("_n") * F.col("_m") * F.col("_m")) - F.pow(F.sum(F.col("_n") * F.col("_m")), F.lit(2.0)) / n
+    n, own = F.sum("_n"), Window.partitionBy(*by)  # a row for each condition
+    away = F.col("_m") - F.sum(F.col("_n") * F.col("_m")).over(own) / F.sum("_n").over(own)
+    sums = sums.withColumn("_away", F.col("_n") * away * away)
+    between = F.sum("_away")
     out = sums.groupBy(*by).agg((F.count("*") - 1).alias("df1"), (n - F.count("*")).alias("df2"), between.alias("_b"), F.sum(F.col("_n") * F.col("_v")).alias("_w"))
     f = (F.col("_b") / F.col("df1")) / (F.col("_w") / F.col("df2"))
     tail = F.udf(lambda f, a, b: None if f is None or a <= 0 or b <= 0 else f_tail(f, a, b), "double")
@@ -297,11 +300,18 @@ def shapiro_wilk(x: np.ndarray) -> tuple[float, float]:
 
 def normality(df: DataFrame, by: list[str], value: str, most: int = 5000, seed: int = 0) -> DataFrame:
     """Shapiro-Wilk by group: n (values), w, p.  The test is made for at most `most` values: of a larger group it sees that many, picked by a seeded hash."""
-    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
-    keyed = rows.withColumn("_h", F.xxhash64("_v", F.monotonically_increasing_id(), F.lit(seed)))
+    # By a hash of the whole row, the same on every run; equal rows stand for each other.
+    keyed = rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"), F.xxhash64(*df.columns, F.lit(seed)).alias("_h"))
     own = Window.partitionBy(*by)
-    kept = keyed.withColumn("_i", F.row_number().over(own.orderBy("_h"))).where(F.col("_i") <= most)
+    kept = keyed.withColumn("_i", F.row_number().over(own.orderBy("_h", "_v"))).where(F.col("_i") <= most)
     sizes = rows.groupBy(*by).agg(F.count("*").alias("n"))
     test = F.udf(lambda v: tuple(None if x != x else float(x) for x in shapiro_wilk(np.array(v))), "w double, p double")
     tested = kept.groupBy(*by).agg(test(F.sort_array(F.collect_list("_v"))).alias("_t"))
-    return sizes.join(tested, by).select(*by, "n", "_t.w", "_t.p")
+    both = sizes.join(tested, by) if by else sizes.crossJoin(tested)  # one row each
+    return both.select(*by, "n", "_t.w", "_t.p")
+
+
+def guarded(tests: DataFrame, n: str, results: list[str], least: int = 5) -> DataFrame:
+    """Test results with `status`: those of fewer than `least` cases are null and insufficient."""
+    enough = F.coalesce(F.col(n) >= least, F.lit(False))
+    return tests.withColumns({c: F.when(enough, F.col(c)) for c in results} | {"status": F.when(enough, "ok").otherwise("insufficient")})

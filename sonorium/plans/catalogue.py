@@ -337,7 +337,7 @@ def exclusion_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's events as intervals of whole seconds that reach to the next event, or a day at most."""
-    e = table(spark, sf_dir, "events").where("user_id % 2 = 0")
+    e = table(spark, sf_dir, "events")
     own = Window.partitionBy("user_id").orderBy("ts", "event_id")
     start = F.unix_seconds(F.col("ts").cast("timestamp")).cast("double")
     rows = e.select("user_id", "ts", "event_id", F.col("event_type").alias("label"), start.alias("xmin")).withColumn("_next", F.lead("xmin").over(own))
@@ -345,7 +345,7 @@ def _tier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TIER = """SELECT user_id, ts, event_id, label, xmin, least(coalesce(lead(xmin) OVER (PARTITION BY user_id ORDER BY ts, event_id), xmin), xmin + 14400) AS xmax
-    FROM (SELECT user_id, ts, event_id, event_type AS label, floor(epoch(ts))::DOUBLE AS xmin FROM events WHERE user_id % 2 = 0)"""
+    FROM (SELECT user_id, ts, event_id, event_type AS label, floor(epoch(ts))::DOUBLE AS xmin FROM events)"""
 
 
 @query(
@@ -461,17 +461,19 @@ def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "subseq_contains",
-    r"""WITH n AS (SELECT item_id, list_filter(regexp_split_to_array(text, '[ \n]+'), lambda x: x <> '')[1:8] AS w FROM benchmark), d AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \n]+'), lambda x: x <> '') AS w FROM documents WHERE lang = 'en')
-    SELECT item_id, count(*) AS n FROM n, d WHERE contains(chr(1) || array_to_string(d.w, chr(1)) || chr(1), chr(1) || array_to_string(n.w, chr(1)) || chr(1)) GROUP BY item_id""",
+    r"""WITH n AS (SELECT item_id, list_filter(regexp_split_to_array(text, '[ \n]+'), lambda x: x <> '') AS w FROM benchmark), d AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \n]+'), lambda x: x <> '') AS w FROM documents)
+    SELECT item_id, count(DISTINCT doc_id) AS n FROM n, d WHERE contains(chr(1) || array_to_string(d.w, chr(1)) || chr(1), chr(1) || array_to_string(n.w, chr(1)) || chr(1)) GROUP BY item_id""",
 )
 def subseq_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = lambda c: F.filter(F.split(c, r"[ \n]+"), lambda w: w != "")
-    needles = table(spark, sf_dir, "benchmark").select("item_id", F.slice(words("text"), 1, 8).alias("needle"))
-    hay = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", words("text").alias("hay"))
-    # Runs of as many words as the needle has meet it by equality; the array test then confirms.
-    runs = hay.select("doc_id", "hay", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("hay") - 7, F.lit(1))), lambda i: F.xxhash64(F.slice("hay", i, 8))))).alias("h"))
-    met = runs.join(needles.withColumn("h", F.xxhash64("needle")), "h").where(intervals.contains("hay", "needle"))
-    return met.groupBy("item_id").agg(F.count("*").alias("n"))
+    needles = table(spark, sf_dir, "benchmark").select("item_id", words("text").alias("needle"))
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    # A document and a needle meet by the needle's first words, as many as the shortest has; the whole needle then confirms.
+    k = min(8, needles.agg(F.min(F.size("needle"))).first()[0] or 1)
+    heads = F.get(F.transform(F.array(words("text")), lambda a: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(a) - k + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(a, i, k))))), F.lit(0))
+    met = docs.select("doc_id", F.explode(heads).alias("h")).join(needles.withColumn("h", F.xxhash64(F.slice("needle", 1, k))), "h").select("doc_id", "item_id", "needle")
+    found = met.join(docs.select("doc_id", words("text").alias("hay")), "doc_id").where(intervals.contains("hay", "needle"))
+    return found.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n"))
 
 
 @query("wer_turns")
@@ -507,18 +509,21 @@ def abx_dtw_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "abx_l2_cells",
-    """WITH i AS (SELECT vec_id AS id, vec_id % 4 AS speaker, label AS phoneme, embedding AS e FROM embeddings WHERE vec_id < 120 AND label < 4),
-    t AS (SELECT x.speaker, x.phoneme AS p, b.phoneme AS q, x.e AS xe, a.e AS ae, b.e AS be FROM i x JOIN i a ON a.speaker = x.speaker AND a.phoneme = x.phoneme AND a.id <> x.id JOIN i b ON b.speaker = x.speaker AND b.phoneme <> x.phoneme),
+    """WITH i AS (SELECT vec_id AS id, vec_id % 4 AS speaker, label AS phoneme, embedding AS e, row_number() OVER (PARTITION BY vec_id % 4, label ORDER BY vec_id) - 1 AS i, count(*) OVER (PARTITION BY vec_id % 4, label) AS n FROM embeddings),
+    t AS (SELECT x.speaker, x.phoneme AS p, b.phoneme AS q, x.e AS xe, a.e AS ae, b.e AS be FROM i x JOIN i a ON a.speaker = x.speaker AND a.phoneme = x.phoneme AND a.i = (x.i + 1) % x.n AND x.n > 1 JOIN i b ON b.speaker = x.speaker AND b.phoneme <> x.phoneme AND b.i = x.i % b.n),
     s AS (SELECT speaker, p, q, list_sum(list_transform(list_zip(xe, ae), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) ** 2)) AS da, list_sum(list_transform(list_zip(xe, be), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) ** 2)) AS db FROM t)
     SELECT speaker, p, q, round(avg(CASE WHEN da < db THEN 1.0::DOUBLE WHEN da > db THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END), 8) AS score, count(*) AS n FROM s GROUP BY ALL""",
 )
 def abx_l2_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # A small study of four classes, in which all triplets are made.
-    items = _items(spark, sf_dir).where("id < 120 and phoneme < 4")
-    x = items.select("speaker", F.col("phoneme").alias("p"), F.col("id").alias("x_id"))
-    a = items.select("speaker", F.col("phoneme").alias("p"), F.col("id").alias("a_id"))
-    b = items.select("speaker", F.col("phoneme").alias("q"), F.col("id").alias("b_id"))
-    every = x.join(a, ["speaker", "p"]).where("x_id <> a_id").join(b, "speaker").where("p <> q")
+    """Every item as x, with the next of its class as a and, of each other class, the one in its own place as b."""
+    items = _items(spark, sf_dir)
+    own = Window.partitionBy("speaker", "phoneme")
+    placed = items.select("speaker", "phoneme", "id", (F.row_number().over(own.orderBy("id")) - 1).alias("i"), F.count("*").over(own).alias("n"))
+    x = placed.where("n > 1").select("speaker", F.col("phoneme").alias("p"), F.col("id").alias("x_id"), "i", ((F.col("i") + 1) % F.col("n")).alias("j"))
+    a = placed.select("speaker", F.col("phoneme").alias("p"), F.col("id").alias("a_id"), F.col("i").cast("long").alias("j"))
+    sizes = placed.groupBy("speaker", F.col("phoneme").alias("q")).agg(F.count("*").alias("m"))
+    b = placed.select("speaker", F.col("phoneme").alias("q"), F.col("id").alias("b_id"), F.col("i").cast("long").alias("k"))
+    every = x.join(a, ["speaker", "p", "j"]).join(sizes, "speaker").where("p <> q").withColumn("k", F.col("i") % F.col("m")).join(b, ["speaker", "q", "k"]).select("speaker", "p", "q", "x_id", "a_id", "b_id")
     distances = align.pair_distances(every, items, "embedding", lambda d: d.withColumn("distance", align.distance_l2(F.col("_x"), F.col("_y"))))
     return align.abx_cells(align.abx_scores(every, distances)).withColumn("score", F.round("score", 8))
 
@@ -563,9 +568,16 @@ def rate_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.rate_histogram(table(spark, sf_dir, "part").select(F.col("p_brand").alias("dir"), F.col("p_size").alias("rate")))
 
 
+def _load() -> None:
+    """The modules that register more queries here."""
+    from . import expressions, reports  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_sql)

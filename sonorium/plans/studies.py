@@ -48,12 +48,18 @@ def formant_rmse(frames: DataFrame, reference: str, others: list[str], scale: st
     return {
         "long": long,
         "summary": stats.summary(long, ["formant", "condition"], "rmse_hz"),
-        "friedman": stats.friedman(long, ["formant"], block, "condition", "rmse_hz"),
+        "friedman": stats.guarded(stats.friedman(long, ["formant"], block, "condition", "rmse_hz"), "n", ["chi2", "p"]),
         "wilcoxon": stats.holm(stats.wilcoxon(pairs, ["formant", "pair"], "_d"), ["formant"], "p"),
         "excluded": pairing.exclusion_reasons(ref.select(*key, "vowel_id"), rest.select(*key, "condition"), slot, "phoneme", len(others)),
     }
 
 
+def unmapped_units(frames: DataFrame) -> DataFrame:
+    """recording, n: the units (recording, id) with a label that no phoneme stands for."""
+    rows = frames.withColumn("recording", text.recording_key("file_name")).where(text.phoneme("label").isNull())
+    return rows.groupBy("recording").agg(F.countDistinct("id").alias("n"))
+
+
 def token_errors(frames: DataFrame) -> DataFrame:
     """condition, speaker, recording, vowel_id, error: the first error of each token in reading order."""
     rows = frames.withColumn("recording", text.recording_key("file_name")).where(F.col("error").isNotNull())
@@ -89,8 +95,8 @@ def abx(items: DataFrame, most: int = 5, replicates: int = 2000, seed: int = 0,
     """
     fields = fields or FORMANTS
     conditions = sorted(r["condition"] for r in items.select("condition").distinct().collect())
-    shared = items.join(pairing.in_all(items, ["id"], "condition", len(conditions)), "id").persist()
-    chosen = sampling.triplets(shared.where(F.col("condition") == conditions[0]) if conditions else shared, most=most, seed=seed).persist()
+    shared = items.join(pairing.in_all(items, ["id"], "condition", len(conditions)), "id")
+    chosen = sampling.triplets(shared.where(F.col("condition") == conditions[0]) if conditions else shared, most=most, seed=seed)
     scored = []
     for c in conditions:
         own = shared.where(F.col("condition") == c)

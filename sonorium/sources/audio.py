@@ -11,38 +11,52 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def chunks(data: bytes) -> Iterator[tuple[bytes, int, int]]:
+    """Name, place and size of each chunk of a RIFF file."""
+    at = 12
+    while at + 8 <= len(data):
+        size = int.from_bytes(data[at + 4 : at + 8], "little")
+        yield data[at : at + 4], at + 8, size
+        at += 8 + size + size % 2
+
+
+def _wave(data: bytes) -> tuple[int, int, int, int, int] | None:
+    """Rate, channels, bits, place and size of the samples of a WAV file."""
+    found = None
+    for name, at, size in chunks(data) if data[:4] == b"RIFF" and data[8:12] == b"WAVE" else ():
+        if name == b"fmt " and at + 16 <= len(data):
+            _, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", data, at)
+            found = (rate, channels, bits)
+        elif name == b"data" and found:
+            return *found, at, size
+    return None
+
+
 def header(data: bytes) -> tuple[str, int, int, int, int] | None:
     """Format, sampling rate, channels, bits, frames of a WAV or FLAC file; None for others."""
-    if data[:4] == b"RIFF" and data[8:12] == b"WAVE":
-        at, found = 12, None
-        while at + 8 <= len(data):
-            name, size = data[at : at + 4], int.from_bytes(data[at + 4 : at + 8], "little")
-            if name == b"fmt " and at + 24 <= len(data):
-                _, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", data, at + 8)
-                found = (rate, channels, bits)
-            elif name == b"data" and found:
-                rate, channels, bits = found
-                return "wav", rate, channels, bits, size // max(1, channels * bits // 8)
-            at += 8 + size + size % 2
-        return None
+    if wave := _wave(data):
+        rate, channels, bits, _, size = wave
+        return "wav", rate, channels, bits, size // max(1, channels * bits // 8)
     if data[:4] == b"fLaC" and len(data) >= 26:
         bits = int.from_bytes(data[18:26], "big")
         return "flac", bits >> 44, (bits >> 41 & 7) + 1, (bits >> 36 & 31) + 1, bits & ((1 << 36) - 1)
     return None
 
 
-def samples(data: bytes) -> list[float]:
-    """First channel of a PCM WAV file, between -1 and 1; empty for others."""
-    found = header(data)
-    if not found or found[0] != "wav":
-        return []
-    _, _, channels, bits, frames = found
-    at = data.index(b"data", 12) + 8
-    kind = {8: np.uint8, 16: "<i2", 32: "<i4"}.get(bits)
-    if kind is None:
-        return []
-    x = np.frombuffer(data, kind, min(frames * channels, (len(data) - at) * 8 // bits), at)[::channels].astype(float)
-    return ((x - 128) / 128 if bits == 8 else x / 2.0 ** (bits - 1)).tolist()
+def samples(data: bytes) -> list[float] | None:
+    """First channel of a PCM WAV file of 8, 16, 24 or 32 bits, between -1 and 1; None for what can't be decoded (FLAC, others)."""
+    wave = _wave(data)
+    if not wave or wave[2] not in (8, 16, 24, 32) or not wave[1]:
+        return None
+    _, channels, bits, at, size = wave
+    width = bits // 8
+    n = min(size, len(data) - at) // (channels * width)
+    raw = np.frombuffer(data, np.uint8, n * channels * width, at).reshape(n, channels, width)[:, 0]
+    if bits == 8:
+        return ((raw[:, 0].astype(float) - 128) / 128).tolist()
+    wide = np.zeros((n, 4), np.uint8)
+    wide[:, 4 - width :] = raw
+    return (wide.view("<i4")[:, 0] / 2.0**31).tolist()
 
 
 def files(spark: SparkSession, path: str, pattern: str = "*.{wav,flac}") -> DataFrame:

@@ -6,6 +6,8 @@ first or the last row in the order of files.  NaN becomes null here and nowhere
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,8 +28,11 @@ def _file() -> Column:
 
 
 def _ordered(df: DataFrame) -> DataFrame:
-    """row_idx: rising in each file in reading order (blocks of a file are read in order of their offsets)."""
-    return df.withColumn("row_idx", F.col("_block") * (1 << 33) + F.monotonically_increasing_id() % (1 << 33)).drop("_block")
+    """row_idx: rising in each file in reading order.
+
+    A task reads fewer rows than a block has bytes, so the offset of the block and the row's number in the task add up in order.
+    """
+    return df.withColumn("row_idx", F.col("_block") + F.monotonically_increasing_id() % (1 << 33)).drop("_block")
 
 
 def speaker(path: Column, flat_pattern: str, upper: bool = False) -> Column:
@@ -113,38 +118,36 @@ def mapping(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumns({c: numeric(c) for c in ("start", "end", "dur") if c in raw.columns})
 
 
+#: What counts in an annotation file: free-standing strings, numbers and marks; the words between them only say what these are.
+_TOKEN = re.compile(r'"((?:[^"]|"")*)"|(?<![^\s=])([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?|--undefined--)(?!\S)')
+#: The kinds of tiers and how many values an entry of each has.
+_TIERS = {"IntervalTier": 3, "TextTier": 2}
+
+
 def parse_annotation(text: str) -> list[tuple[str, int, float | None, float | None, str]]:
-    """(tier, pos, xmin, xmax, label) of the interval tiers of a long-form annotation file; empty labels stay."""
+    """(tier, pos, xmin, xmax, label) of the interval tiers of an annotation file, long or short; empty labels stay.
+
+    The file is a stream of values: for each tier its kind, its name, two times, the
+    number of entries, and then the entries, an interval being two times and a label.
+    Labels may hold line feeds and doubled quotes.  Of a file cut short the whole entries count.
+    """
+    stream: list[str | float | None] = []
+    for label, value in ((m[1], m[2]) for m in _TOKEN.finditer(text)):
+        stream.append(label.replace('""', '"') if label is not None else None if value.startswith("--") else float(value))
     out: list[tuple[str, int, float | None, float | None, str]] = []
-    kind, tier, place = "", None, {}
-    bounds: dict[str, float | None] = {}
-
-    def number(s: str) -> float | None:
-        try:
-            return float(s)
-        except ValueError:
-            return None
-
-    for line in map(str.strip, text.splitlines()):
-        key, _, value = (x.strip() for x in line.partition("="))
-        if line.startswith("item ["):
-            kind, tier, bounds = "", None, {}
-        elif key == "class":
-            kind = value.strip('"')
-        elif key == "name":
-            tier = value.strip('"') if kind == "IntervalTier" else None
-        elif tier is None:
-            continue
-        elif line.startswith("intervals ["):
-            bounds = {}
-        elif key in ("xmin", "xmax"):
-            bounds[key] = number(value)
-        elif key == "text":
-            whole = len(value) >= 2 and value[0] == value[-1] == '"'
-            label = (value[1:-1] if whole else value.strip('"')).replace('""', '"')
-            place[tier] = place.get(tier, -1) + 1
-            out.append((tier, place[tier], bounds.get("xmin"), bounds.get("xmax"), label))
-            bounds = {}
+    count: Counter[str] = Counter()
+    at = next((i for i, x in enumerate(stream) if x in _TIERS), len(stream))
+    while at + 5 <= len(stream) and stream[at] in _TIERS:
+        kind, name, size = stream[at], stream[at + 1], stream[at + 4]
+        width, n = _TIERS[kind], int(size) if isinstance(size, float) else 0
+        entries = stream[at + 5 : at + 5 + n * width]
+        if kind == "IntervalTier":
+            for xmin, xmax, label in zip(entries[0::width], entries[1::width], entries[2::width], strict=False):
+                if not isinstance(label, str):
+                    break
+                out.append((str(name), count[str(name)], xmin, xmax, label))
+                count[str(name)] += 1
+        at += 5 + n * width
     return out
 
 

@@ -92,3 +92,20 @@ def test_sinks(spark, tmp_path):
     assert len(spark.read.json(str(tmp_path / "d")).first()["sample"]) == 2
     assert sinks.boxes(spark.createDataFrame([("a", float(k)) for k in range(5)], "g string, v double"), ["g"], "v").first().median == 2.0
     assert mos.roles(spark.createDataFrame([("x",), ("x",)], "role string")).first().n == 2
+
+
+def test_annotation_values(spark):
+    text = 'File type = "ooTextFile"\nObject class = "TextGrid"\n\nxmin = 0\nxmax = 3\ntiers? <exists>\nsize = 2\nitem []:\n item [1]:\n class = "TextTier"\n name = "marks"\n xmin = 0\n xmax = 3\n points: size = 1\n points [1]:\n number = 1\n mark = "m 5"\n'
+    text += ' item [2]:\n class = "IntervalTier"\n name = "words"\n xmin = 0\n xmax = 3\n intervals: size = 2\n intervals [1]:\n xmin = 0\n xmax = 1.5\n text = "a ""b""\nc = 7"\n intervals [2]:\n xmin = 1.5\n xmax = 3\n text = ""\n'
+    want = [("words", 0, 0.0, 1.5, 'a "b"\nc = 7'), ("words", 1, 1.5, 3.0, "")]
+    assert tables.parse_annotation(text) == want
+    assert tables.parse_annotation('"IntervalTier" "words" 0 3 2\n0 1.5 "a ""b""\nc = 7"\n1.5 3 ""') == want and tables.parse_annotation("") == []
+
+
+def test_samples_of_a_file_with_other_chunks():
+    data = struct.pack("<4h", 1000, 2000, 3000, 4000)
+    body = b"fmt " + struct.pack("<IHHIIHH", 16, 1, 1, 8000, 16000, 2, 16) + b"LIST" + struct.pack("<I", 8) + b"data\x04\0\0\0" + b"data" + struct.pack("<I", len(data)) + data
+    wav = b"RIFF" + struct.pack("<I", 4 + len(body)) + b"WAVE" + body
+    assert [round(x * 32768) for x in audio.samples(wav)] == [1000, 2000, 3000, 4000] and audio.samples(b"fLaC") is None
+    wide = body.replace(struct.pack("<IIHH", 8000, 16000, 2, 16), struct.pack("<IIHH", 8000, 24000, 3, 24)).replace(data, b"\0\0\x40\0\0\xc0")
+    assert audio.samples(b"RIFF" + struct.pack("<I", 4 + len(wide)) + b"WAVE" + wide) == [0.5, -0.5]
