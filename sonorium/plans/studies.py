@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 from itertools import combinations
+from tempfile import mkdtemp
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,16 @@ from ..operators import align, intervals, pairing, sampling, stats
 FORMANTS = ["F1_s", "F2_s", "F3_s"]
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df, checkpointed: what is read several times is made once, in the folder that all executors share."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        sc.setCheckpointDir(mkdtemp())
+    return df.checkpoint()
+
+
 def vowels(frames: DataFrame, formants: list[str] | None = None) -> DataFrame:
     """One row per vowel: condition, the track key, vowel_id, raw_label, track.
 
@@ -95,8 +106,8 @@ def abx(items: DataFrame, most: int = 5, replicates: int = 2000, seed: int = 0,
     """
     fields = fields or FORMANTS
     conditions = sorted(r["condition"] for r in items.select("condition").distinct().collect())
-    shared = items.join(pairing.in_all(items, ["id"], "condition", len(conditions)), "id")
-    chosen = sampling.triplets(shared.where(F.col("condition") == conditions[0]) if conditions else shared, most=most, seed=seed)
+    shared = kept(items.join(pairing.in_all(items, ["id"], "condition", len(conditions)), "id"))
+    chosen = kept(sampling.triplets(shared.where(F.col("condition") == conditions[0]) if conditions else shared, most=most, seed=seed))
     scored = []
     for c in conditions:
         own = shared.where(F.col("condition") == c)

@@ -84,16 +84,16 @@ def test_anova_and_t(spark):
 
 def test_anova_with_a_large_mean_and_ties(spark):
     df = spark.createDataFrame([(k // 3, float(x) + 1e9) for k, x in enumerate((0, 1, 2, 1, 2, 3))], "c int, v double")
-    assert abs(stats.anova(df, [], "c", "v").first().f - 1.5) < 1e-9
+    assert abs(S.anova(df, [], "c", "v").first().f - 1.5) < 1e-9
     tied = spark.createDataFrame([(b, c, 1.0) for b in range(3) for c in "xyz"], "b int, c string, v double")
-    r = stats.friedman(tied, [], ["b"], "c", "v").first()
+    r = S.friedman(tied, [], ["b"], "c", "v").first()
     assert r.chi2 is None and r.p is None
-    few = stats.guarded(stats.summary(df, ["c"], "v"), "count", ["mean"]).collect()
+    few = S.guarded(S.summary(df, ["c"], "v"), "count", ["mean"]).collect()
     assert all(x.status == "insufficient" and x["mean"] is None for x in few)
 
 
 def test_normality_without_groups_and_flags_that_are_none(spark):
     df = spark.range(50).selectExpr("cast(id as double) v", "0.25D f")
-    assert stats.normality(df, [], "v").first().n == 50
+    assert S.normality(df, [], "v").first().n == 50
     with pytest.raises(Exception, match="other than"):
-        stats.bootstrap(df, [], "f").collect()
+        S.bootstrap(df, [], "f").collect()
