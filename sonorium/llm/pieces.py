@@ -19,6 +19,7 @@ the text all the same.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,14 +27,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import integral, packed, quoted, scratch, unpacked, written
-from .flat import Lookup, buffer, gather, mix, slices, span_hash, trim
+from .common import integral, quoted, scratch, written
+from .flat import SLICE_BYTES, Lookup, buffer, gather, mix, slices, span_hash, trim
 
 MODEL = "piece_bpe_32k.model"
 #: Units that are broadcast: so many at most, of so many characters at most, hence of bounded size.
-SHARED, SHARED_CHARS = 400_000, 64
+SHARED, SHARED_CHARS = 1_000_000, 64
 #: A piece table of more rows is not broadcast to the join of substrings.
 MOST_PIECES = 1_000_000
 #: Units in one partition of the lattice, about: bounds what the grouping holds.
@@ -284,16 +285,22 @@ def _shared(coded: DataFrame) -> tuple[Codes, Column]:
 def _encoded(docs: DataFrame, table: Table, carry: str, finish: Callable[[pa.RecordBatch, pa.Array, pa.ListArray], dict[str, pa.Array]], out: list[StructField]) -> DataFrame:
     """What finish makes of each batch of rows of docs, its texts and their ids; carry: the columns it needs besides, by expression.
 
-    Texts are shuffled once, to meet the encodings of their rare units; rows and
-    encodings meet by two hashes of the text, so nothing of the rows is written.
+    Texts are shuffled once, compressed, to meet the encodings of their rare units;
+    rows and encodings meet by two hashes of the text, so nothing of the rows is written.
     """
     sc = docs.sparkSession.sparkContext
     with scratch(docs.sparkSession) as put:
         coded = put(encodings(docs, table, put))
         codes, own = _shared(coded)
-        rest = written(coded.where(~own).select("unit", "ids"))
+
+        def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                data, off = buffer(batch["unit"])
+                yield pa.RecordBatch.from_arrays([pa.array(span_hash(data, off[:-1], off[1:]).view(np.int64)), batch["ids"]], ["_hash", "ids"])
+
+        rest = written(coded.where(~own).select("unit", "ids").mapInArrow(hashed, "_hash long, ids array<int>"))
     shared, tables = sc.broadcast(codes), sc.broadcast(table)
-    keys = (F.xxhash64("text"), F.xxhash64(F.lit("text"), "text"))
+    keys = (F.xxhash64("text").alias("_k"), F.xxhash64(F.lit("text"), "text").alias("_l"))
 
     def missing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -304,16 +311,27 @@ def _encoded(docs: DataFrame, table: Table, carry: str, finish: Callable[[pa.Rec
             _, at = np.unique(u.hash[left] ^ mix(u.row[left].astype(np.uint64)), return_index=True)
             at = left[at]
             of = pa.array(u.row[at])
-            yield pa.RecordBatch.from_arrays([batch["_k"].take(of), batch["_l"].take(of), gather(u.data, u.start[at], u.end[at]).cast(pa.string())], ["_k", "_l", "unit"])
+            yield pa.RecordBatch.from_arrays([batch["_k"].take(of), batch["_l"].take(of), pa.array(u.hash[at].view(np.int64))], ["_k", "_l", "_hash"])
+
+    def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            packed_ = [None if x is None else zlib.compress(x, 6) for x in batch["text"].cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["_carry"], batch["_k"], batch["_l"], pa.array(packed_, pa.binary())], ["_carry", "_k", "_l", "_z"])
+
+    rare = docs.select("text", *keys).mapInArrow(missing, "_k long, _l long, _hash long").join(rest, "_hash")
+    rare = rare.groupBy("_k", "_l").agg(F.collect_set(F.struct("_hash", "ids")).alias("_own")).withColumnsRenamed({"_k": "_rk", "_l": "_rl"})
+    rows = docs.select("text", F.expr(carry).alias("_carry"), *keys)
+    rows = rows.mapInArrow(squeezed, StructType([rows.schema["_carry"], *(StructField(k, LongType()) for k in ("_k", "_l")), StructField("_z", BinaryType())]))
+    joined = rows.join(rare, (F.col("_k") == F.col("_rk")) & (F.col("_l") == F.col("_rl")), "left").select("_carry", "_z", "_own")
 
-    rare = docs.select("text", keys[0].alias("_k"), keys[1].alias("_l")).mapInArrow(missing, "_k long, _l long, unit string").join(rest, "unit")
-    rare = rare.groupBy("_k", "_l").agg(F.collect_set(F.struct("unit", "ids")).alias("_own")).withColumnsRenamed({"_k": "_rk", "_l": "_rl"})
-    rows = docs.select("text", F.expr(carry).alias("_carry"), keys[0].alias("_k"), keys[1].alias("_l"))
-    joined = rows.join(rare, (F.col("_k") == F.col("_rk")) & (F.col("_l") == F.col("_rl")), "left").select("text", "_carry", "_own")
+    def unsqueezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "_z", SLICE_BYTES // 4):
+            text = pa.array([None if x is None else zlib.decompress(x).decode() for x in batch["_z"].to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch["_carry"], text, batch["_own"]], ["_carry", "text", "_own"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shared.value
-        for batch in slices(batches):
+        for batch in slices(unsqueezed(batches)):
             u = Units(batch["text"], tables.value.meets)
             at = c.table.find(u.hash)
             size, first = (np.where(at >= 0, v[at], 0) if len(v) else np.zeros(len(at), np.int64) for v in c.table.values)
@@ -322,13 +340,12 @@ def _encoded(docs: DataFrame, table: Table, carry: str, finish: Callable[[pa.Rec
                 # The rows' own encodings stand behind the shared ones.
                 lists = batch["_own"]
                 owner = np.repeat(np.arange(batch.num_rows), np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64))
-                units, inner = (lists.flatten().field(k) for k in ("unit", "ids"))
-                data, off = buffer(units)
+                hashes, inner = (lists.flatten().field(k) for k in ("_hash", "ids"))
                 n = np.asarray(pc.list_value_length(inner), np.int64)
                 begin = len(own) + np.concatenate(([0], np.cumsum(n)))[:-1]
                 own = np.concatenate((own, np.asarray(inner.flatten(), np.int32)))
                 key = lambda h, r: mix(h ^ mix(r.astype(np.uint64)))
-                look = Lookup(key(span_hash(data, off[:-1], off[1:]), owner), n, begin)
+                look = Lookup(key(np.asarray(hashes, np.int64).view(np.uint64), owner), n, begin)
                 left = np.flatnonzero(at < 0)
                 place = look.find(key(u.hash[left], u.row[left]))
                 if (place < 0).any():
@@ -349,13 +366,16 @@ def encode(docs: DataFrame, table: Table) -> DataFrame:
     A column of docs named ids is replaced; others may have any names.
     """
     names = [c for c in docs.columns if c != "ids"]
-    rows = packed(docs.select(*(F.col(quoted(c)) for c in names))).select("_all", F.col("_all.text").alias("text"))
+    # By place, so that there is always a field and no name can clash.
+    others = F.struct(F.lit(0).alias("none"), *(F.col(quoted(c)).alias(f"c{k}") for k, c in enumerate(names) if c != "text"))
+    rows = docs.select("text", others.alias("_all"))
 
     def finish(all_: pa.Array, text: pa.Array, lists: pa.ListArray) -> dict[str, pa.Array]:
-        return {"_all": all_, "_ids": pc.if_else(pc.is_valid(text), lists, pa.nulls(len(text), lists.type))}
+        return {"_all": all_, "_text": text, "_ids": pc.if_else(pc.is_valid(text), lists, pa.nulls(len(text), lists.type))}
 
-    out = [StructField("_all", rows.schema["_all"].dataType), StructField("_ids", ArrayType(IntegerType()))]
-    return unpacked(_encoded(rows, table, "_all", finish, out).select(F.col("_all").withField("ids", F.col("_ids")).alias("_all")), [*names, "ids"])
+    out = [StructField("_all", rows.schema["_all"].dataType), StructField("_text", StringType()), StructField("_ids", ArrayType(IntegerType()))]
+    coded = _encoded(rows, table, "_all", finish, out)
+    return coded.select(*((F.col("_text") if c == "text" else F.col(f"_all.c{k}")).alias(c) for k, c in enumerate(names)), F.col("_ids").alias("ids"))
 
 
 def decode(coded: DataFrame, table: Table) -> DataFrame:
