@@ -6,7 +6,9 @@ that inflected forms of a word share a weight, the one-word grams also stand for
 the word's stems: its first 4 to 7 bytes.
 FTRL keeps a learning rate of its own for each coordinate, and its L1 penalty
 leaves most weights at exactly zero: what is broadcast is a sorted array of the
-rest, which the hash space bounds.
+rest, which the hash space bounds.  The penalty is high: a long text has thousands
+of features that occur in it alone, and their small weights would outvote the few
+that tell.
 
 Learning sees at most `most` labelled documents (a documented bound on the
 labels alone); their features are made on the executors.  Scoring is one pass
@@ -30,8 +32,10 @@ from .flat import LOWER, Words, buffer, mix, prefix, prefix_hash, slices, span_h
 BITS = 22
 #: Labelled documents that are used for learning, at most.
 MOST = 8_000
-EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.6, 1.0
+EPOCHS = 6
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 1.0
+#: A toxic document counts as so many when learning.
+POSITIVE = 4.0
 THRESHOLD = 0.3
 #: Bytes of the stems.
 STEMS = (4, 5, 6, 7)
@@ -133,7 +137,7 @@ def fit(rows: list[tuple[int, np.ndarray]], bits: int = BITS, epochs: int = EPOC
     for epoch in range(epochs):
         for i in np.random.default_rng(epoch).permutation(len(rows)):
             label, at = rows[i]
-            model.learn(np.append(at, size), label)
+            model.learn(np.append(at, size), label, POSITIVE if label else 1.0)
     at = np.flatnonzero(np.abs(model.z[:size]) > model.l1)
     return Model(at, model.weights(at), float(model.weights(np.array([size]))[0]), bits)
 
