@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +24,10 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new path in the folder that driver and executors share, gone with the session.
 
@@ -89,6 +94,16 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def mapped(docs: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """docs.mapInArrow(run) with the columns of docs, which `run` gets and gives back in their order.
+
+    They are called c0, c1 and so on meanwhile, as mapInArrow looks for columns whose names
+    hold a dot or a backquote under other ones.
+    """
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
 def integral(docs: DataFrame) -> DataFrame:
     """docs, if doc_id is an integer, as all operators here carry it; else an error that says so."""
     kind = docs.schema["doc_id"].dataType

@@ -102,16 +102,16 @@ def trim() -> None:
 
 
 class Words:
-    """The words `[^\\x20\\x09-\\x0D]+` of a column.
+    """The words `[^\\x20\\x09-\\x0D]+` of a column, or runs of other bytes for which `solid` is true.
 
     start, end: byte range of each word in data; first: index of each row's first
     word, with the total at the end; row: the row of each word.
     """
 
-    def __init__(self, data: np.ndarray, off: np.ndarray):
+    def __init__(self, data: np.ndarray, off: np.ndarray, solid: np.ndarray = ~_SPACE):
         self.data, self.off = data, off
         n = len(data)
-        solid = ~_SPACE[data]
+        solid = solid[data]
         edge = np.zeros(n + 1, bool)
         edge[off] = True
         opens = solid.copy()

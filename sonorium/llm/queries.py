@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classlm, language, lines, mixing, neardup, ogg, pieces, quality, rules, toxicity
-from .common import documents, labels
+from . import classlm, infill, language, lines, mixing, neardup, ogg, personal, pieces, quality, resample, rules, toxicity
+from .common import benchmark, documents, labels
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,9 +50,38 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.op10(documents(spark, sf_dir))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.op11(documents(spark, sf_dir))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.op12(documents(spark, sf_dir))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.op13(documents(spark, sf_dir), benchmark(spark, sf_dir))
+
+
+_ALL = (
+    op1_near_dedup,
+    op2_quality,
+    op3_language_id,
+    op4_ogg,
+    op5_sentencepiece,
+    op6_class_lm,
+    op7_quality_rules,
+    op8_toxicity,
+    op9_mixing,
+    op10_line_dedup,
+    op11_personal_data,
+    op12_fill_in_middle,
+    op13_resampling,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_quality, op3_language_id, op4_ogg, op5_sentencepiece, op6_class_lm, op7_quality_rules, op8_toxicity, op9_mixing, op10_line_dedup)}
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_fill_in_middle": infill.SQL, "op13_resampling": resample.SQL}

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, remainder
+from .common import labelled_sample, mapped, remainder
 from .flat import LOWER, Words, buffer, mix, prefix, prefix_hash, slices, span_hash, trim
 
 #: Features are hashed to so many bits.
@@ -184,12 +184,13 @@ def clean(docs: DataFrame, marks: DataFrame, threshold: float = THRESHOLD) -> Da
     The score is computed beside the row in one pass: no join, no shuffle.
     """
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs, marks))
+    text = f"c{docs.columns.index('text')}"
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            yield batch.filter(pa.array(shared.value.score(batch["text"]) < threshold))
+        for batch in slices(batches, text):
+            yield batch.filter(pa.array(shared.value.score(batch[text]) < threshold))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return mapped(docs, keep)
 
 
 def op8(docs: DataFrame, marks: DataFrame) -> DataFrame:
