@@ -6,10 +6,14 @@ once every language whose filter contains it.  A document's n-grams are counted
 per language in this way; from each count the number that the filter's false
 positives explain is taken off, and the largest rest decides.
 
-Scale: learning shuffles one row for each task, language and distinct n-gram;
-an n-gram enters a language's filter when its share of that language's n-grams
-reaches `share`, so a language has at most 1/share entries and the broadcast
-filter has a fixed size whatever the corpus.
+A language has an n-gram when the n-gram's share of all that language's n-grams reaches
+`share`.  The share belongs to the method: what occurs at all in a language grows
+with the corpus until each language has nearly everything, what has a share does
+not.  So a language has at most 1/share entries, and the broadcast filter has a fixed
+size for each 64 languages, whatever the corpus.  `Filters.covered` says which part of each
+language's n-grams are entries.
+
+Scale: learning shuffles one row for each task, language and distinct n-gram.
 """
 
 from __future__ import annotations
@@ -21,14 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, written
+from .common import integral, remainder, written
 from .flat import LOWER, Tally, buffer, mix, slices
 
 N = 4
 SLOTS = 1 << 20
 HASHES = 3
 SHARE = 2e-5
-MOST_LANGUAGES = 63
+#: Languages in a word of a mask; more of them take more words.
+WIDE = 64
 
 
 def grams(data: np.ndarray, off: np.ndarray, n: int = N) -> tuple[np.ndarray, np.ndarray]:
@@ -59,25 +64,29 @@ def _slots(packed: np.ndarray, slots: int, hashes: int) -> list[np.ndarray]:
 
 
 class Filters:
-    """Bloom filters of several languages, sliced by bit."""
+    """Bloom filters of any number of languages, sliced by bit: a slot has a word for each 64 of them."""
 
-    def __init__(self, names: list[str], entries: list[np.ndarray], slots: int = SLOTS, hashes: int = HASHES, usual: int = 0):
-        """usual: the language of a text that has a letter but no known n-gram."""
-        self.names, self.slots, self.hashes, self.usual = names, slots, hashes, usual
+    def __init__(self, names: list[str], entries: list[np.ndarray], slots: int = SLOTS, hashes: int = HASHES, usual: int = 0, covered: list[float] | None = None):
+        """usual: the language of a text that has a letter but no known n-gram; covered: the part of each language's n-grams that are entries."""
+        self.names, self.slots, self.hashes, self.usual, self.covered = names, slots, hashes, usual, covered
         kind = np.uint8 if len(names) <= 8 else np.uint64
-        self.masks = np.zeros(slots, kind)
-        for bit, packed in enumerate(entries):
+        self.masks = [np.zeros(slots, kind) for _ in range(max(1, -(-len(names) // WIDE)))]
+        for k, packed in enumerate(entries):
             for at in _slots(packed, slots, hashes):
-                self.masks[at] |= kind(1 << bit)
-        fill = np.array([((self.masks >> kind(b)) & kind(1)).mean() for b in range(len(names))]) if names else np.zeros(0)
+                self.masks[k // WIDE][at] |= kind(1 << k % WIDE)
+        fill = np.array([self._bit(self.masks[k // WIDE], k).mean() for k in range(len(names))]) if names else np.zeros(0)
         self.false = np.minimum(fill**hashes, 0.99)
 
-    def hits(self, packed: np.ndarray) -> np.ndarray:
-        """The mask of languages that contain each n-gram."""
+    @staticmethod
+    def _bit(mask: np.ndarray, k: int) -> np.ndarray:
+        return (mask >> mask.dtype.type(k % WIDE)) & mask.dtype.type(1)
+
+    def hits(self, packed: np.ndarray) -> list[np.ndarray]:
+        """The masks of languages that contain each n-gram, word by word."""
         first, *rest = _slots(packed, self.slots, self.hashes)
-        out = self.masks[first]
+        out = [m[first] for m in self.masks]
         for at in rest:
-            out = out & self.masks[at]
+            out = [x & m[at] for x, m in zip(out, self.masks, strict=True)]
         return out
 
     def score(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,17 +95,16 @@ class Filters:
         rows, hits = len(off) - 1, self.hits(packed)
         total = np.bincount(row, minlength=rows).astype(float)
         counts = np.empty((rows, len(self.names)))
-        for b, false in enumerate(self.false):
-            n = np.bincount(row, ((hits >> hits.dtype.type(b)) & hits.dtype.type(1)).astype(float), rows)
-            counts[:, b] = np.maximum(0, n - false * total) / (1 - false)
+        for k, false in enumerate(self.false):
+            n = np.bincount(row, self._bit(hits[k // WIDE], k).astype(float), rows)
+            counts[:, k] = np.maximum(0, n - false * total) / (1 - false)
         return total, counts
 
 
 def learn(docs: DataFrame, share: float = SHARE, slots: int = SLOTS, hashes: int = HASHES) -> Filters:
     """Filters from the rows (text, lang) of docs, all of them.
 
-    Null texts and null languages teach nothing.  Raises ValueError for more than
-    63 languages, the bits that a mask has.
+    Null texts and null languages teach nothing.
     """
     schema = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
 
@@ -125,13 +133,13 @@ def learn(docs: DataFrame, share: float = SHARE, slots: int = SLOTS, hashes: int
     counts = written(counts)
     totals = {r["lang"]: r["t"] for r in counts.groupBy("lang").agg(F.sum("n").alias("t")).collect()}
     names = sorted(totals)
-    if len(names) > MOST_LANGUAGES:
-        raise ValueError(f"{len(names)} languages; a mask has bits for {MOST_LANGUAGES}")
     if not names:
         return Filters([], [], slots, hashes)
     least = F.create_map([x for lang in names for x in (F.lit(lang), F.lit(max(1.0, share * totals[lang])))])
-    frequent = counts.where(F.col("n") >= least[F.col("lang")]).select("lang", "gram").toPandas()
-    return Filters(names, [frequent.loc[frequent["lang"] == x, "gram"].to_numpy(np.uint64) for x in names], slots, hashes, names.index(max(names, key=totals.get)))
+    frequent = counts.where(F.col("n") >= least[F.col("lang")]).toPandas()
+    own = [frequent.loc[frequent["lang"] == x] for x in names]
+    covered = [float(x["n"].sum()) / totals[lang] for x, lang in zip(own, names, strict=True)]
+    return Filters(names, [x["gram"].to_numpy(np.uint64) for x in own], slots, hashes, names.index(max(names, key=totals.get)), covered)
 
 
 def identify(docs: DataFrame, filters: Filters) -> DataFrame:
@@ -173,6 +181,6 @@ def _padded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def op3(docs: DataFrame) -> DataFrame:
     """The contract's result: doc_id, held_out, lang_pred, score for every document."""
-    filters = learn(docs.where(remainder("doc_id", 5) != 0))
+    filters = learn(integral(docs).where(remainder("doc_id", 5) != 0))
     out = identify(docs, filters)
     return out.select("doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
