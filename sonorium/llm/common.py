@@ -9,9 +9,11 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Bytes of text that a classifier learns from, at most.
+MOST_BYTES = 1 << 28
 #: Fixed pattern of the contract: a word is a run of anything but space and controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -119,19 +121,28 @@ def remainder(doc_id: str | Column, by: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, marks: DataFrame, label: str, by: int, kept: int, most: int) -> DataFrame:
-    """At most `most` labelled documents (doc_id, text, label) outside the held-out remainder.
+    """At most `most` labelled documents (doc_id, text, _label) of `MOST_BYTES` together, outside the held-out remainder; written.
 
     kept: the remainder that is held out.  The choice is by a hash of doc_id, so it
     is the same in each run and does not depend on the order of rows.  A document
     labelled more than once counts as 1 if any row says so; null labels and ids
-    are left out.  `most` bounds what is broadcast and collected.
+    are left out.  Of rows with one id the one with the greatest text counts.  `most` bounds what is broadcast, and
+    both bounds what is collected: texts that would go beyond the bytes are not learned from.
     """
+    order = (F.xxhash64("doc_id"), "doc_id")
     marks = (
         marks.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
         .where(remainder("doc_id", by) != kept)
         .groupBy("doc_id")
         .agg(F.max(F.col(label).cast("int")).alias("_label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
+        .orderBy(*order)
         .limit(most)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id").select("doc_id", "text", "_label")
+    one = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id").groupBy("doc_id", "_label").agg(F.max("text").alias("text"))
+    one = written(one.select("doc_id", "text", "_label"))
+    # At most `most` rows of two numbers.
+    sizes = one.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("_b"))
+    upto = sizes.withColumn("_upto", F.sum(F.col("_b").cast("long")).over(Window.orderBy(*order)))
+    if (upto.agg(F.max("_upto")).first()[0] or 0) <= MOST_BYTES:
+        return one
+    return one.join(F.broadcast(upto.where(F.col("_upto") <= MOST_BYTES).select("doc_id")), "doc_id", "left_semi")
