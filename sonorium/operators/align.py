@@ -14,7 +14,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
+
+from .ranking import meet
 
 #: Pairs that are aligned together, and cells of a diagonal over them, at most.
 PAIRS, CELLS = 512, 1 << 20
@@ -264,69 +266,77 @@ def abx_accuracy(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
     return one.groupBy(*by).agg(F.avg("_a").alias("mean_across_speakers"), (F.sum(F.col("_a") * F.col("_n")) / F.sum("_n")).alias("accuracy_pooled"), F.sum("_n").alias("n_triplets"))
 
 
-def _same(a: str, b: str) -> bool:
-    """Equal but for hyphens and a final s or 's."""
-    a, b = a.replace("-", ""), b.replace("-", "")
-    return a == b or any(p == q + end for p, q in ((a, b), (b, a)) for end in ("s", "'s"))
+def _alike(a: Column, b: Column) -> Column:
+    """Equal, or so but for a final s or 's."""
+    longer = lambda x, y: F.startswith(x, y) & F.substring(x, F.char_length(y) + 1, F.lit(3)).isin("s", "'s")
+    return (a == b) | longer(a, b) | longer(b, a)
+
 
+def _stripped(c: Column | str) -> Column:
+    """In lower case, without quotes at the ends."""
+    return F.regexp_replace(F.lower(c), r"^['\"]+|['\"]+$", "")
 
-def find_sentence(words: list[str], start: int, tokens: list[str], window: int = 5, extra: int = 8) -> tuple[int, int] | None:
-    """First and last place of words that hold the tokens in order, with gaps; beginning at most `window` after start.
 
-    A token may stand as two words that follow each other.  From a beginning, no more
-    than len(tokens) + extra words are gone through.
+def _found(words: Column, at: Column, tokens: Column, extra: int) -> Column:
+    """first and last place of words that hold the tokens in order, beginning to look at `at`; null if they do not.
+
+    A fold over the words, whose state is how many tokens are found.  A word is passed over, or it is
+    the next token, or it is so with the word behind it.  No more than len(tokens) + extra words are passed before the last begins.
     """
-    for at in range(start, min(start + window, len(words) - 1) + 1):
-        place, used, hits = at, 0, []
-        for token in tokens:
-            step = 0
-            while place < len(words) and used <= len(tokens) + extra:
-                step = 1 if _same(token, words[place]) else 2 if place + 1 < len(words) and _same(token, words[place] + words[place + 1]) else 0
-                if step:
-                    hits.append((place, place + step - 1))
-                place, used = place + (step or 1), used + (step or 1)
-                if step:
-                    break
-            if not step:
-                break
-        if len(hits) == len(tokens):
-            return hits[0][0], hits[-1][1]
-    return None
-
-
-def segments(words: DataFrame, sentences: DataFrame, by: str, window: int = 5) -> DataFrame:
+    none = F.lit(None).cast("int")
+
+    def state(n: Column, skip: Column, first: Column, last: Column) -> Column:
+        return F.struct(n.alias("n"), skip.alias("skip"), first.alias("first"), last.alias("last"))
+
+    def step(s: Column, w: Column) -> Column:
+        token = F.get(tokens, s["n"])
+        hit = lambda more: state(s["n"] + 1, F.lit(more > 0), F.coalesce(s["first"], w["i"]), w["i"] + more)
+        return F.when(s["skip"], state(s["n"], F.lit(False), s["first"], s["last"])).when(s["n"] >= F.size(tokens), s).when(_alike(token, w["one"]), hit(0)).when(F.coalesce(_alike(token, w["two"]), F.lit(False)), hit(1)).otherwise(s)
+
+    return F.aggregate(F.slice(words, at + 1, F.size(tokens) + extra + 1), state(F.lit(0), F.lit(False), none, none), step, lambda s: F.when(s["n"] == F.size(tokens), F.struct(s["first"].alias("first"), s["last"].alias("last"))))
+
+
+_SEGMENT = StructType([StructField("pos", LongType()), StructField("sentence", StringType()), StructField("status", StringType()), StructField("t_start", DoubleType()), StructField("t_end", DoubleType())])
+
+
+def segments(words: DataFrame, sentences: DataFrame, by: str, window: int = 5, extra: int = 8) -> DataFrame:
     """by, pos, sentence, status, t_start, t_end: the sentences of each recording, searched one after another in its words.
 
     words: by, pos, xmin, xmax, label; sentences: by, pos, sentence.  status: ok,
     no_match, or last_word_mismatch.  The search for a sentence begins behind the one
-    before (by its number of tokens), or one word on after a failure.
+    before (by its number of tokens), or one word on after a failure, and tries the `window` places behind that too.
+    Hyphens do not count, but in the last word they do.  A fold over a recording's sentences carries the place;
+    sentences without a token are left out.
     """
-    schema = StructType([StructField(by, words.schema[by].dataType), StructField("pos", LongType()), StructField("sentence", StringType()), StructField("status", StringType()), StructField("t_start", DoubleType()), StructField("t_end", DoubleType())])
     from ..functions.text import plain_quotes
 
-    spoken = words.where(F.trim("label") != "").withColumn("_l", F.regexp_replace(F.lower(plain_quotes("label")), r"^['\"]+|['\"]+$", ""))
-    spoken = spoken.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("pos", "xmin", "xmax", F.col("_l").alias("label")))).alias("_words"))
-    tokens = F.filter(F.transform(F.split(plain_quotes("sentence"), r"[^\w']+"), lambda w: F.regexp_replace(F.lower(w), r"^['\"]+|['\"]+$", "")), lambda w: w != "")
-    told = sentences.withColumn("_t", tokens).where(F.size("_t") > 0).groupBy(by).agg(F.sort_array(F.collect_list(F.struct("pos", "sentence", F.col("_t").alias("tokens")))).alias("_sentences"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                ws = r["_words"] or []
-                labels, cursor = [w["label"] for w in ws], 0
-                for s in r["_sentences"]:
-                    hit = find_sentence(labels, cursor, s["tokens"], window)
-                    ok = hit is not None and _same(s["tokens"][-1], labels[hit[1]])
-                    status = "ok" if ok else "no_match" if hit is None else "last_word_mismatch"
-                    rows.append((r[by], s["pos"], s["sentence"], status, ws[hit[0]]["xmin"] if ok else None, ws[hit[1]]["xmax"] if ok else None))
-                    cursor = hit[0] + len(s["tokens"]) if ok else cursor + 1
-            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in rows], schema=arrow)
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = to_arrow_schema(schema)
-    return told.join(spoken, by, "left").mapInArrow(run, schema)
+    spoken = words.where(F.trim("label") != "").withColumn("_l", _stripped("label"))
+    plain = F.replace(plain_quotes("_l"), F.lit("-"), F.lit(""))
+    spoken = spoken.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("pos", "xmin", "xmax", F.col("_l").alias("label"), plain.alias("plain")))).alias("_words"))
+    each = F.transform("_words", lambda w, i: F.struct(w["plain"].alias("one"), F.concat(w["plain"], F.get("_words", i + 1)["plain"]).alias("two"), i.alias("i")))
+    spoken = spoken.withColumn("_seq", each)
+    tokens = F.filter(F.transform(F.filter(F.split(plain_quotes("sentence"), r"(?U)[^\w']+"), lambda w: w != ""), _stripped), lambda w: w.isNotNull())
+    told = sentences.withColumn("_t", tokens).where(F.size("_t") > 0).groupBy(by).agg(F.sort_array(F.collect_list(F.struct(F.col("pos").cast("long").alias("pos"), "sentence", F.col("_t").alias("tokens")))).alias("_sentences"))
+    none = F.array().cast("array<struct<one:string,two:string,i:int>>")
+    both = meet(told, spoken, [by], "left").withColumns({"_seq": F.coalesce("_seq", none)})
+    hit = StructType([StructField("first", IntegerType()), StructField("last", IntegerType())])
+
+    def step(state: Column, s: Column) -> Column:
+        at = lambda found, off: F.when(found.isNotNull(), found).when(state["at"] + off < F.size("_seq"), _found(F.col("_seq"), state["at"] + off, s["tokens"], extra))
+        found = F.aggregate(F.sequence(F.lit(0), F.lit(window)), F.lit(None).cast(hit), at)
+
+        def take(h: Column) -> Column:
+            first, last = F.get("_words", h["first"]), F.get("_words", h["last"])
+            ok = F.coalesce(h.isNotNull() & _alike(F.element_at(s["tokens"], -1), last["label"]), F.lit(False))
+            status = F.when(ok, "ok").when(h.isNull(), "no_match").otherwise("last_word_mismatch")
+            row = F.struct(s["pos"].alias("pos"), s["sentence"].alias("sentence"), status.alias("status"), F.when(ok, first["xmin"].cast("double")).alias("t_start"), F.when(ok, last["xmax"].cast("double")).alias("t_end"))
+            return F.struct(F.when(ok, h["first"] + F.size(s["tokens"])).otherwise(state["at"] + 1).alias("at"), F.array_append(state["out"], row).alias("out"))
+
+        # As the element of an array, what is found is found once.
+        return F.get(F.transform(F.array(found), take), F.lit(0))
+
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(ArrayType(_SEGMENT)).alias("out"))
+    return both.select(by, F.explode(F.aggregate("_sentences", begin, step, lambda s: s["out"])).alias("_x")).select(by, "_x.*")
 
 
 def spectrogram(samples: DataFrame, by: str, column: str, rate: int) -> DataFrame:

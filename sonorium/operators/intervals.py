@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import SILENT_TIER, SILENT_WORDS, prompt_tokens, silent
+from .ranking import meet
 
 EPS = 1e-6
 
@@ -42,12 +43,18 @@ def contained(words: DataFrame, phones: DataFrame, by: list[str], eps: float = E
     """For each word its phones inside it: by, pos, word, phones (in order).
 
     words and phones: by, pos, xmin, xmax, label.  Silent and empty labels are left
-    out; a word without times has no phones.  Equi-join on the file, then a range
-    condition: a file's tiers are short.
+    out; a word without times has no phones, and a phone that ends before it begins is in none.  Time is
+    cut into bins as long as the mean word: a phone lies in the bin of its beginning, a word meets
+    those that it reaches over, three on average, so that the range is checked within a bin only.
     """
     w = words.where(F.coalesce(~F.lower("label").isin(*SILENT_TIER), F.lit(False))).select(*by, "pos", F.lower("label").alias("word"), F.col("xmin").alias("_a"), F.col("xmax").alias("_b"))
-    p = phones.where(F.coalesce(~F.col("label").isin(*SILENT_TIER), F.lit(False))).select(*(F.col(c).alias(f"_{c}") for c in by), F.col("pos").alias("_p"), F.col("xmin").alias("_c"), F.col("xmax").alias("_d"), F.col("label").alias("_phone"))
-    on = [F.col(c) == F.col(f"_{c}") for c in by] + [F.col("_c") >= F.col("_a") - eps, F.col("_d") <= F.col("_b") + eps]
+    p = phones.where(F.coalesce(~F.col("label").isin(*SILENT_TIER), F.lit(False)) & (F.col("xmin") <= F.col("xmax"))).select(*(F.col(c).alias(f"_{c}") for c in by), F.col("pos").alias("_p"), F.col("xmin").alias("_c"), F.col("xmax").alias("_d"), F.col("label").alias("_phone"))
+    mean = F.broadcast(w.agg(F.greatest(F.coalesce(F.avg(F.col("_b") - F.col("_a")), F.lit(1.0)), F.lit(1e-3)).alias("_width")))  # one row
+    bin_ = lambda t: F.floor(t / F.col("_width"))
+    reach = F.when(F.col("_b") + eps >= F.col("_a") - eps, F.sequence(bin_(F.col("_a") - eps), bin_(F.col("_b") + eps)))
+    w = w.crossJoin(mean).select(*by, "pos", "word", "_a", "_b", F.explode_outer(reach).alias("_at"))
+    p = p.crossJoin(mean).withColumn("_bin", bin_(F.col("_c"))).drop("_width")
+    on = [F.col(c) == F.col(f"_{c}") for c in by] + [F.col("_at") == F.col("_bin"), F.col("_c") >= F.col("_a") - eps, F.col("_d") <= F.col("_b") + eps]
     return w.join(p, on, "left").groupBy(*by, "pos", "word").agg(F.transform(F.sort_array(F.collect_list(F.when(F.col("_p").isNotNull(), F.struct("_p", "_phone")))), lambda x: x["_phone"]).alias("phones"))
 
 
@@ -85,20 +92,26 @@ def moving_mean(df: DataFrame, by: list[str], order: str, value: Column | str, k
 def drop_index(samples: DataFrame, by: list[str], rate: Column | int, ratio: float = 0.9, fixed_width: int | None = None) -> DataFrame:
     """by, end_idx: the place (from 1) of the first sample in the tail whose level falls below ratio times the least level before it.
 
-    samples: by, idx (from 0), sample.  Level: root of the centred mean of squares
-    over 50 ms.  The part before ends 7 s or 70 % of the length before the end and
-    begins at 0.5 s.  fixed_width: samples in the window where the rate is a column.
+    samples: by, idx (from 0, without gaps), sample.  rate: samples a second, a number or a column with one value for each by.
+    Level: root of the centred mean of squares over 50 ms, or over fixed_width samples.  The part
+    before ends 7 s or 70 % of the length before the end and begins at 0.5 s.  The mean is
+    that of running sums at both ends of its window, so that its width may be another in each file.
     """
     from ..functions.text import half_away
 
     rate = F.lit(rate) if isinstance(rate, int) else rate
-    width = fixed_width
-    if width is None:
-        raise ValueError("fixed_width: a window frame has a constant width; pass 0.05 times the rate")
-    level = moving_mean(samples, by, "idx", F.col("sample") * F.col("sample"), width, "_ms").withColumn("_rms", F.sqrt("_ms"))
-    sized = level.withColumn("_n", F.count("*").over(Window.partitionBy(*by)))
-    sized = sized.withColumn("_start", half_away(0.5 * rate)).withColumn("_end", F.col("_n") - half_away(F.least(7.0 * rate, 0.7 * F.col("_n"))))
-    bound = sized.withColumn("_least", F.min(F.when((F.col("idx") >= F.col("_start") - 1) & (F.col("idx") < F.col("_end")), F.col("_rms"))).over(Window.partitionBy(*by)))
+    width = F.lit(fixed_width) if fixed_width is not None else half_away(0.05 * rate)
+    own = Window.partitionBy(*by)
+    rows = samples.withColumns({"_rate": rate.cast("double"), "_w": F.greatest(width.cast("long"), F.lit(1).cast("long")), "_n": F.count("*").over(own)})
+    rows = rows.withColumn("_sum", F.sum(F.col("sample") * F.col("sample")).over(own.orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    back = F.floor(F.col("_w") / 2)
+    rows = rows.withColumns({"_hi": F.least(F.col("idx") + F.col("_w") - 1 - back, F.col("_n") - 1), "_lo": F.greatest(F.col("idx") - back, F.lit(0)) - 1})
+    for side in ("_hi", "_lo"):
+        there = rows.select(*by, F.col("idx").alias(side), F.col("_sum").alias(f"{side}_sum"))
+        rows = meet(rows, there, [*by, side], "left")
+    level = F.sqrt(F.greatest(F.lit(0.0), (F.col("_hi_sum") - F.coalesce("_lo_sum", F.lit(0.0))) / (F.col("_hi") - F.col("_lo"))))
+    sized = rows.select(*by, "idx", level.alias("_rms"), half_away(0.5 * F.col("_rate")).alias("_start"), (F.col("_n") - half_away(F.least(7.0 * F.col("_rate"), 0.7 * F.col("_n")))).alias("_end"))
+    bound = sized.withColumn("_least", F.min(F.when((F.col("idx") >= F.col("_start") - 1) & (F.col("idx") < F.col("_end")), F.col("_rms"))).over(own))
     return bound.groupBy(*by).agg(F.min(F.when((F.col("idx") >= F.col("_end") - 1) & (F.col("_rms") < ratio * F.col("_least")), F.col("idx"))).alias("_i")).select(*by, (F.col("_i") + 1).alias("end_idx"))
 
 

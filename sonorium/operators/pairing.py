@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import meet
+
 #: What makes two vowels of different conditions the same one.
 TRACK_KEY = ["speaker", "recording", "pre_word", "word", "fol_word", "phoneme", "in_word_index"]
 
@@ -77,10 +79,13 @@ def set_counts(df: DataFrame, by: list[str], source: str, name: str, sources: li
 
 
 def listing(df: DataFrame, by: list[str], name: str, most: int = 5) -> DataFrame:
-    """by, listed: the first names in order and how many more there are."""
-    names = df.groupBy(*by).agg(F.sort_array(F.collect_set(name)).alias("_all"))
-    more = F.when(F.size("_all") > most, F.concat(F.lit(" +"), (F.size("_all") - most).cast("string"), F.lit(" more"))).otherwise(F.lit(""))
-    return names.select(*by, F.concat(F.array_join(F.slice("_all", 1, most), ", "), more).alias("listed"))
+    """by, listed: the first names in order and how many more there are; no task holds more of a group than those."""
+    names = df.select(*by, name).where(F.col(name).isNotNull()).distinct()
+    first = names.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(name))).where(F.col("_i") <= most)
+    first = first.groupBy(*by).agg(F.array_join(F.sort_array(F.collect_list(name)), ", ").alias("_first"))
+    sizes = df.groupBy(*by).agg(F.countDistinct(name).alias("_n"))
+    more = F.when(F.col("_n") > most, F.concat(F.lit(" +"), (F.col("_n") - most).cast("string"), F.lit(" more"))).otherwise(F.lit(""))
+    return meet(sizes, first, by, "left").select(*by, F.concat(F.coalesce("_first", F.lit("")), more).alias("listed"))
 
 
 def orphans(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import running
+
 
 def shuffle_key(c: Column | str, seed: int = 0) -> Column:
     """md5 of seed and value: an order that SQL engines agree on."""
@@ -32,15 +34,24 @@ def grid(*parts: DataFrame) -> DataFrame:
     return out
 
 
+def numbered(df: DataFrame, order: list[Column | str], out: str) -> DataFrame:
+    """df with the row's number in this order, from 1: ranges of the order are numbered by themselves, after what stands before them."""
+    rows = df.withColumn("_o", F.struct(*order)).withColumn("_one", F.lit(1))
+    placed = running(rows, [], "_o", "_one", "_upto")
+    same = Window.partitionBy("_o")
+    return placed.withColumn(out, F.col("_upto") - F.count("*").over(same) + F.row_number().over(same.orderBy("_one"))).drop("_o", "_one", "_upto")
+
+
 def opaque_ids(df: DataFrame, key: list[str], prefix: str = "stim", seed: int = 0, out: str = "id") -> DataFrame:
-    """Numbered ids in shuffled order, so that an id tells nothing.  For manifests of stimuli: all rows are numbered in one task."""
+    """Numbered ids in shuffled order, so that an id tells nothing."""
     h = shuffle_key(F.concat_ws("|", *(F.col(c).cast("string") for c in key)), seed)
-    return df.withColumn(out, F.format_string(f"{prefix}_%04d", F.row_number().over(Window.orderBy(h, *key))))
+    return numbered(df, [h, *key], "_number").withColumn(out, F.format_string(f"{prefix}_%04d", "_number")).drop("_number")
 
 
 def blocks(df: DataFrame, label: str, block: int, size: int = 4) -> DataFrame:
     """Rows of a block: `size` labels in order from (block - 1) * size on, around the end."""
-    place = df.select(label).distinct().withColumn("_p", F.row_number().over(Window.orderBy(label)) - 1).withColumn("_n", F.count("*").over(Window.partitionBy()))
+    names = df.select(label).distinct()
+    place = numbered(names, [label], "_p").withColumn("_p", F.col("_p") - 1).crossJoin(F.broadcast(names.agg(F.count("*").alias("_n"))))  # one row
     inside = F.pmod(F.col("_p") - (block - 1) * size, F.col("_n")) < size
     return df.join(F.broadcast(place.where(inside).select(label).limit(size)), label)
 
@@ -50,8 +61,8 @@ def round_robin(items: DataFrame, pool: DataFrame, order: str, pool_order: str)
     n = pool.count()
     if not n:
         return items.limit(0).crossJoin(pool.limit(0))
-    a = items.withColumn("_k", (F.row_number().over(Window.orderBy(order)) - 1) % n)
-    b = pool.withColumn("_k", F.row_number().over(Window.orderBy(pool_order)) - 1)
+    a = numbered(items, [order], "_k").withColumn("_k", (F.col("_k") - 1) % n)
+    b = numbered(pool, [pool_order], "_k").withColumn("_k", F.col("_k") - 1)
     return a.join(b, "_k").drop("_k")
 
 

@@ -2,7 +2,8 @@
 
 Every test takes long rows and a list of group columns, so the tests of many
 groups run side by side.  Ranks come from counts by value, so what is sorted is
-the different values of a group, not its rows, and ties need no second look.
+the different values of a group, not its rows, and ties need no second look; a group's
+values are sorted bucket by bucket (ranking.py), so no task has a whole group.
 p-values are normal (or chi-square) approximations; erfc is a rational one with
 relative error below 1.2e-7, in plain arithmetic so that SQL can repeat it.
 """
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import col
+from .ranking import mean_ranks, medians, meet, running
 
 # Coefficients of the Chebyshev fit to erfc(z) = t exp(-z^2 + P(t)), t = 1 / (1 + z / 2).
 ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
@@ -35,14 +37,17 @@ def two_sided(z: Column) -> Column:
 
 def summary(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """count, mean, median and sample deviation; nulls are skipped."""
-    return df.groupBy(*by).agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.stddev_samp(value).alias("std"))
+    sums = df.groupBy(*by).agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
+    middle = medians(df, by, value)
+    if not by:  # one row, also of an empty table
+        middle = middle.agg(F.max("median").alias("median"))
+    return meet(sums, middle, by, "left").select(*by, "count", "mean", "median", "std")
 
 
 def ranks(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """by, value, n and rank of each different value: ties have the mean of their ranks."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy(*by).orderBy(value))
-    return counts.withColumn("rank", upto - (F.col("n") - 1) / F.lit(2.0))
+    return mean_ranks(counts, by, value)
 
 
 def wilcoxon(df: DataFrame, by: list[str], difference: str) -> DataFrame:
@@ -56,11 +61,10 @@ def wilcoxon(df: DataFrame, by: list[str], difference: str) -> DataFrame:
     rows = df.select(*by, d.alias("_d")).where(d.isNotNull())
     counts = rows.groupBy(*by, F.abs("_d").alias("_v")).agg(F.count_if(F.col("_d") > 0).alias("_p"), F.count_if(F.col("_d") < 0).alias("_m"))
     counts = counts.withColumn("n", F.col("_p") + F.col("_m")).where("n > 0")
-    upto = F.sum("n").over(Window.partitionBy(*by).orderBy("_v"))
-    counts = counts.withColumn("_r", upto - (F.col("n") - 1) / F.lit(2.0))
+    counts = mean_ranks(counts, by, "_v", out="_r")
     n = F.col("n").cast("double")
     sums = counts.groupBy(*by).agg(F.sum("n").alias("n"), F.sum(F.col("_r") * F.col("_p")).alias("_up"), F.sum(F.col("_r") * F.col("_m")).alias("_down"), F.sum(n * n * n - n).alias("_ties"))
-    all_ = rows.select(*by).distinct().join(sums, by, "left") if by else sums
+    all_ = meet(rows.select(*by).distinct(), sums, by, "left") if by else sums
     n = F.col("n").cast("double")
     w = F.least("_up", "_down")
     sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - F.col("_ties") / 48.0)
@@ -81,18 +85,42 @@ def mann_whitney(df: DataFrame, by: list[str], value: str, first: Column) -> Dat
     """
     rows = df.select(*by, F.col(value).alias("_v"), first.alias("_a")).where(F.col("_v").isNotNull() & F.col("_a").isNotNull())
     counts = rows.groupBy(*by, "_v").agg(F.count_if("_a").alias("_n1"), F.count("*").alias("n"))
-    counts = counts.withColumn("_r", F.sum("n").over(Window.partitionBy(*by).orderBy("_v")) - (F.col("n") - 1) / F.lit(2.0))
+    counts = mean_ranks(counts, by, "_v", out="_r")
     t = F.col("n").cast("double")
     sums = counts.groupBy(*by).agg(F.sum("_n1").alias("n1"), (F.sum("n") - F.sum("_n1")).alias("n2"), F.sum(F.col("_r") * F.col("_n1")).alias("_sum"), F.sum(t * t * t - t).alias("_ties"))
-    medians = rows.groupBy(*by).agg(F.median(F.when(F.col("_a"), F.col("_v"))).alias("_m1"), F.median(F.when(~F.col("_a"), F.col("_v"))).alias("_m2"))
-    both = sums.join(medians, by) if by else sums.crossJoin(F.broadcast(medians))  # one row each
-    a, b = F.col("n1").cast("double"), F.col("n2").cast("double")
+    sums = sums.withColumn("_u", F.col("_sum") - F.col("n1") * (F.col("n1") + 1) / F.lit(2.0))
+    middle = medians(rows, [*by, "_a"], "_v", "_m").groupBy(*by).agg(F.max(F.when(F.col("_a"), F.col("_m"))).alias("_m1"), F.max(F.when(~F.col("_a"), F.col("_m"))).alias("_m2"))
+    return _u_test(meet(sums, middle, by), by)
+
+
+def mann_whitney_against(df: DataFrame, by: list[str], value: str, baseline: DataFrame) -> DataFrame:
+    """The same test of each group's rows against one sample that all share: baseline, with the same value column.
+
+    n2 is the size of the baseline, median_diff the group's median less the baseline's.  The baseline is
+    counted by value and never repeated: in one order of all values a running sum says how
+    many of its rows lie below each value of a group.
+    """
+    own = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n1"))
+    base = baseline.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_n0"))
+    tagged = own.withColumn("_n0", F.lit(0).cast("long")).withColumn("_own", F.lit(True)).unionByName(base.select(*(F.lit(None).cast(df.schema[c].dataType).alias(c) for c in by), "_v", F.lit(0).cast("long").alias("_n1"), "_n0", F.lit(False).alias("_own")))
+    placed = running(tagged, [], "_v", "_n0", "_upto").withColumn("_same", F.sum("_n0").over(Window.partitionBy("_v")))
+    ties = lambda n: n.cast("double") * n * n - n
+    whole = base.agg(F.coalesce(F.sum("_n0"), F.lit(0)).alias("n2"), F.coalesce(F.sum(ties(F.col("_n0"))), F.lit(0.0)).alias("_all"))
+    more = ties(F.col("_n1") + F.col("_same")) - ties(F.col("_same"))
+    sums = placed.where("_own").groupBy(*by).agg(F.sum("_n1").alias("n1"), F.sum(F.col("_n1") * (F.col("_upto") - F.col("_same") / F.lit(2.0))).alias("_u"), F.sum(more).alias("_more"))
+    middle = medians(baseline, [], value, "_m2").agg(F.max("_m2").alias("_m2"))
+    both = meet(meet(sums, whole, []), middle, []).withColumn("_ties", F.col("_all") + F.col("_more"))
+    return _u_test(meet(both, medians(df, by, value, "_m1"), by), by)
+
+
+def _u_test(sums: DataFrame, by: list[str]) -> DataFrame:
+    """The columns of a U test from n1, n2, _u, _ties, _m1 and _m2."""
+    a, b, u = F.col("n1").cast("double"), F.col("n2").cast("double"), F.col("_u")
     n = a + b
-    u = F.col("_sum") - a * (a + 1) / 2.0
     sd = F.sqrt(a * b / 12.0 * (n + 1 - F.col("_ties") / (n * (n - 1))))
     z = F.when(sd > 0, (F.greatest(u, a * b - u) - a * b / 2.0 - 0.5) / sd)
     ok = (a > 0) & (b > 0)
-    return both.select(*by, "n1", "n2", F.when(ok, u).alias("u"), F.when(ok, z).alias("z"), F.when(ok, two_sided(F.greatest(z, F.lit(0.0)))).alias("p"), F.when(ok, 2 * u / (a * b) - 1).alias("effect"), (F.col("_m1") - F.col("_m2")).alias("median_diff"))
+    return sums.select(*by, "n1", "n2", F.when(ok, u).alias("u"), F.when(ok, z).alias("z"), F.when(ok, two_sided(F.greatest(z, F.lit(0.0)))).alias("p"), F.when(ok, 2 * u / (a * b) - 1).alias("effect"), (F.col("_m1") - F.col("_m2")).alias("median_diff"))
 
 
 def friedman(df: DataFrame, by: list[str], block: list[str], condition: str, value: str) -> DataFrame:
@@ -213,31 +241,77 @@ def bootstrap(df: DataFrame, by: list[str], flag: str, replicates: int = 2000, s
     return kinds.mapInPandas(run, ", ".join([*names, "mean double, ci_lo double, ci_hi double, n long"]))
 
 
+# Coefficients of the Lanczos approximation to the gamma function with g = 7.
+LANCZOS = (0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7)
+#: Half steps of the continued fraction: it needs about as many as the root of the larger parameter.
+TERMS = 2000
+
+
+def log_gamma(x: Column) -> Column:
+    """Of a positive number."""
+    z = x - 1
+    total = F.lit(LANCZOS[0])
+    for k, c in enumerate(LANCZOS[1:], 1):
+        total = total + c / (z + k)
+    t = z + 7.5
+    return 0.5 * float(np.log(2 * np.pi)) + (z + 0.5) * F.ln(t) - t + F.ln(total)
+
+
+def beta_column(a: Column, b: Column, x: Column) -> Column:
+    """The regularised incomplete beta function, by its continued fraction: a fold over the fraction's partial numerators, from the side where these converge."""
+    swap = x > (a + 1) / (a + b + 2)
+    # As the elements of an array both sides are made once.
+    sides = F.array(F.struct(F.when(swap, b).otherwise(a).alias("a"), F.when(swap, a).otherwise(b).alias("b"), F.when(swap, 1 - x).otherwise(x).alias("x")))
+
+    def fraction(s: Column) -> Column:
+        a, b, x = s["a"], s["b"], s["x"]
+
+        def numerator(i: Column) -> Column:
+            m = F.floor(i / 2).cast("double")
+            return F.when(i % 2 == 0, m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))).otherwise(-(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)))
+
+        def state(c: Column, d: Column, h: Column) -> Column:
+            return F.struct(c.alias("c"), d.alias("d"), h.alias("h"))
+
+        def step(t: Column, k: Column) -> Column:
+            return state(1 + k / t["c"], 1 / (1 + k * t["d"]), t["h"] * (1 + k / t["c"]) / (1 + k * t["d"]))
+
+        first = 1 / (1 - (a + b) * x / (a + 1))
+        value = F.aggregate(F.transform(F.sequence(F.lit(2), F.lit(TERMS)), numerator), state(F.lit(1.0), first, first), step, lambda t: t["h"])
+        return F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.ln(x) + b * F.ln(1 - x)) / a * value
+
+    part = F.get(F.transform(sides, fraction), F.lit(0))
+    return F.when(x <= 0, 0.0).when(x >= 1, 1.0).otherwise(F.when(swap, 1 - part).otherwise(part))
+
+
 def incomplete_beta(a: float, b: float, x: float) -> float:
-    """Regularised, by Lentz's continued fraction."""
+    """The same of three numbers, on the driver."""
     from math import exp, lgamma, log
 
     if x <= 0 or x >= 1:
         return float(x >= 1)
     if x > (a + 1) / (a + b + 2):
         return 1 - incomplete_beta(b, a, 1 - x)
-    front = exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * log(x) + b * log(1 - x)) / a
-    tiny, c, d = 1e-300, 1.0, 1 / (1 - (a + b) * x / (a + 1))
-    out = d
-    for m in range(1, 400):
-        for k in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 / ((1 + k * d) or tiny)
-            c = (1 + k / c) or tiny
-            out *= c * d
-        if abs(c * d - 1) < 1e-15:
-            break
-    return front * out
+    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1))
+    value = d
+    for i in range(2, TERMS + 1):
+        m = i // 2
+        k = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)) if i % 2 else m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        c, d = 1 + k / c, 1 / (1 + k * d)
+        value *= c * d
+    return exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * log(x) + b * log(1 - x)) / a * value
 
 
 def f_tail(f: float, d1: float, d2: float) -> float:
     return incomplete_beta(d2 / 2, d1 / 2, d2 / (d2 + d1 * f)) if f > 0 else 1.0
 
 
+def f_tail_column(f: Column, d1: Column, d2: Column) -> Column:
+    """Upper tail of the F distribution; null without degrees of freedom."""
+    d1, d2 = d1.cast("double"), d2.cast("double")
+    return F.when((d1 > 0) & (d2 > 0) & f.isNotNull(), F.when(f > 0, beta_column(d2 / 2, d1 / 2, d2 / (d2 + d1 * f))).otherwise(1.0))
+
+
 def anova(df: DataFrame, by: list[str], condition: str, value: str) -> DataFrame:
     """One-way analysis of variance between conditions: f, df1, df2, p."""
     sums = df.where(F.col(value).isNotNull()).groupBy(*by, condition).agg(F.count("*").alias("_n"), F.avg(value).alias("_m"), F.coalesce(F.var_pop(value), F.lit(0.0)).alias("_v"))
@@ -247,15 +321,14 @@ def anova(df: DataFrame, by: list[str], condition: str, value: str) -> DataFrame
     between = F.sum("_away")
     out = sums.groupBy(*by).agg((F.count("*") - 1).alias("df1"), (n - F.count("*")).alias("df2"), between.alias("_b"), F.sum(F.col("_n") * F.col("_v")).alias("_w"))
     f = (F.col("_b") / F.col("df1")) / (F.col("_w") / F.col("df2"))
-    tail = F.udf(lambda f, a, b: None if f is None or a <= 0 or b <= 0 else f_tail(f, a, b), "double")
-    return out.select(*by, F.when((F.col("df1") > 0) & (F.col("df2") > 0) & (F.col("_w") > 0), f).alias("f"), "df1", "df2").withColumn("p", tail("f", "df1", "df2"))
+    out = out.select(*by, F.when((F.col("df1") > 0) & (F.col("df2") > 0) & (F.col("_w") > 0), f).alias("f"), "df1", "df2")
+    return out.withColumn("p", f_tail_column(F.col("f"), F.col("df1"), F.col("df2")))
 
 
 def paired_t(df: DataFrame, by: list[str], difference: str) -> DataFrame:
     """t of paired differences: n, t, p (two-sided)."""
     out = df.groupBy(*by).agg(F.count(difference).alias("n"), (F.avg(difference) / F.nullif(F.stddev_samp(difference), F.lit(0.0)) * F.sqrt(F.count(difference))).alias("t"))
-    tail = F.udf(lambda t, n: None if t is None or n < 2 else f_tail(t * t, 1, n - 1), "double")
-    return out.withColumn("p", tail("t", "n"))
+    return out.withColumn("p", f_tail_column(F.col("t") * F.col("t"), F.lit(1), F.col("n") - 1))
 
 
 def shapiro_wilk(x: np.ndarray) -> tuple[float, float]:

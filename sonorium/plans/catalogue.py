@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -38,12 +39,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     FROM lineitem GROUP BY l_returnflag, l_linestatus""",
 )
 def summary_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = F.col("l_extendedprice")
-    return (
-        table(spark, sf_dir, "lineitem")
-        .groupBy("l_returnflag", "l_linestatus")
-        .agg(F.count("*").alias("n"), F.round(F.avg(x), 4).alias("mean"), F.round(F.median(x), 4).alias("median"), F.round(F.stddev_samp(x), 4).alias("std"))
-    )
+    by = ["l_returnflag", "l_linestatus"]
+    out = stats.summary(table(spark, sf_dir, "lineitem"), by, "l_extendedprice")
+    return out.select(*by, F.col("count").alias("n"), *(F.round(c, 4).alias(c) for c in ("mean", "median", "std")))
 
 
 def _flag_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,20 +120,16 @@ def holm_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "mwu_vs_baseline",
-    """WITH e AS (SELECT o.t, e.value AS v, e.event_type = 'view' AS a FROM events e, (SELECT DISTINCT event_type AS t FROM events WHERE event_type <> 'view') o WHERE e.event_type IN ('view', o.t)),
-    k AS (SELECT *, rank() OVER (PARTITION BY t ORDER BY v) + (count(*) OVER (PARTITION BY t, v) - 1) / 2.0::DOUBLE AS r FROM e)
-    SELECT t AS event_type, count(*) FILTER (a) AS n1, count(*) FILTER (NOT a) AS n2, round(sum(r) FILTER (a) - count(*) FILTER (a) * (count(*) FILTER (a) + 1) / 2.0::DOUBLE, 2) AS u,
-    round(2 * (sum(r) FILTER (a) - count(*) FILTER (a) * (count(*) FILTER (a) + 1) / 2.0::DOUBLE) / (count(*) FILTER (a) * count(*) FILTER (NOT a)) - 1, 8) AS effect,
-    round(median(v) FILTER (a) - median(v) FILTER (NOT a), 6) AS median_diff FROM k GROUP BY t""",
+    f"""WITH e AS (SELECT o.t, e.value AS v, e.event_type <> 'view' AS a FROM events e, (SELECT DISTINCT event_type AS t FROM events WHERE event_type <> 'view') o WHERE e.event_type IN ('view', o.t)),
+    k AS (SELECT *, rank() OVER (PARTITION BY t ORDER BY v) + (count(*) OVER (PARTITION BY t, v) - 1) / 2.0::DOUBLE AS r, count(*) OVER (PARTITION BY t, v) AS ties FROM e),
+    s AS (SELECT t, count(*) FILTER (a)::DOUBLE AS n1, count(*) FILTER (NOT a)::DOUBLE AS n2, sum(r) FILTER (a) - count(*) FILTER (a) * (count(*) FILTER (a) + 1) / 2.0::DOUBLE AS u, sum(ties * ties - 1.0::DOUBLE) AS ties, median(v) FILTER (a) - median(v) FILTER (NOT a) AS d FROM k GROUP BY t),
+    z AS (SELECT *, greatest((greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5::DOUBLE) / sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1)))), 0) / sqrt(2.0::DOUBLE) AS za FROM s)
+    SELECT t AS event_type, n1::BIGINT AS n1, n2::BIGINT AS n2, round(u, 2) AS u, round(least(1.0::DOUBLE, {_erfc_sql("za")}), 8) AS p, round(2 * u / (n1 * n2) - 1, 8) AS effect, round(d, 6) AS median_diff FROM z""",
 )
 def mwu_vs_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    others = e.where("event_type <> 'view'").select("event_type", "value", F.lit(False).alias("a"))
-    kinds = others.select("event_type").distinct()
-    base = e.where("event_type = 'view'").select("value", F.lit(True).alias("a"))
-    both = others.unionByName(kinds.crossJoin(base))  # the baseline once for each of a few kinds
-    t = stats.mann_whitney(both, ["event_type"], "value", F.col("a"))
-    return t.select("event_type", "n1", "n2", F.round("u", 2).alias("u"), F.round("effect", 8).alias("effect"), F.round("median_diff", 6).alias("median_diff"))
+    e = table(spark, sf_dir, "events").select("event_type", "value")
+    t = stats.mann_whitney_against(e.where("event_type <> 'view'"), ["event_type"], "value", e.where("event_type = 'view'"))
+    return t.select("event_type", "n1", "n2", F.round("u", 2).alias("u"), F.round("p", 8).alias("p"), F.round("effect", 8).alias("effect"), F.round("median_diff", 6).alias("median_diff"))
 
 
 @query(
@@ -424,6 +418,21 @@ def drop_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.drop_index(samples, ["user_id"], 10, fixed_width=4).select("user_id", F.col("end_idx").cast("long").alias("end_idx"))
 
 
+@query(
+    "drop_index_by_rate",
+    """WITH s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS idx, value AS x, count(*) OVER (PARTITION BY user_id) AS n, 40 + 40 * (user_id % 3) AS rate FROM events),
+    w AS (SELECT *, (2 + 2 * (user_id % 3))::BIGINT AS w, rate // 2 AS s0, n - floor(least(7 * rate, 0.7::DOUBLE * n) + 0.5::DOUBLE) AS e FROM s),
+    r AS (SELECT *, sqrt(CASE w WHEN 2 THEN avg(x * x) OVER (PARTITION BY user_id ORDER BY idx ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) WHEN 4 THEN avg(x * x) OVER (PARTITION BY user_id ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) ELSE avg(x * x) OVER (PARTITION BY user_id ORDER BY idx ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING) END) AS r FROM w),
+    m AS (SELECT *, min(r) FILTER (idx >= s0 - 1 AND idx < e) OVER (PARTITION BY user_id) AS least FROM r)
+    SELECT user_id, (min(idx) FILTER (idx >= e - 1 AND r < 0.9::DOUBLE * least) + 1)::BIGINT AS end_idx FROM m GROUP BY user_id""",
+)
+def drop_index_by_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user as a file of its own rate: 40, 80 or 120 values a second."""
+    own = Window.partitionBy("user_id").orderBy("event_id")
+    samples = table(spark, sf_dir, "events").select("user_id", (F.row_number().over(own) - 1).cast("long").alias("idx"), F.col("value").alias("sample"))
+    return intervals.drop_index(samples, ["user_id"], 40 + 40 * (F.col("user_id") % 3)).select("user_id", F.col("end_idx").cast("long").alias("end_idx"))
+
+
 @query(
     "capped_sample",
     """SELECT doc_id, source FROM (SELECT doc_id, source, md5('3:' || doc_id) AS h, row_number() OVER (PARTITION BY source ORDER BY md5('3:' || doc_id), doc_id) AS i FROM documents) WHERE i <= 2 ORDER BY h, doc_id LIMIT 12""",
@@ -459,6 +468,50 @@ def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.size("s").alias("n"), F.get("s", F.lit(0)).alias("first"), F.try_element_at("s", F.lit(-1)).alias("last"))
 
 
+_SEGMENTS = r"""
+WITH RECURSIVE raw AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w, list_filter(list_transform(regexp_split_to_array(text, '[.!?;]'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS s FROM documents WHERE text IS NOT NULL),
+heard AS (SELECT doc_id, s, list_filter(list_transform(range(len(w)), lambda i: {'i': i, 'l': regexp_replace(lower(w[i + 1]), '^[''"]+|[''"]+$', '', 'g')}), lambda x: x.i % 11 <> 10 AND trim(w[x.i + 1]) <> '') AS h FROM raw),
+told AS (SELECT doc_id, h, list_transform(h, lambda x: replace(x.l, '-', '')) AS p, list_filter(list_transform(range(len(s)), lambda k: {'k': k, 't': list_transform(list_filter(regexp_split_to_array(s[k + 1], '[^\p{L}\p{N}_'']+'), lambda x: x <> ''), lambda x: regexp_replace(lower(x), '^[''"]+|[''"]+$', '', 'g'))}), lambda x: len(x.t) > 0) AS s FROM heard),
+docs AS (SELECT doc_id, s, h, list_transform(range(len(p)), lambda i: {'one': p[i + 1], 'two': p[i + 1] || p[i + 2], 'i': i}) AS q FROM told WHERE len(s) > 0),
+run AS (
+  SELECT doc_id, 0::BIGINT AS k, 0::BIGINT AS cur, NULL::STRUCT(n BIGINT, skip BOOLEAN, f BIGINT, l BIGINT, one VARCHAR, two VARCHAR, i BIGINT) AS hit, NULL::BOOLEAN AS ok FROM docs
+  UNION ALL
+  SELECT doc_id, k + 1, CASE WHEN ok THEN hit.f + len(t) ELSE cur + 1 END, hit, ok FROM (
+    SELECT *, hit IS NOT NULL AND ALIKE(t[-1], h[hit.l + 1].l) AS ok FROM (
+      SELECT r.doc_id, r.k, r.cur, d.h, d.s[r.k + 1].t AS t,
+        list_filter(list_transform(list_filter(range(r.cur, r.cur + 6), lambda o: o < len(d.q)), lambda o: list_reduce(
+          list_prepend({'n': 0::BIGINT, 'skip': false, 'f': NULL::BIGINT, 'l': NULL::BIGINT, 'one': '', 'two': '', 'i': 0::BIGINT}, list_transform(d.q[o + 1:o + len(d.s[r.k + 1].t) + 9], lambda x: {'n': 0::BIGINT, 'skip': false, 'f': NULL::BIGINT, 'l': NULL::BIGINT, 'one': x.one, 'two': x.two, 'i': x.i})),
+          lambda a, x: CASE WHEN a.skip THEN {'n': a.n, 'skip': false, 'f': a.f, 'l': a.l, 'one': '', 'two': '', 'i': 0::BIGINT}
+            WHEN a.n >= len(d.s[r.k + 1].t) THEN a
+            WHEN ALIKE(d.s[r.k + 1].t[a.n + 1], x.one) THEN {'n': a.n + 1, 'skip': false, 'f': coalesce(a.f, x.i), 'l': x.i, 'one': '', 'two': '', 'i': 0::BIGINT}
+            WHEN coalesce(ALIKE(d.s[r.k + 1].t[a.n + 1], x.two), false) THEN {'n': a.n + 1, 'skip': true, 'f': coalesce(a.f, x.i), 'l': x.i + 1, 'one': '', 'two': '', 'i': 0::BIGINT}
+            ELSE a END)), lambda a: a.n = len(d.s[r.k + 1].t))[1] AS hit
+      FROM run r JOIN docs d USING (doc_id) WHERE r.k < len(d.s))))
+SELECT doc_id, d.s[r.k].k::BIGINT AS pos, CASE WHEN ok THEN 'ok' WHEN hit IS NULL THEN 'no_match' ELSE 'last_word_mismatch' END AS status, CASE WHEN ok THEN h[hit.f + 1].i * 0.5::DOUBLE END AS t_start, CASE WHEN ok THEN h[hit.l + 1].i * 0.5::DOUBLE + 0.25 END AS t_end
+FROM run r JOIN docs d USING (doc_id) WHERE r.k > 0
+"""
+
+
+def _segments_sql() -> str:
+    """With what two words are alike for: equal, or so but for a final s or 's."""
+
+    def alike(m: re.Match) -> str:
+        a, b = m[1], m[2]
+        return "(" + " OR ".join([f"{a} = {b}", *(f"{x} = {y} || '{end}'" for x, y in ((a, b), (b, a)) for end in ("s", "''s"))]) + ")"
+
+    return re.sub(r"ALIKE\(([^,]+), ([^()]+)\)", alike, _SEGMENTS)
+
+
+@query("sentence_segments", _segments_sql())
+def sentence_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's sentences, searched one after another in its words, of which every eleventh was not heard."""
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    heard = docs.select("doc_id", F.posexplode(F.filter(F.split("text", r"[ \t\n\x0b\f\r]+"), lambda w: w != "")).alias("pos", "label")).where("pos % 11 <> 10")
+    words = heard.select("doc_id", "pos", (F.col("pos") * 0.5).cast("double").alias("xmin"), (F.col("pos") * 0.5 + 0.25).cast("double").alias("xmax"), "label")
+    told = docs.select("doc_id", F.posexplode(text.sentences("text")).alias("pos", "sentence"))
+    return align.segments(words, told, "doc_id").select("doc_id", "pos", "status", "t_start", "t_end")
+
+
 @query(
     "subseq_contains",
     r"""WITH n AS (SELECT item_id, list_filter(regexp_split_to_array(text, '[ \n]+'), lambda x: x <> '') AS w FROM benchmark), d AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \n]+'), lambda x: x <> '') AS w FROM documents)
@@ -539,18 +592,37 @@ def normality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.normality(table(spark, sf_dir, "events").select("event_type", "value"), ["event_type"], "value")
 
 
+def _beta_sql(a: str, b: str, x: str) -> str:
+    """Regularised incomplete beta of three expressions in SQL, where 0 < x < 1: the same continued fraction."""
+    swap = f"({x} > ({a} + 1) / ({a} + {b} + 2))"
+    sides = f"SELECT {swap} AS swap, CASE WHEN {swap} THEN {b} ELSE {a} END AS a, CASE WHEN {swap} THEN {a} ELSE {b} END AS b, CASE WHEN {swap} THEN 1 - {x} ELSE {x} END AS x"
+    numerator = "CASE WHEN i % 2 = 0 THEN (i // 2) * (b - i // 2) * x / ((a + 2 * (i // 2) - 1) * (a + 2 * (i // 2))) ELSE -(a + i // 2) * (a + b + i // 2) * x / ((a + 2 * (i // 2)) * (a + 2 * (i // 2) + 1)) END"
+    row = lambda k, c, d, h: f"{{'k': ({k})::DOUBLE, 'c': ({c})::DOUBLE, 'd': ({d})::DOUBLE, 'h': ({h})::DOUBLE}}"
+    first = "1 / (1 - (a + b) * x / (a + 1))"
+    fold = f"list_reduce(list_prepend({row('0', '1', first, first)}, list_transform(range(2, {stats.TERMS + 1}), lambda i: {row(numerator, '0', '0', '0')})), lambda t, e: {row('0', '1 + e.k / t.c', '1 / (1 + e.k * t.d)', 't.h * (1 + e.k / t.c) / (1 + e.k * t.d)')})"
+    part = f"exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * ln(x) + b * ln(1 - x)) / a * ({fold}).h"
+    return f"(SELECT CASE WHEN swap THEN 1 - {part} ELSE {part} END FROM ({sides}))"
+
+
 @query(
     "anova_f",
-    """WITH g AS (SELECT event_type, count(*)::DOUBLE AS n, avg(value) AS m, var_pop(value) AS v FROM events GROUP BY 1)
-    SELECT round(((sum(n * m * m) - sum(n * m) ** 2 / sum(n)) / (count(*) - 1)) / (sum(n * v) / (sum(n) - count(*))), 6) AS f, (count(*) - 1)::BIGINT AS df1, (sum(n) - count(*))::BIGINT AS df2 FROM g""",
+    f"""WITH g AS (SELECT event_type, count(*)::DOUBLE AS n, avg(value) AS m, var_pop(value) AS v FROM events GROUP BY 1),
+    t AS (SELECT ((sum(n * m * m) - sum(n * m) ** 2 / sum(n)) / (count(*) - 1)) / (sum(n * v) / (sum(n) - count(*))) AS f, (count(*) - 1)::BIGINT AS df1, (sum(n) - count(*))::BIGINT AS df2 FROM g),
+    x AS (SELECT *, df2 / 2.0::DOUBLE AS p1, df1 / 2.0::DOUBLE AS p2, df2 / (df2 + df1 * f) AS p3 FROM t)
+    SELECT round(f, 6) AS f, df1, df2, round({_beta_sql("p1", "p2", "p3")}, 8) AS p FROM x""",
 )
 def anova_f(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.anova(table(spark, sf_dir, "events"), [], "event_type", "value").select(F.round("f", 6).alias("f"), "df1", "df2")
+    return stats.anova(table(spark, sf_dir, "events"), [], "event_type", "value").select(F.round("f", 6).alias("f"), "df1", "df2", F.round("p", 8).alias("p"))
 
 
-@query("paired_t", f"SELECT pair, count(d) AS n, round(avg(d) / stddev_samp(d) * sqrt(count(d)), 6) AS t FROM ({_PAIRS}) GROUP BY pair")
+@query(
+    "paired_t",
+    f"""WITH t AS (SELECT pair, count(d) AS n, avg(d) / stddev_samp(d) * sqrt(count(d)) AS t FROM ({_PAIRS}) GROUP BY pair),
+    x AS (SELECT *, (n - 1) / 2.0::DOUBLE AS p1, 0.5::DOUBLE AS p2, (n - 1) / (n - 1 + t * t) AS p3 FROM t)
+    SELECT pair, n, round(t, 6) AS t, round({_beta_sql("p1", "p2", "p3")}, 8) AS p FROM x""",
+)
 def paired_t(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.paired_t(_flag_pairs(spark, sf_dir), ["pair"], "d").select("pair", "n", F.round("t", 6).alias("t"))
+    return stats.paired_t(_flag_pairs(spark, sf_dir), ["pair"], "d").select("pair", "n", F.round("t", 6).alias("t"), F.round("p", 8).alias("p"))
 
 
 @query(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import align, intervals, pairing, sampling, stats
+from ..operators.ranking import medians
 
 FORMANTS = ["F1_s", "F2_s", "F3_s"]
 
@@ -82,10 +83,8 @@ def token_error_study(tokens: DataFrame, reference: str, paired: list[tuple[str,
 
     Pairs with fewer than `least` tokens in common have no test.
     """
-    others = tokens.where(F.col("condition") != reference).select("condition", "error", F.lit(True).alias("_a"))
-    kinds = others.select("condition").distinct()
-    base = tokens.where(F.col("condition") == reference).select("error", F.lit(False).alias("_a"))
-    against = stats.mann_whitney(others.unionByName(kinds.crossJoin(base)), ["condition"], "error", F.col("_a"))  # the reference once for each condition
+    sample = tokens.select("condition", "error")
+    against = stats.mann_whitney_against(sample.where(F.col("condition") != reference), ["condition"], "error", sample.where(F.col("condition") == reference))
     key = ["speaker", "recording", "vowel_id"]
     side = lambda c, n: tokens.where(F.col("condition") == c).select(*key, F.col("error").alias(n))
     parts = [side(x, "_x").join(side(y, "_y"), key).select(F.lit(f"{x}-{y}").alias("pair"), (F.col("_x") - F.col("_y")).alias("_d")) for x, y in paired]
@@ -127,7 +126,7 @@ def abx_tests(cells: DataFrame, pairs: list[tuple[str, str]], baseline: float |
     out = {}
     if pairs:
         rows = reduce(DataFrame.unionByName, [side(x, "_x").join(side(y, "_y"), key).select(F.lit(f"{x}-{y}").alias("pair"), (F.col("_y") - F.col("_x")).alias("_d")) for x, y in pairs])
-        found = stats.wilcoxon(rows, ["pair"], "_d").join(rows.groupBy("pair").agg(F.median("_d").alias("median_diff")), "pair")
+        found = stats.wilcoxon(rows, ["pair"], "_d").join(medians(rows, ["pair"], "_d", "median_diff"), "pair")
         out["paired"] = stats.holm(found.withColumn("direction", text.direction("median_diff")).withColumn("_f", F.lit(1)), ["_f"], "p").drop("_f")
     if baseline is not None:
         found = stats.wilcoxon_against(cells, ["condition"], "score", F.lit(baseline))

@@ -5,6 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranking import meet, quantiles
+from .named import NamedFiles
+
+
+def named_files(files: DataFrame, path: str) -> None:
+    """A file below path for each row (name, value): all of them or, if a task fails for good, none.
+
+    Files of the same names are replaced; others that are there stay.
+    """
+    files.sparkSession.dataSource.register(NamedFiles)
+    files.select(F.col("name").cast("string").alias("name"), F.col("value").cast("string").alias("value")).write.format(NamedFiles.name()).mode("append").save(path)
+
 
 def csv(df: DataFrame, path: str, small: bool = False) -> None:
     """small: a final table of a few rows, written as one file."""
@@ -47,9 +59,27 @@ def annotation_text(tiers: DataFrame, order: tuple[str, ...] = ("words", "phones
 
 
 def annotation_files(tiers: DataFrame, path: str) -> None:
-    """One folder per file name, each with the file's text."""
-    out = annotation_text(tiers)
-    out.select("value", F.regexp_extract("file", r"([^/]*)$", 1).alias("name")).write.mode("overwrite").partitionBy("name").text(path)
+    """A file for each file name, with that name, below path."""
+    named_files(annotation_text(tiers).select(F.regexp_extract("file", r"([^/]*)$", 1).alias("name"), "value"), path)
+
+
+def stimulus_files(items: DataFrame, mismatches: DataFrame, url: Column, path: str) -> None:
+    """The manifests of a listening test below path: mapping.csv, audioSamples.js.txt, audioSamples.json and, if there are any, mismatches.json.
+
+    A test's stimuli are few: each manifest is one file, written by one task.
+    """
+    rows = items.withColumn("url", url)
+    line = F.to_csv(F.struct(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in rows.columns)), {"emptyValue": "", "escape": "\"", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"})
+    whole = lambda df, name, text, head="", join="\n", tail="\n": df.agg(F.sort_array(F.collect_list(F.struct("id", text.alias("t")))).alias("_x")).select(F.lit(name).alias("name"), F.concat(F.lit(head), F.array_join(F.transform("_x", lambda x: x["t"]), join), F.lit(tail)).alias("value"))
+    short = F.struct("id", "url", F.col("utterance").alias("utt"))
+    quoted = lambda c: F.concat(F.lit('"'), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"'))
+    js = F.concat(F.lit("    { id: "), quoted("id"), F.lit(", url: "), quoted("url"), F.lit(", utt: "), quoted("utterance"), F.lit(" }"))
+    files = whole(rows, "mapping.csv", line, ",".join(rows.columns) + "\n")
+    files = files.union(whole(rows, "audioSamples.js.txt", js, "const audioSamples = [\n", ",\n", "\n  ];\n"))
+    files = files.union(whole(rows, "audioSamples.json", F.to_json(short, {"ignoreNullFields": "false"}), "[\n  ", ",\n  ", "\n]\n"))
+    odd = mismatches.select(F.struct(*mismatches.columns).alias("_r"))
+    lost = odd.agg(F.sort_array(F.collect_list(F.to_json("_r"))).alias("_x")).where(F.size("_x") > 0).select(F.lit("mismatches.json").alias("name"), F.concat(F.lit("[\n  "), F.array_join("_x", ",\n  "), F.lit("\n]\n")).alias("value"))
+    named_files(files.union(lost), path)
 
 
 def manifest(items: DataFrame, url: Column) -> DataFrame:
@@ -59,8 +89,10 @@ def manifest(items: DataFrame, url: Column) -> DataFrame:
 
 def boxes(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """What a box plot draws: quartiles, whiskers at 1.5 times their distance, notch of the median, n."""
-    q = df.groupBy(*by).agg(F.expr(f"percentile(`{value}`, array(0.25, 0.5, 0.75))").alias("_q"), F.count(value).alias("n"))
-    near = df.join(q, by).where(F.col(value).between(F.col("_q")[0] - 1.5 * (F.col("_q")[2] - F.col("_q")[0]), F.col("_q")[2] + 1.5 * (F.col("_q")[2] - F.col("_q")[0])))
+    rows = df.where(F.col(value).isNotNull())
+    q = meet(quantiles(rows, by, value, [0.25, 0.5, 0.75], "_q"), rows.groupBy(*by).agg(F.count(value).alias("n")), by)
+    reach = 1.5 * (F.col("_q")[2] - F.col("_q")[0])
+    near = meet(rows.select(*by, value), q, by).where(F.col(value).between(F.col("_q")[0] - reach, F.col("_q")[2] + reach))
     ends = near.groupBy(*by).agg(F.min(value).alias("low"), F.max(value).alias("high"))
     notch = 1.57 * (F.col("_q")[2] - F.col("_q")[0]) / F.sqrt("n")
-    return q.join(ends, by).select(*by, "n", "low", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"), "high", (F.col("_q")[1] - notch).alias("notch_low"), (F.col("_q")[1] + notch).alias("notch_high"))
+    return meet(q, ends, by).select(*by, "n", "low", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"), "high", (F.col("_q")[1] - notch).alias("notch_low"), (F.col("_q")[1] + notch).alias("notch_high"))

@@ -109,3 +109,39 @@ def test_samples_of_a_file_with_other_chunks():
     assert [round(x * 32768) for x in audio.samples(wav)] == [1000, 2000, 3000, 4000] and audio.samples(b"fLaC") is None
     wide = body.replace(struct.pack("<IIHH", 8000, 16000, 2, 16), struct.pack("<IIHH", 8000, 24000, 3, 24)).replace(data, b"\0\0\x40\0\0\xc0")
     assert audio.samples(b"RIFF" + struct.pack("<I", 4 + len(wide)) + b"WAVE" + wide) == [0.5, -0.5]
+
+
+def test_named_files(spark, tmp_path):
+    """A file for each name, whole; others stay; a task that fails leaves nothing."""
+    (tmp_path / "old.txt").write_text("old")
+    df = spark.createDataFrame([(f"{k}.TextGrid", f"text {k}\nü") for k in range(9)] + [("old.txt", None)], "name string, value string").repartition(3)
+    sinks.named_files(df, str(tmp_path))
+    assert {p.name: p.read_text() for p in tmp_path.iterdir()} == {f"{k}.TextGrid": f"text {k}\nü" for k in range(9)} | {"old.txt": ""}
+    import pytest
+
+    with pytest.raises(Exception, match="no name for a file"):
+        sinks.named_files(spark.createDataFrame([("a", "x"), ("b/c", "y")], "name string, value string").repartition(2), str(tmp_path / "two"))
+    assert not list((tmp_path / "two").glob("*"))
+
+
+def test_annotation_files_come_back(spark, tmp_path):
+    tiers = spark.createDataFrame([(f"/d/{n}.TextGrid", "words", 0.0, 1.0, f'say "{n}"') for n in "ab"], "file string, tier string, xmin double, xmax double, label string")
+    sinks.annotation_files(tiers, f"file://{tmp_path}/out")
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a.TextGrid", "b.TextGrid"]
+    assert sorted(r.label for r in tables.annotations(spark, str(tmp_path / "out")).collect()) == ['say "a"', 'say "b"']
+
+
+def test_stimulus_files(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    items = spark.createDataFrame([("stim_0002", "gold", 's "x", y', "2.wav"), ("stim_0001", "experimental", None, "1.wav")], "id string, role string, utterance string, filename string")
+    url = F.concat(F.lit("https://host/"), "filename")
+    none = spark.createDataFrame([], "file string, reason string")
+    sinks.stimulus_files(items, none, url, str(tmp_path))
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["audioSamples.js.txt", "audioSamples.json", "mapping.csv"]
+    assert json.loads((tmp_path / "audioSamples.json").read_text()) == [{"id": "stim_0001", "url": "https://host/1.wav", "utt": None}, {"id": "stim_0002", "url": "https://host/2.wav", "utt": 's "x", y'}]
+    rows = tables.mapping(spark, str(tmp_path / "mapping.csv")).collect()
+    assert [(r.id, r.role, r.utterance) for r in rows] == [("stim_0001", "experimental", None), ("stim_0002", "gold", 's "x", y')]
+    assert (tmp_path / "audioSamples.js.txt").read_text().startswith("const audioSamples = [\n    { id: \"stim_0001\", url: ")
+    sinks.stimulus_files(items, spark.createDataFrame([("f", "no_match")], "file string, reason string"), url, str(tmp_path))
+    assert json.loads((tmp_path / "mismatches.json").read_text()) == [{"file": "f", "reason": "no_match"}]

@@ -97,3 +97,15 @@ def test_normality_without_groups_and_flags_that_are_none(spark):
     assert S.normality(df, [], "v").first().n == 50
     with pytest.raises(Exception, match="other than"):
         S.bootstrap(df, [], "f").collect()
+
+
+@pytest.mark.parametrize(("f", "d1", "d2"), [(4.0, 1, 10), (0.2, 3, 7), (13.0, 2, 6), (1.01, 4, 100_000), (900.0, 1, 5), (0.0, 2, 2), (1e-9, 1, 1), (3.0, 40, 40), (2.0, 0, 5)])
+def test_tail_columns(spark, f, d1, d2):
+    """The column is the number's, and that of a plain sum over the density."""
+    got = one(spark.range(1).select(S.f_tail_column(F.lit(f), F.lit(d1), F.lit(d2)).alias("p"))).p
+    assert got is None if not d1 else got == pytest.approx(S.f_tail(f, d1, d2), rel=1e-9)
+    if d1 > 1 and 0 < f < 10:
+        x = np.linspace(0, d1 * f / (d2 + d1 * f), 200_001)
+        log = (d1 / 2 - 1) * np.log(np.maximum(x, 1e-300)) + (d2 / 2 - 1) * np.log1p(-x)
+        below = np.trapezoid(np.exp(log + math.lgamma((d1 + d2) / 2) - math.lgamma(d1 / 2) - math.lgamma(d2 / 2)), x)
+        assert got == pytest.approx(1 - below, abs=1e-5)
