@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Callable, Iterator
-from contextlib import closing
 
 import numpy as np
 import pyarrow as pa
@@ -17,14 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import flac
-
-#: Bytes of a file that are read at once while its header is looked for.
-FIRST = 4096
-#: Schemes of paths whose files can be read in part from a task; of others whole files come through Spark.
-RANGED = ("file", "hdfs", "s3", "s3a", "gs", "abfss")
-
-Read = Callable[[int, int], bytes]
-
+from .store import REACHED, Read, opened
 
 def _of(data: bytes) -> Read:
     return lambda at, n: data[at : at + n]
@@ -92,23 +84,6 @@ def _samples(data: bytes) -> np.ndarray | None:
     return wide.view("<i4")[:, 0] / 2.0**31
 
 
-def _ranged(path: str) -> tuple[Read, Callable[[], None]]:
-    """A reader of parts of the file at a URI, which keeps its beginning, and what closes it."""
-    from pyarrow import fs
-
-    scheme, _, rest = path.partition(":")
-    store, place = fs.FileSystem.from_uri(f"{'s3' if scheme == 's3a' else scheme}://{rest.lstrip('/')}" if scheme != "file" else f"file:///{rest.lstrip('/')}")
-    file = store.open_input_file(place)
-    start, size = file.read_at(FIRST, 0), file.size()
-
-    def read(at: int, n: int) -> bytes:
-        if at + n <= len(start):
-            return start[at : at + n]
-        return file.read_at(min(n, size - at), at) if at < size else b""
-
-    return read, file.close
-
-
 _HEADER = ("format", pa.string()), ("rate", pa.int32()), ("channels", pa.int32()), ("bits", pa.int32()), ("frames", pa.int64())
 
 
@@ -124,11 +99,10 @@ def _heads(raw: DataFrame, of: Callable[[pa.RecordBatch, int], tuple | None]) ->
 
 def _from_file(batch: pa.RecordBatch, k: int) -> tuple | None:
     try:
-        read, close = _ranged(batch["path"][k].as_py())
-    except (OSError, pa.ArrowException):
+        with opened(batch["path"][k].as_py()) as read:
+            return header(read)
+    except OSError:
         return None
-    with closing(type("Open", (), {"close": staticmethod(close)})):
-        return header(read)
 
 
 def _from_content(batch: pa.RecordBatch, k: int) -> tuple | None:
@@ -146,7 +120,7 @@ def files(spark: SparkSession, path: str, pattern: str = "*.{wav,flac}") -> Data
     except AnalysisException:
         raw = spark.createDataFrame([], "path string, content binary")
     scheme = F.regexp_extract("path", r"^([a-z0-9]+):", 1)
-    near, far = raw.where(scheme.isin(*RANGED)).select("path"), raw.where(~scheme.isin(*RANGED)).select("path", "content")
+    near, far = raw.where(scheme.isin(*REACHED)).select("path"), raw.where(~scheme.isin(*REACHED)).select("path", "content")
     out = _heads(near, _from_file).union(_heads(far, _from_content))
     return out.withColumns({"dir": F.regexp_extract("path", r"^(.*)/[^/]*$", 1), "duration": F.try_divide("frames", "rate")})
 

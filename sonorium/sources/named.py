@@ -10,15 +10,7 @@ from pyspark.sql import Row
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-
-def _store(path: str) -> tuple:
-    """The file system of a path or URI, and the place in it."""
-    from pyarrow import fs
-
-    if "://" not in path and not path.startswith("file:"):
-        return fs.LocalFileSystem(), path
-    scheme, _, rest = path.partition(":")
-    return fs.FileSystem.from_uri(f"{scheme}:///{rest.lstrip('/')}" if scheme == "file" else path)
+from .store import located
 
 
 @dataclass
@@ -39,7 +31,7 @@ class NamedFilesWriter(DataSourceWriter):
         self.path, self.waiting = path, f"_waiting-{uuid.uuid4().hex}"
 
     def write(self, rows: Iterator[Row]) -> Written:
-        store, root = _store(self.path)
+        store, root = located(self.path)
         store.create_dir(f"{root}/{self.waiting}", recursive=True)
         done = {}
         for row in rows:
@@ -52,7 +44,7 @@ class NamedFilesWriter(DataSourceWriter):
         return Written(done)
 
     def commit(self, messages: list[Written | None]) -> None:
-        store, root = _store(self.path)
+        store, root = located(self.path)
         store.create_dir(root, recursive=True)
         for message in messages:
             for place, name in (message.files if message else {}).items():
@@ -60,7 +52,7 @@ class NamedFilesWriter(DataSourceWriter):
         self._clear(store, root)
 
     def abort(self, messages: list[Written | None]) -> None:
-        self._clear(*_store(self.path))
+        self._clear(*located(self.path))
 
     def _clear(self, store, root: str) -> None:  # noqa: ANN001
         from pyarrow import fs

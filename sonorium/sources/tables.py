@@ -6,9 +6,11 @@ first or the last row in the order of files.  NaN becomes null here and nowhere
 
 from __future__ import annotations
 
+import csv
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, MapType, StringType, StructField, StructType
 
 from ..functions.text import letters_tokens, numeric, prompt_tokens, sentences
+from .store import FIRST, REACHED, opened
 
 TRACK_COLUMNS = ("file_name", "id", "word", "pre_word", "fol_word", "label", "rel_time", "F1_s", "F2_s", "F3_s")
 RESERVED = ("completionCode", "ParticipantInfo")
@@ -42,37 +45,75 @@ def speaker(path: Column, flat_pattern: str, upper: bool = False) -> Column:
     return F.upper(name) if upper else name
 
 
-def tracks(spark: SparkSession, root: str, conditions: list[str], numbers: tuple[str, ...] = ("rel_time", "F1_s", "F2_s", "F3_s"), required: tuple[str, ...] = TRACK_COLUMNS, flat_pattern: str = r"([a-zA-Z0-9]+)_[0-9]+_[0-9]+_tracks") -> DataFrame:
+# Fixed patterns of two corpora: the speaker in the names of files that lie in no folder of a speaker.
+FLAT_NAMES = {"frames": r"^usctimit_[a-z]+_([a-zA-Z0-9]+)_", "errors": r"^[a-z]+_(?:[a-z]+_)?([a-zA-Z0-9]+)_"}
+#: Bytes of a file in which its header line has to end.
+_HEAD = 1 << 16
+
+
+def _headers(raw: DataFrame) -> DataFrame:
+    """path and names (the cells of the first line) of CSV files; a file that can't be read, or that is empty, has no row."""
+
+    def cells(head: bytes) -> list[str] | None:
+        line = next(iter(csv.reader([head.decode("utf-8-sig", "replace").split("\n")[0].rstrip("\r")])), [])
+        return [x.strip() for x in line] or None
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for path in batch["path"].to_pylist():
+                try:
+                    with opened(path) as read:
+                        found.append(cells(read(0, FIRST) if b"\n" in read(0, FIRST) else read(0, _HEAD)))
+                except OSError:
+                    found.append(None)
+            yield pa.RecordBatch.from_arrays([batch["path"], pa.array(found, pa.list_(pa.string()))], ["path", "names"])
+
+    def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch["path"], pa.array([cells((x.as_py() or b"")[:_HEAD]) for x in batch["content"]], pa.list_(pa.string()))], ["path", "names"])
+
+    schema, scheme = "path string, names array<string>", F.regexp_extract("path", r"^([a-z0-9]+):", 1)
+    both = raw.where(scheme.isin(*REACHED)).select("path").mapInArrow(near, schema).union(raw.where(~scheme.isin(*REACHED)).select("path", "content").mapInArrow(far, schema))
+    return both.where(F.col("names").isNotNull())
+
+
+def tracks(spark: SparkSession, root: str, conditions: list[str], numbers: tuple[str, ...] = ("rel_time", "F1_s", "F2_s", "F3_s"), required: tuple[str, ...] = TRACK_COLUMNS, flat: str = "errors", upper: bool = True) -> DataFrame:
     """Frames of `{root}/{condition}/{speaker}/*_tracks.csv`, or of `{root}/{condition}/*_tracks.csv` where no folder is below.
 
-    Adds condition, speaker, file, row_idx.  Columns are matched by their names in
-    each file; files that lack a required one are left out, as are broken ones.  A
+    Adds condition, speaker, file, row_idx.  flat: a name of FLAT_NAMES or a pattern, for the speaker in
+    names of files that lie in no folder; upper: folders' names are upper-cased too.  Headers are read first, some kilobytes of each file;
+    files with the same header are one scan of the CSV reader, which parses the required columns only and takes
+    line feeds in quotes.  Files that lack a required column are left out, as are broken ones.  A
     condition without files has no rows.
     """
+    named = FLAT_NAMES.get(flat, flat)
     parts = []
     for condition in conditions:
         for pattern, deep in ((f"{root}/{condition}/*/*_tracks.csv", True), (f"{root}/{condition}/*_tracks.csv", False)):
             try:
-                lines = spark.read.option("ignoreCorruptFiles", "true").text(pattern).select("value", _file().alias("file"), F.col("_metadata.file_block_start").alias("_block"))
+                raw = spark.read.format("binaryFile").load(pattern)
             except AnalysisException:  # no such files
                 continue
-            name = F.upper(F.regexp_extract("file", r"([^/]*)/[^/]*$", 1)) if deep else speaker(F.regexp_extract("file", r"([^/]*)$", 1), flat_pattern)
-            parts.append(_ordered(lines.withColumns({"condition": F.lit(condition), "speaker": name})))
+            # Spark keeps the list of a scan's files on the driver anyway.
+            layouts = _headers(raw).where(F.size(F.array_except(F.array(*(F.lit(c) for c in required)), "names")) == 0).groupBy("names").agg(F.sort_array(F.collect_list("path")).alias("paths")).collect()
+            for layout in sorted(layouts, key=lambda r: r["paths"]):
+                # Of a name that is there twice the first column counts.
+                names = [x if x and x not in layout["names"][:k] else f"_unused{k}" for k, x in enumerate(layout["names"])]
+                options = {"header": "true", "multiLine": "true", "escape": '"', "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true", "ignoreCorruptFiles": "true"}
+                rows = spark.read.options(**options).schema(StructType([StructField(x, StringType()) for x in names])).csv([re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in layout["paths"]])
+                rows = rows.select(*(F.col(f"`{c}`").alias(c) for c in required), _file().alias("file"))
+                place = F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B")))
+                folder = F.regexp_extract(place, r"([^/]*)/[^/]*$", 1)
+                name = (F.upper(folder) if upper else folder) if deep else speaker(F.regexp_extract(place, r"([^/]*)$", 1), named)
+                # A file is read by one task from its beginning to its end.
+                parts.append(rows.withColumns({"condition": F.lit(condition), "speaker": name, "row_idx": F.monotonically_increasing_id()}))
             break
     if not parts:
         names = StructType([StructField(c, DoubleType() if c in numbers else StringType()) for c in ("condition", "speaker", "file", *required)])
         return spark.createDataFrame([], names).withColumn("row_idx", F.lit(0).cast("long"))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    # The header of a file is its first row: names to places, one small row per file.
-    cells = rows.withColumn("_c", F.from_csv("value", "_ string", {"sep": "\x00"})["_"]).withColumn("_v", F.split("_c", ",(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)"))
-    cells = cells.withColumn("_v", F.transform("_v", lambda x: F.regexp_replace(F.trim(x), r'^"(.*)"$', "$1")))
-    heads = cells.groupBy("file").agg(F.min_by(F.struct("row_idx", "_v"), "row_idx").alias("_h")).select(F.col("file").alias("_f"), F.col("_h.row_idx").alias("_first"), F.col("_h._v").alias("_names"))
-    heads = heads.where(F.size(F.array_except(F.array(*(F.lit(c) for c in required)), "_names")) == 0)
-    body = cells.join(heads, (F.col("file") == F.col("_f")) & (F.col("row_idx") != F.col("_first")))
-    value = lambda c: F.get("_v", (F.array_position("_names", c) - 1).cast("int"))
-    return body.select("condition", "speaker", "file", "row_idx", *((numeric(value(c)) if c in numbers else F.nullif(value(c), F.lit(""))).alias(c) for c in required))
+    body = reduce(DataFrame.unionByName, parts)
+    return body.select("condition", "speaker", "file", "row_idx", *((numeric(c) if c in numbers else F.nullif(F.col(c), F.lit(""))).alias(c) for c in required))
 
 
 _SCORES = StructType([StructField(d, StringType()) for d in DIMENSIONS])
@@ -151,8 +192,11 @@ def parse_annotation(text: str) -> list[tuple[str, int, float | None, float | No
     return out
 
 
-def annotations(spark: SparkSession, path: str, tier: str | None = None) -> DataFrame:
-    """file, tier, pos, xmin, xmax, label of annotation files in UTF-8 or UTF-16."""
+def annotations(spark: SparkSession, path: str, tier: str | None = None, needed: bool = False) -> DataFrame:
+    """file, tier, pos, xmin, xmax, label of annotation files in UTF-8 or UTF-16.
+
+    needed: a file without the tier is an error, raised when its rows are read.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     names = ["file", "tier", "pos", "xmin", "xmax", "label"]
     kinds = (pa.string(), pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.string())
@@ -165,7 +209,10 @@ def annotations(spark: SparkSession, path: str, tier: str | None = None) -> Data
                     text = x.decode("utf-8")
                 except UnicodeDecodeError:
                     text = x.decode("utf-16", "replace")
-                rows += [(p, *r) for r in parse_annotation(text)]
+                found = parse_annotation(text)
+                if needed and not any(r[0] == tier for r in found):
+                    raise ValueError(f"{p} has no tier {tier!r}")
+                rows += [(p, *r) for r in found]
             cols = list(zip(*rows, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
@@ -173,26 +220,33 @@ def annotations(spark: SparkSession, path: str, tier: str | None = None) -> Data
     return out.where(F.col("tier") == tier) if tier else out
 
 
-def transcripts(spark: SparkSession, path: str) -> DataFrame:
+def transcripts(spark: SparkSession, path: str, needed: bool = False) -> DataFrame:
     """file, speaker, pos, xmin, xmax, phone, word of `start,end,phone,word,sentence` files whose first line names the speaker.
 
     Lines with fewer than four fields or without times are left out; an empty phone
-    or word is `sp`.
+    or word is `sp`.  needed: a file of which no line is left is an error, raised when its rows are read.
     """
     raw = spark.read.text(path).select("value", _file().alias("file"), F.col("_metadata.file_block_start").alias("_block"))
     raw = _ordered(raw).where(F.trim("value") != "")
     own = Window.partitionBy("file").orderBy("row_idx")
-    rows = raw.withColumn("_i", F.row_number().over(own)).withColumn("speaker", F.first(F.trim("value")).over(own)).where("_i > 1")
+    rows = raw.withColumn("_i", F.row_number().over(own)).withColumn("speaker", F.first(F.trim("value")).over(own))
     cells = F.split("value", ",", 5)
     rows = rows.select("file", "speaker", (F.col("_i") - 2).alias("pos"), numeric(F.trim(F.get(cells, F.lit(0)))).alias("xmin"), numeric(F.trim(F.get(cells, F.lit(1)))).alias("xmax"), F.trim(F.get(cells, F.lit(2))).alias("phone"), F.trim(F.get(cells, F.lit(3))).alias("word"))
     filled = lambda c: F.when(F.col(c) == "", "sp").otherwise(F.col(c))
-    return rows.where("xmin is not null and xmax is not null and word is not null").withColumns({"phone": filled("phone"), "word": filled("word")})
+    whole = (F.col("pos") >= 0) & F.col("xmin").isNotNull() & F.col("xmax").isNotNull() & F.col("word").isNotNull()
+    if needed:
+        rows = rows.withColumn("_whole", F.count_if(whole).over(Window.partitionBy("file")))
+        whole = F.when(F.col("_whole") == 0, F.raise_error(F.concat(F.col("file"), F.lit(" has no line with times"))).cast("boolean")).otherwise(whole)
+        rows = rows.where(whole).drop("_whole")
+    else:
+        rows = rows.where(whole)
+    return rows.withColumns({"phone": filled("phone"), "word": filled("word")})
 
 
 def sentence_list(spark: SparkSession, path: str, prompts: bool = False) -> DataFrame:
     """sid, tokens of `NNN : text` lines; a missing file is an empty list.
 
-    prompts: ids of one to four digits, and the tokens of prompts (digits stay).
+    prompts: ids of one to four digits, and the tokens of prompts (digits stay); there an empty list is an error.
     """
     try:
         raw = spark.read.text(path)
@@ -200,7 +254,10 @@ def sentence_list(spark: SparkSession, path: str, prompts: bool = False) -> Data
         return spark.createDataFrame([], StructType([StructField("sid", IntegerType()), StructField("tokens", ArrayType(StringType()))]))
     pattern = r"^\s*(\d{1,4})\s*:\s*(.+?)\s*$" if prompts else r"^\s*(\d+)\s*:\s*(.+?)\s*$"
     rows = raw.select(F.regexp_extract("value", pattern, 1).try_cast("int").alias("sid"), F.regexp_extract("value", pattern, 2).alias("_t")).where("sid is not null")
-    return rows.select("sid", (prompt_tokens("_t") if prompts else letters_tokens("_t")).alias("tokens"))
+    out = rows.select("sid", (prompt_tokens("_t") if prompts else letters_tokens("_t")).alias("tokens"))
+    if prompts and out.isEmpty():  # a list is short
+        raise ValueError(f"{path} has no sentences")
+    return out
 
 
 def transcript_sentences(spark: SparkSession, path: str) -> DataFrame:

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from sonorium.sources import audio, flac
+from sonorium.sources import audio, flac, store
 
 
 class Writer:
@@ -167,12 +167,11 @@ def test_a_header_takes_few_bytes(tmp_path):
     body = b"LIST" + struct.pack("<I", 50_000) + bytes(50_000) + b"fmt " + struct.pack("<IHHIIHH", 16, 1, 1, 8000, 16000, 2, 16) + b"junk" + struct.pack("<I", 70_001) + bytes(70_002) + b"data" + struct.pack("<I", 4_000_000) + bytes(4_000_000)
     path = tmp_path / "x.wav"
     path.write_bytes(b"RIFF" + struct.pack("<I", 4 + len(body)) + b"WAVE" + body)
-    read, close = audio._ranged(f"file:{path}")
     taken = []
+    with store.opened(f"file:{path}") as read:
 
-    def counted(at, n):
-        taken.append(n)
-        return read(at, n)
+        def counted(at, n):
+            taken.append(n)
+            return read(at, n)
 
-    assert audio.header(counted) == ("wav", 8000, 1, 16, 2_000_000) and sum(taken) < 200
-    close()
+        assert audio.header(counted) == ("wav", 8000, 1, 16, 2_000_000) and sum(taken) < 200

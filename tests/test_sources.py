@@ -145,3 +145,41 @@ def test_stimulus_files(spark, tmp_path):
     assert (tmp_path / "audioSamples.js.txt").read_text().startswith("const audioSamples = [\n    { id: \"stim_0001\", url: ")
     sinks.stimulus_files(items, spark.createDataFrame([("f", "no_match")], "file string, reason string"), url, str(tmp_path))
     assert json.loads((tmp_path / "mismatches.json").read_text()) == [{"file": "f", "reason": "no_match"}]
+
+
+def test_tracks_by_layout(spark, tmp_path):
+    """Files of several headers, quoted line feeds, names with signs of patterns; only what is required is parsed."""
+    (tmp_path / "c" / "s [1]").mkdir(parents=True)
+    other = "label,F3_s,F2_s,F1_s,rel_time,fol_word,extra,pre_word,word,id,file_name\n"
+    (tmp_path / "c" / "s [1]" / "a_tracks.csv").write_text(HEAD + 'x,1,"two\nlines",p,"a ""q""",iy,0.1,1,2,3\nx,2, w ,p,y,iy,0.2,4,5,6\n')
+    (tmp_path / "c" / "s [1]" / "b_tracks.csv").write_text(other + "iy,3,2,1,0.5,y,zz,p,w,9,x\n")
+    (tmp_path / "c" / "s [1]" / "c_tracks.csv").write_text("")
+    df = tables.tracks(spark, str(tmp_path), ["c"], upper=False)
+    got = {(r.id, r.word, r.fol_word, r.F1_s, r.F3_s, r.speaker) for r in df.collect()}
+    assert got == {("1", "two\nlines", 'a "q"', 1.0, 3.0, "s [1]"), ("2", "w", "y", 4.0, 6.0, "s [1]"), ("9", "w", "y", 1.0, 3.0, "s [1]")}
+    plan = df.select("id", "F1_s")._jdf.queryExecution().executedPlan().toString()
+    assert "F2_s" not in plan.split("ReadSchema")[-1] and "ReadSchema: struct<id:string,F1_s:string>" in plan
+    (tmp_path / "d").mkdir()
+    for n in ("usctimit_mri_f1_3_tracks.csv", "usc_s1_1_tracks.csv"):
+        (tmp_path / "d" / n).write_text(HEAD + "x,1,w,p,y,iy,0.1,1,2,3\n")
+    speakers = lambda flat: sorted(r.speaker for r in tables.tracks(spark, str(tmp_path), ["d"], flat=flat).collect())
+    assert speakers("frames") == ["?", "F1"] and speakers("errors") == ["F1", "S1"]
+
+
+def test_needed_parts(spark, tmp_path):
+    import pytest
+
+    tiers = spark.createDataFrame([("/d/a.TextGrid", "phones", 0.0, 1.0, "k")], "file string, tier string, xmin double, xmax double, label string")
+    sinks.annotation_files(tiers, str(tmp_path / "t"))
+    assert tables.annotations(spark, str(tmp_path / "t"), "words").count() == 0
+    with pytest.raises(Exception, match="has no tier 'words'"):
+        tables.annotations(spark, str(tmp_path / "t"), "words", needed=True).collect()
+    (tmp_path / "a.trans").write_text("m1\n0,0.5,k,w,s\n")
+    assert tables.transcripts(spark, str(tmp_path / "*.trans"), needed=True).count() == 1
+    (tmp_path / "b.trans").write_text("m1\nno times\n")
+    assert tables.transcripts(spark, str(tmp_path / "*.trans")).count() == 1
+    with pytest.raises(Exception, match="has no line with times"):
+        tables.transcripts(spark, str(tmp_path / "*.trans"), needed=True).collect()
+    (tmp_path / "l.txt").write_text("nothing\n")
+    with pytest.raises(ValueError, match="has no sentences"):
+        tables.sentence_list(spark, str(tmp_path / "l.txt"), True)
