@@ -529,7 +529,34 @@ def subseq_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n"))
 
 
-@query("wer_turns")
+_CELL = "{{'tok': {tok}, 'j': {j}::BIGINT, 'cost': {cost}::BIGINT, 's': {s}::BIGINT, 'd': {d}::BIGINT, 'i': {i}::BIGINT}}".format
+_EDITS_SQL = (
+    "list_reduce(list_prepend(list_transform(range(len(hyp) + 1), lambda j: "
+    + _CELL(tok="''", j="j", cost="j", s=0, d=0, i="j")
+    + "), list_transform(ref, lambda r: ["
+    + _CELL(tok="r", j=0, cost=0, s=0, d=0, i=0)
+    + "])), lambda prev, row: list_reduce(list_prepend(["
+    + _CELL(tok="''", j=0, cost="prev[1].cost + 1", s="prev[1].s", d="prev[1].d + 1", i="prev[1].i")
+    + "], list_transform(range(1, len(hyp) + 1), lambda j: ["
+    + _CELL(tok="hyp[j]", j="j", cost=0, s=0, d=0, i=0)
+    + "])), lambda cur, h: list_append(cur, CASE WHEN prev[h[1].j].cost + (h[1].tok <> row[1].tok)::BIGINT <= least(prev[h[1].j + 1].cost, cur[h[1].j].cost) + 1 THEN "
+    + _CELL(tok="''", j=0, cost="prev[h[1].j].cost + (h[1].tok <> row[1].tok)::BIGINT", s="prev[h[1].j].s + (h[1].tok <> row[1].tok)::BIGINT", d="prev[h[1].j].d", i="prev[h[1].j].i")
+    + " WHEN prev[h[1].j + 1].cost <= cur[h[1].j].cost THEN "
+    + _CELL(tok="''", j=0, cost="prev[h[1].j + 1].cost + 1", s="prev[h[1].j + 1].s", d="prev[h[1].j + 1].d + 1", i="prev[h[1].j + 1].i")
+    + " ELSE "
+    + _CELL(tok="''", j=0, cost="cur[h[1].j].cost + 1", s="cur[h[1].j].s", d="cur[h[1].j].d", i="cur[h[1].j].i + 1")
+    + " END)))[-1]"
+)
+
+
+@query(
+    "wer_turns",
+    f"""WITH t AS (SELECT conv_id, turn, list_transform(regexp_extract_all(text, '[A-Za-z'']+'), lambda x: lower(x)) AS ref FROM conversations),
+    p AS (SELECT conv_id, ref, lead(ref) OVER (PARTITION BY conv_id ORDER BY turn) AS hyp FROM t),
+    e AS (SELECT conv_id, len(ref) AS n_ref, {_EDITS_SQL} AS e FROM p WHERE hyp IS NOT NULL),
+    s AS (SELECT conv_id, sum(e.s)::BIGINT AS s, sum(e.d)::BIGINT AS d, sum(e.i)::BIGINT AS i, sum(n_ref)::BIGINT AS n_ref FROM e GROUP BY conv_id)
+    SELECT *, s + d + i AS errors, CASE WHEN n_ref > 0 THEN (s + d + i)::DOUBLE / n_ref END AS rate FROM s""",
+)
 def wer_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.letters_tokens("text").alias("ref"))
     pairs = rows.withColumn("hyp", F.lead("ref").over(Window.partitionBy("conv_id").orderBy("turn"))).where("hyp is not null")
@@ -543,7 +570,44 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), (F.col("vec_id") % 4).alias("speaker"), F.col("label").alias("phoneme"), "embedding", F.transform(F.sequence(F.lit(0), F.lit(20)), frame).alias("track"))
 
 
-@query("dtw_rmse")
+_WARP = "{{'k': {k}::BIGINT, 'c': ({c})::DOUBLE, 'n': ({n})::DOUBLE, 'a': ({a})::DOUBLE, 'b': ({b})::DOUBLE, 'g': ({g})::DOUBLE}}".format
+
+
+def _warp_sql() -> str:
+    """The last cell of the best alignment of zx and zy (scaled frames), with the sums of squared differences of x and y along it."""
+    i, j = "row[1].k", "h[1].k"
+    own = "sqrt(" + " + ".join(f"(zx[{i}][{f}] - zy[{j}][{f}]) ** 2" for f in (1, 2, 3)) + ")"
+    raw = [f"(x[{i}][{f}] - y[{j}][{f}]) ** 2" for f in (1, 2, 3)]
+    step = lambda p: _WARP(k=0, c=f"{p}.c + {own}", n=f"{p}.n + 1", a=f"{p}.a + {raw[0]}", b=f"{p}.b + {raw[1]}", g=f"{p}.g + {raw[2]}")
+    start = _WARP(k=0, c=own, n=1, a=raw[0], b=raw[1], g=raw[2])
+    blank = lambda k: _WARP(k=k, c="'inf'", n=0, a=0, b=0, g=0)
+    # prev has the row before, with an endless cell in front; cur grows to the same shape.
+    diag, up, left = f"prev[{j}]", f"prev[{j} + 1]", f"cur[{j}]"
+    cell = f"CASE WHEN {i} = 1 AND {j} = 1 THEN {start} WHEN {diag}.c <= {left}.c AND {diag}.c <= {up}.c THEN {step(diag)} WHEN {left}.c <= {up}.c THEN {step(left)} ELSE {step(up)} END"
+    inner = f"list_reduce(list_prepend([{blank(0)}], list_transform(range(1, len(zy) + 1), lambda j: [{blank('j')}])), lambda cur, h: list_append(cur, {cell}))"
+    return f"list_reduce(list_prepend(list_transform(range(len(zy) + 1), lambda j: {blank(0)}), list_transform(range(1, len(zx) + 1), lambda i: [{blank('i')}])), lambda prev, row: {inner})[-1]"
+
+
+_FRAMES_SQL = """SELECT vec_id AS id, label AS phoneme, list_transform(range(21), lambda k: list_transform([1, 2, 3], lambda f: abs(embedding[3 * k + f])::DOUBLE * 1000 + 200)) AS x FROM embeddings"""
+
+
+def _scaled_sql(x: str) -> str:
+    """Frames less the mean, over the deviation, by field."""
+    one = lambda f: f"list_transform({x}, lambda r: r[{f}])"
+    spread = lambda f: f"CASE WHEN list_stddev_pop({one(f)}) = 0 THEN 1 ELSE list_stddev_pop({one(f)}) END"
+    return f"list_transform({x}, lambda v: [" + ", ".join(f"(v[{f}] - m[{f}]) / d[{f}]" for f in (1, 2, 3)) + "])", ", ".join(f"list_avg({one(f)})" for f in (1, 2, 3)), ", ".join(spread(f) for f in (1, 2, 3))
+
+
+_SCALED = _scaled_sql("x")
+
+
+@query(
+    "dtw_rmse",
+    f"""WITH f AS ({_FRAMES_SQL}), m AS (SELECT *, [{_SCALED[1]}] AS m, [{_SCALED[2]}] AS d FROM f), z AS (SELECT id, phoneme, x, {_SCALED[0]} AS zx FROM m),
+    p AS (SELECT id, phoneme, x, zx, lead(x) OVER w AS y, lead(zx) OVER w AS zy FROM z WINDOW w AS (PARTITION BY phoneme ORDER BY id)),
+    e AS (SELECT id, phoneme, {_warp_sql()} AS e FROM p WHERE zy IS NOT NULL)
+    SELECT id, phoneme, round(sqrt(e.a / e.n), 6) AS "rmse_F1", round(sqrt(e.b / e.n), 6) AS "rmse_F2", round(sqrt(e.g / e.n), 6) AS "rmse_F3" FROM e""",
+)
 def dtw_rmse(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _items(spark, sf_dir)
     own = Window.partitionBy("phoneme").orderBy("id")
