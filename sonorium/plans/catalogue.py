@@ -706,7 +706,7 @@ def rate_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _load() -> None:
     """The modules that register more queries here."""
-    from . import expressions, reports  # noqa: F401
+    from . import compared, expressions, reports  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -163,4 +163,5 @@ def sentence_identity(a: DataFrame, b: DataFrame, sentences: DataFrame) -> DataF
     both = spoken(a, "_a").join(spoken(b, "_b"), "file", "full").withColumn("stimulus", text.stimulus(text.stem("file")))
     rows = both.withColumn("sid", F.explode(text.expand_range("stimulus"))).join(sentences.select(F.col("sid").cast("long").alias("sid"), "tokens"), "sid", "left")
     needle = F.coalesce("tokens", F.array().cast("array<string>"))
-    return rows.select("file", "stimulus", "sid", intervals.contains("_a", needle).alias("in_a"), intervals.contains("_b", needle).alias("in_b"))
+    held = lambda c: F.when(F.col(c).isNotNull(), intervals.contains(c, needle))
+    return rows.select("file", "stimulus", "sid", held("_a").alias("in_a"), held("_b").alias("in_b"))
