@@ -46,6 +46,10 @@ SPACE = "▁"
 _ID_BITS, _ID_ADD = 26, 1 << 21
 #: Characters of a part of a unit, whose edges one fold takes: Spark copies the state of a fold at each step.
 PART = 256
+#: A text with more rows than this, and than one in HOT_SHARE of all rows, is dealt to several tasks.
+HOT, HOT_SHARE = 1_000, 10_000
+#: Texts are compressed so much while they are shuffled.
+LEVEL = 4
 #: Of the digest: places of pieces count modulo this.
 PRIME = 1_000_003
 
@@ -256,10 +260,9 @@ def encodings(docs: DataFrame, table: Table, written: Callable[[DataFrame], Data
 class Codes:
     """Encodings by unit hash: number of pieces, where they begin, and the ids one after another."""
 
-    def __init__(self, units: pa.Array, ids: pa.Array):
-        data, off = buffer(units)
-        size = np.asarray(pc.list_value_length(ids), np.int64)
-        self.table = Lookup(span_hash(data, off[:-1], off[1:]), size, np.concatenate(([0], np.cumsum(size)))[:-1])
+    def __init__(self, hashes: np.ndarray, ids: pa.Array):
+        size = np.asarray(pc.list_value_length(ids), np.int32)
+        self.table = Lookup(hashes.view(np.uint64), size, np.concatenate(([0], np.cumsum(size)[:-1])).astype(np.int32))
         self.ids = np.array(ids.flatten(), np.int32)
 
 
@@ -270,18 +273,41 @@ def _shared(coded: DataFrame) -> tuple[Codes, Column]:
     least, held = None, 0
     for r in sizes:
         held += r["units"]
-        if held > SHARED:
+        if held > SHARED or not r["_b"]:  # a unit that occurs once is not worth sending to every task
             break
         least = r["least"]
     own = short & (F.col("n") >= least) if least else F.lit(False)
-    wide = coded.where(own).select("unit", "ids").toArrow()
-    units, ids = (wide[k].combine_chunks() if wide.num_rows else pa.array([], wide.schema.field(k).type) for k in ("unit", "ids"))
-    codes = Codes(units, ids)
-    del wide, units, ids
+    # Units are hashed where they are: the driver gets no texts, and needs no room to hash them.
+    wide = _hashed(coded.where(own)).toArrow()
+    codes = Codes(wide["_hash"].to_numpy(), wide["ids"].combine_chunks() if wide.num_rows else pa.array([], wide.schema.field("ids").type))
+    del wide
     trim()
     return codes, own
 
 
+def _hashed(coded: DataFrame) -> DataFrame:
+    """_hash and ids of units."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "unit"):
+            data, off = buffer(batch["unit"])
+            yield pa.RecordBatch.from_arrays([pa.array(span_hash(data, off[:-1], off[1:]).view(np.int64)), batch["ids"]], ["_hash", "ids"])
+
+    return coded.select("unit", "ids").mapInArrow(run, "_hash long, ids array<int>")
+
+
+def _salted(rows: DataFrame) -> list[tuple[int, int, int]]:
+    """Of texts (by their hashes _k, _l) that so many rows have that one task should not get them all: both hashes, and how many tasks should.
+
+    At most so many texts as `HOT_SHARE` says, so they can be broadcast.
+    """
+    counts = rows.groupBy("_k", "_l").agg(F.count("*").alias("_n"))
+    with scratch(rows.sparkSession) as put:
+        counts = put(counts.where(F.col("_n") > HOT))
+        most = max(HOT, rows.count() // HOT_SHARE)
+        return [(r["_k"], r["_l"], -(-r["_n"] // most)) for r in counts.where(F.col("_n") > most).collect()]
+
+
 def _encoded(docs: DataFrame, table: Table, carry: str, finish: Callable[[pa.RecordBatch, pa.Array, pa.ListArray], dict[str, pa.Array]], out: list[StructField]) -> DataFrame:
     """What finish makes of each batch of rows of docs, its texts and their ids; carry: the columns it needs besides, by expression.
 
@@ -293,15 +319,10 @@ def _encoded(docs: DataFrame, table: Table, carry: str, finish: Callable[[pa.Rec
         coded = put(encodings(docs, table, put))
         codes, own = _shared(coded)
 
-        def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                data, off = buffer(batch["unit"])
-                yield pa.RecordBatch.from_arrays([pa.array(span_hash(data, off[:-1], off[1:]).view(np.int64)), batch["ids"]], ["_hash", "ids"])
-
-        rest = written(coded.where(~own).select("unit", "ids").mapInArrow(hashed, "_hash long, ids array<int>"))
+        rest = written(_hashed(coded.where(~own)))
     shared, tables = sc.broadcast(codes), sc.broadcast(table)
     keys = (F.xxhash64("text").alias("_k"), F.xxhash64(F.lit("text"), "text").alias("_l"))
-
+    some = F.coalesce(F.col("text") != "", F.lit(False))
     def missing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             u = Units(batch["text"], tables.value.meets)
@@ -315,18 +336,38 @@ def _encoded(docs: DataFrame, table: Table, carry: str, finish: Callable[[pa.Rec
 
     def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            packed_ = [None if x is None else zlib.compress(x, 6) for x in batch["text"].cast(pa.binary()).to_pylist()]
+            packed_ = [zlib.compress(x, LEVEL) for x in batch["text"].cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["_carry"], batch["_k"], batch["_l"], pa.array(packed_, pa.binary())], ["_carry", "_k", "_l", "_z"])
 
-    rare = docs.select("text", *keys).mapInArrow(missing, "_k long, _l long, _hash long").join(rest, "_hash")
-    rare = rare.groupBy("_k", "_l").agg(F.collect_set(F.struct("_hash", "ids")).alias("_own")).withColumnsRenamed({"_k": "_rk", "_l": "_rl"})
-    rows = docs.select("text", F.expr(carry).alias("_carry"), *keys)
-    rows = rows.mapInArrow(squeezed, StructType([rows.schema["_carry"], *(StructField(k, LongType()) for k in ("_k", "_l")), StructField("_z", BinaryType())]))
-    joined = rows.join(rare, (F.col("_k") == F.col("_rk")) & (F.col("_l") == F.col("_rl")), "left").select("_carry", "_z", "_own")
+    def met(docs_: DataFrame, salts: DataFrame | None) -> DataFrame:
+        """_carry, _z and _own of rows with their texts' rare units; salts: copies of a text meet them in as many tasks."""
+        rare = docs_.select("text", *keys).mapInArrow(missing, "_k long, _l long, _hash long").join(rest, "_hash")
+        rare = rare.groupBy("_k", "_l").agg(F.collect_set(F.struct("_hash", "ids")).alias("_own"))
+        rows = docs_.select("text", F.expr(carry).alias("_carry"), *keys)
+        rows = rows.mapInArrow(squeezed, StructType([rows.schema["_carry"], *(StructField(k, LongType()) for k in ("_k", "_l")), StructField("_z", BinaryType())]))
+        on = ["_k", "_l"]
+        if salts is not None:
+            on = [*on, "_s"]
+            rare = rare.join(salts, ["_k", "_l"]).withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
+            # The salt is the row's number in its part of the table, the same whenever the part is read again.
+            rows = rows.withColumn("_i", F.monotonically_increasing_id()).join(salts, ["_k", "_l"]).withColumn("_s", F.pmod("_i", "_salts").cast("int"))
+        return rows.join(rare.select(*on, "_own"), on, "left").select("_carry", "_z", "_own")
+
+    # Texts without units meet nothing.
+    with_units = docs.where(some)
+    hot = _salted(with_units.select(*keys))
+    if hot:
+        salts = F.broadcast(docs.sparkSession.createDataFrame(hot, "_k long, _l long, _salts int"))
+        is_hot = lambda how: with_units.withColumns({"_k": keys[0], "_l": keys[1]}).join(salts, ["_k", "_l"], how).drop("_k", "_l")
+        joined = met(is_hot("left_anti"), None).union(met(is_hot("left_semi"), salts))
+    else:
+        joined = met(with_units, None)
+    without = docs.where(~some).select(F.expr(carry).alias("_carry"), F.col("text").cast("binary").alias("_z"), F.lit(None).cast(joined.schema["_own"].dataType).alias("_own"))
+    joined = joined.union(without)
 
     def unsqueezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_z", SLICE_BYTES // 4):
-            text = pa.array([None if x is None else zlib.decompress(x).decode() for x in batch["_z"].to_pylist()], pa.string())
+            text = pa.array([zlib.decompress(x).decode() if x else None if x is None else "" for x in batch["_z"].to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([batch["_carry"], text, batch["_own"]], ["_carry", "text", "_own"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,7 +375,7 @@ def _encoded(docs: DataFrame, table: Table, carry: str, finish: Callable[[pa.Rec
         for batch in slices(unsqueezed(batches)):
             u = Units(batch["text"], tables.value.meets)
             at = c.table.find(u.hash)
-            size, first = (np.where(at >= 0, v[at], 0) if len(v) else np.zeros(len(at), np.int64) for v in c.table.values)
+            size, first = (np.where(at >= 0, v[at], 0).astype(np.int64) if len(v) else np.zeros(len(at), np.int64) for v in c.table.values)
             own = c.ids
             if (at < 0).any():
                 # The rows' own encodings stand behind the shared ones.
@@ -382,17 +423,18 @@ def decode(coded: DataFrame, table: Table) -> DataFrame:
     """coded (with ids array<int>) with decoded string in its place: the text of the pieces without the space put in front.
 
     Null ids give null.  Byte pieces that are no UTF-8 become the replacement character.
+    A column of coded named decoded is replaced; others may have any names.
     """
     shared = coded.sparkSession.sparkContext.broadcast(table)
-    names = [c for c in coded.columns if c != "ids"]
+    names = [c for c in coded.columns if c not in ("ids", "decoded")]
+    rows = coded.select(*(F.col(quoted(c)).alias(f"c{k}") for k, c in enumerate([*names, "ids"])))
+    last = f"c{len(names)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            decoded = texts_of(batch["ids"], shared.value)
-            yield pa.RecordBatch.from_arrays([*(batch[x] for x in names), decoded], [*names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts_of(batch[last], shared.value)], batch.schema.names)
 
-    fields = [f for f in coded.schema if f.name != "ids"]
-    return coded.select(*(F.col(quoted(x)) for x in [*names, "ids"])).mapInArrow(run, StructType([*fields, StructField("decoded", StringType())]))
+    return rows.mapInArrow(run, StructType([*rows.schema.fields[:-1], StructField(last, StringType())])).toDF(*names, "decoded")
 
 
 def texts_of(ids: pa.ListArray, table: Table) -> pa.Array:

@@ -215,6 +215,47 @@ def test_near_lines_by_the_other_way(spark, monkeypatch, keys, hot):
     assert len(near_lines(spark, texts)) > 20
 
 
+@pytest.mark.parametrize("hot", [2])
+def test_near_lines_with_several_phrases_in_common(spark, monkeypatch, hot):
+    """A template of phrases: the rest of a hot bucket has phrases in common too, and is cut again."""
+    monkeypatch.setattr(lines, "HOT", hot)
+    r = random.Random(7)
+    head, middle, tail = wordy(r, 3, (15, 15))
+    texts = list({x for a, b in zip(wordy(r, 12, (4, 9)), wordy(r, 12, (4, 9)), strict=True) for y in (f"{head} {a} {middle} {b} {tail}",) for x in (y, *(reworded(r, y, 3) for _ in range(2)))})
+    r.shuffle(texts)
+    assert len(near_lines(spark, texts)) > 8
+
+
+def test_hot_buckets_fall_apart(spark, monkeypatch):
+    """Lines of one template that are not near: as many again take about as many more comparisons, not four times as many."""
+    r = random.Random(8)
+    monkeypatch.setattr(lines, "HOT", 8)
+    phrase, other = wordy(r, 2, (25, 25))
+    made = []
+
+    def counted(pairs, texts, put, steps=16):
+        made[-1] += pairs.count()
+        return check(pairs, texts, put, steps)
+
+    check = lines._verified
+    monkeypatch.setattr(lines, "_verified", counted)
+    for n in (40, 80):
+        docs = spark.createDataFrame([(k, f"{phrase} {x} {other}") for k, x in enumerate(wordy(r, n, (25, 25)))], "doc_id long, text string")
+        made.append(0)
+        df = lines.split_lines(docs)
+        with scratch(spark) as put:
+            assert lines.near(df, df.select("_fp", F.struct("doc_id", "_text", "_no").alias("first")), put).count() == 0
+    assert made[1] <= 3 * made[0] + 8 and made[1] <= 80 * 4
+
+
+def test_long_lines_without_spaces(spark):
+    r = random.Random(9)
+    base = "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(600))
+    near = base[:100] + "一" + base[101:300] + base[301:500] + "二三" + base[500:]
+    docs = spark.createDataFrame([(1, base), (2, near), (3, base[:300]), (4, base[:298])], "doc_id long, text string")
+    assert {x.doc_id: x.n_near for x in lines.op10(docs).collect()} == {1: 0, 2: 1, 3: 0, 4: 1}
+
+
 def test_line_dedup(spark, edges, none):
     docs = spark.createDataFrame(
         [(1, "the first long line of all\nshort\n\nsame line"), (2, "the first long line of al\nshort\nown words stay here"), (3, "short\nsame line"), (4, None), (5, " \n")],
@@ -345,6 +386,26 @@ def test_pieces(spark, edges, none, corpus, monkeypatch):
     assert pieces.encode(odd, table).first().asDict() | {"ids": 0} == odd.first().asDict() | {"ids": 0}
 
 
+def test_decoding_beside_clashing_columns(spark):
+    df = spark.createDataFrame([([1, 2], "old", 3), (None, "x", 4)], "ids array<int>, decoded string, `a.b` int")
+    out = pieces.decode(df, pieces.Table()).collect()
+    assert [r["a.b"] for r in out] == [3, 4] and out[1].decoded is None and out[0].decoded != "old"
+
+
+def test_hot_texts(spark, monkeypatch):
+    """Copies of a text are dealt to several tasks; each row is there once, with the ids of its text."""
+    monkeypatch.setattr(pieces, "HOT", 3)
+    monkeypatch.setattr(pieces, "SHARED", 5)
+    table = pieces.Table()
+    texts = ["a rare text with zyxw units"] * 20 + ["another qqvv text"] * 4 + [None] * 9 + [""] * 8 + ["single wordly thing"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: (r.text, r.ids) for r in pieces.encode(df.repartition(4), table).collect()}
+    assert len(out) == len(texts) and all(out[k][0] == t for k, t in enumerate(texts))
+    assert all(out[k][1] == (None if t is None else best_path("▁" + t.replace(" ", "▁"), table) if t else []) for k, t in enumerate(texts))
+    keyed = df.where("text <> ''").select(F.xxhash64("text").alias("_k"), F.xxhash64(F.lit("text"), "text").alias("_l"))
+    assert sorted(salts for _, _, salts in pieces._salted(keyed)) == [2, 7]
+
+
 def test_a_very_long_unit(spark):
     """A word of 200,000 characters takes seconds: its fold is linear."""
     table, began = pieces.Table(), time.time()
