@@ -68,6 +68,28 @@ def contains(haystack: Column | str, needle: Column | str) -> Column:
     return (F.size(n) <= 0) | (F.instr(wrap(h), wrap(n)) > 0)
 
 
+#: How many words two sequences meet by: the greatest of these that the shorter one has.
+HEADS = (8, 4, 2, 1)
+
+
+def holders(haystacks: DataFrame, key: str, hay: str, needles: DataFrame, name: str, needle: str) -> DataFrame:
+    """key, name of each array of words and each other one that it holds as a contiguous part; an empty one is in all.
+
+    They meet by a hash of the needle's first words: needles are in classes by how many those are, and each
+    class that there is (of four at most) makes the haystacks' runs of that length.  The whole needle then confirms.
+    """
+    size = F.size(needle)
+    n = needles.select(name, needle, F.coalesce(*(F.when(size >= k, k) for k in HEADS), F.lit(0)).alias("_k"))
+    some = n.where("_k > 0").withColumn("_h", F.xxhash64(F.transform(F.slice(needle, 1, F.col("_k")), lambda w: F.xxhash64(w))))
+    classes = F.broadcast(some.select("_k").distinct())
+    runs = haystacks.select(key, F.transform(hay, lambda w: F.xxhash64(w)).alias("_w")).crossJoin(classes).where(F.size("_w") >= F.col("_k"))
+    heads = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("_w") - F.col("_k") + 1), lambda i: F.xxhash64(F.slice("_w", i, F.col("_k")))))
+    met = runs.select(key, "_k", F.explode(heads).alias("_h")).join(some, ["_k", "_h"]).select(key, name, needle)
+    found = met.join(haystacks.select(key, hay), key).where(contains(hay, needle)).select(key, name)
+    empty = haystacks.select(key).crossJoin(n.where("_k = 0").select(name)).select(key, name)  # all of them is the answer
+    return found.union(empty)
+
+
 def sentence_window(words: DataFrame, targets: DataFrame, by: list[str], pad: float = 0.05) -> DataFrame:
     """The first run of words, silences skipped, that equals a sentence: by, sid, t_start, t_end, first, last.
 

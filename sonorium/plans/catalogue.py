@@ -515,18 +515,14 @@ def sentence_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "subseq_contains",
     r"""WITH n AS (SELECT item_id, list_filter(regexp_split_to_array(text, '[ \n]+'), lambda x: x <> '') AS w FROM benchmark), d AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \n]+'), lambda x: x <> '') AS w FROM documents)
-    SELECT item_id, count(DISTINCT doc_id) AS n FROM n, d WHERE contains(chr(1) || array_to_string(d.w, chr(1)) || chr(1), chr(1) || array_to_string(n.w, chr(1)) || chr(1)) GROUP BY item_id""",
+    SELECT item_id, count(DISTINCT doc_id) AS n FROM n, d WHERE len(n.w) = 0 OR contains(chr(1) || array_to_string(d.w, chr(1)) || chr(1), chr(1) || array_to_string(n.w, chr(1)) || chr(1)) GROUP BY item_id""",
 )
 def subseq_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In how many documents each benchmark text stands as it is, word by word."""
     words = lambda c: F.filter(F.split(c, r"[ \n]+"), lambda w: w != "")
-    needles = table(spark, sf_dir, "benchmark").select("item_id", words("text").alias("needle"))
-    docs = table(spark, sf_dir, "documents").where("text is not null")
-    # A document and a needle meet by the needle's first words, as many as the shortest has; the whole needle then confirms.
-    k = min(8, needles.agg(F.min(F.size("needle"))).first()[0] or 1)
-    heads = F.get(F.transform(F.array(words("text")), lambda a: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(a) - k + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(a, i, k))))), F.lit(0))
-    met = docs.select("doc_id", F.explode(heads).alias("h")).join(needles.withColumn("h", F.xxhash64(F.slice("needle", 1, k))), "h").select("doc_id", "item_id", "needle")
-    found = met.join(docs.select("doc_id", words("text").alias("hay")), "doc_id").where(intervals.contains("hay", "needle"))
-    return found.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n"))
+    needles = table(spark, sf_dir, "benchmark").where("text is not null").select("item_id", words("text").alias("needle"))
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", words("text").alias("hay"))
+    return intervals.holders(docs, "doc_id", "hay", needles, "item_id", "needle").groupBy("item_id").agg(F.countDistinct("doc_id").alias("n"))
 
 
 _CELL = "{{'tok': {tok}, 'j': {j}::BIGINT, 'cost': {cost}::BIGINT, 's': {s}::BIGINT, 'd': {d}::BIGINT, 'i': {i}::BIGINT}}".format

@@ -39,6 +39,38 @@ def test_lines(df: DataFrame, name: str = "name", p: str = "p", adjusted: str =
     return df.select(F.concat(F.col(name), F.lit(": p="), F.format_string("%.3g", p), F.lit(", p_holm="), F.format_string("%.3g", adjusted), star).alias("line"))
 
 
+def summary_lines(df: DataFrame, name: str = "condition") -> DataFrame:
+    """place and line of a summary (name, count, mean, median, std), in the order of names; a group without values says so."""
+    told = F.format_string("  %14s: n=%5d  mean=%.4f  median=%.4f  sd=%.4f", name, F.col("count"), "mean", "median", F.coalesce("std", F.lit(float("nan"))))
+    return df.select(F.col(name).alias("place"), F.when(F.col("count") > 0, told).otherwise(F.format_string("  %14s: (no data)", name)).alias("line"))
+
+
+def u_lines(df: DataFrame, reference: str, name: str = "condition", adjusted: str = "p_holm") -> DataFrame:
+    """place and line of U tests of groups against a reference: both p, the difference of medians, the effect, both sizes."""
+    star = F.when(F.col(adjusted) < 0.05, "*").otherwise(" ")
+    told = F.format_string(f"  {reference} vs %-12s: p=%.3g  p_holm=%.3g%s  Δmed=%+.4f  r=%+.2f  (n_ref=%d, n=%d)", name, "p", adjusted, star, "median_diff", "effect", "n2", "n1")
+    return df.select(F.col(name).alias("place"), F.when(F.col("p").isNotNull(), told).otherwise(F.format_string(f"  {reference} vs %-12s: no test", name)).alias("line"))
+
+
+def signed_rank_lines(df: DataFrame, name: str = "pair", adjusted: str = "p_holm", n: str = "n_pairs") -> DataFrame:
+    """place and line of paired tests."""
+    star = F.when(F.col(adjusted) < 0.05, "*").otherwise(" ")
+    told = F.format_string("  %-20s: p=%.3g  p_holm=%.3g%s  r=%+.2f  (n_pair=%d)", name, "p", adjusted, star, "rank_biserial", n)
+    return df.select(F.col(name).alias("place"), F.when(F.col("p").isNotNull(), told).otherwise(F.format_string("  %-20s: no test (n_pair=%d)", name, n)).alias("line"))
+
+
+def report(parts: list[tuple[str, DataFrame]], path: str, name: str = "stats.txt") -> None:
+    """One text of titles and the lines (place, line) below them.  For result tables, which are small."""
+    rows = None
+    for k, (title, lines) in enumerate(parts):
+        head = lines.sparkSession.range(1).select(F.lit(k).alias("k"), F.lit("").alias("place"), F.lit(0).alias("i"), F.lit(f"-- {title} --").alias("line"))
+        own = head.union(lines.select(F.lit(k), F.col("place").cast("string"), F.lit(1), "line"))
+        rows = own if rows is None else rows.union(own)
+    if rows is not None:
+        whole = rows.agg(F.sort_array(F.collect_list(F.struct("k", "i", "place", "line"))).alias("_x")).select(F.lit(name).alias("name"), F.concat(F.array_join(F.transform("_x", lambda x: x["line"]), "\n"), F.lit("\n")).alias("value"))
+        named_files(whole, path)
+
+
 def _quoted(label: Column) -> Column:
     return F.concat(F.lit('"'), F.replace(label, F.lit('"'), F.lit('""')), F.lit('"'))
 

@@ -143,14 +143,16 @@ def responses_json(spark: SparkSession, path: str) -> DataFrame:
 
 def responses_csv(spark: SparkSession, path: str) -> DataFrame:
     """A CSV with a column responsesJSON, or one that is long already (rater, id, SIG, BAK, OVRL and perhaps finalCheck)."""
-    raw = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').csv(path).withColumn("row_idx", F.monotonically_increasing_id())
+    raw = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').csv(path)
+    # A file is read by one task, so numbers rise within it; files are in the order of their names, as nothing else says.
+    raw = raw.withColumns({"file": _file(), "row_idx": F.monotonically_increasing_id()})
     if "responsesJSON" in raw.columns:
-        return ratings_of(raw, "responsesJSON", ["row_idx"])
+        return ratings_of(raw, "responsesJSON", ["file", "row_idx"])
     missing = {"rater", "id", *DIMENSIONS} - set(raw.columns)
     if missing:
         raise ValueError(f"neither responsesJSON nor the columns {sorted(missing)}")
     check = F.col("finalCheck") if "finalCheck" in raw.columns else F.lit(None).cast("string")
-    return raw.select("row_idx", "rater", check.alias("finalCheck"), "id", *(numeric(d).alias(d) for d in DIMENSIONS))
+    return raw.select("file", "row_idx", "rater", check.alias("finalCheck"), "id", *(numeric(d).alias(d) for d in DIMENSIONS))
 
 
 def mapping(spark: SparkSession, path: str) -> DataFrame:

@@ -107,3 +107,13 @@ def test_drop_with_a_rate_by_file(spark):
 
     df = spark.createDataFrame(rows, "f string, rate int, idx long, sample double")
     assert {x.f: x.end_idx for x in intervals.drop_index(df, ["f"], F.col("rate")).collect()} == want
+
+
+def test_holders_by_brute_force(spark):
+    r = random.Random(7)
+    text = lambda n: [r.choice("abc") for _ in range(n)]
+    hays = [(k, text(r.randint(0, 40))) for k in range(80)]
+    needles = [(k, text(n)) for k, n in enumerate((0, 1, 2, 3, 5, 8, 11, 20))] + [(50, hays[9][1][2:14]), (51, hays[3][1])]
+    got = intervals.holders(spark.createDataFrame(hays, "d int, h array<string>"), "d", "h", spark.createDataFrame(needles, "i int, n array<string>"), "i", "n").distinct().collect()
+    want = {(d, i) for d, h in hays for i, n in needles if any(h[at : at + len(n)] == n for at in range(len(h) - len(n) + 1))}
+    assert {tuple(x) for x in got} == want

@@ -183,3 +183,18 @@ def test_needed_parts(spark, tmp_path):
     (tmp_path / "l.txt").write_text("nothing\n")
     with pytest.raises(ValueError, match="has no sentences"):
         tables.sentence_list(spark, str(tmp_path / "l.txt"), True)
+
+
+def test_report_text(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from sonorium.operators import stats
+
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 4.0), ("b", 9.0), ("b", 8.0), ("c", None), ("ref", 1.5), ("ref", 2.5)], "condition string, v double")
+    tests = stats.mann_whitney_against(df.where("condition <> 'ref'"), ["condition"], "v", df.where("condition = 'ref'")).withColumn("p_holm", F.col("p"))
+    sinks.report([("summary", sinks.summary_lines(stats.summary(df, ["condition"], "v"))), ("tests", sinks.u_lines(tests, "REF"))], str(tmp_path))
+    lines = (tmp_path / "stats.txt").read_text().split("\n")
+    assert lines[0] == "-- summary --" and lines[1] == "               a: n=    3  mean=2.3333  median=2.0000  sd=1.5275" and lines[3] == "               c: (no data)"
+    assert lines[5] == "-- tests --" and lines[6].startswith("  REF vs a           : p=") and lines[6].endswith("(n_ref=2, n=3)") and "Δmed=+0.0000" in lines[6]
+    paired = spark.createDataFrame([("a-b", 0.01, 0.02, 0.5, 9), ("a-c", None, None, None, 2)], "pair string, p double, p_holm double, rank_biserial double, n_pairs int")
+    assert [r.line for r in sinks.signed_rank_lines(paired).collect()] == ["  a-b                 : p=0.0100  p_holm=0.0200*  r=+0.50  (n_pair=9)", "  a-c                 : no test (n_pair=2)"]
