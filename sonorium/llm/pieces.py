@@ -19,12 +19,12 @@ the text all the same.
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
@@ -49,7 +49,7 @@ PART = 256
 #: A text with more rows than this, and than one in HOT_SHARE of all rows, is dealt to several tasks.
 HOT, HOT_SHARE = 1_000, 10_000
 #: Texts are compressed so much while they are shuffled.
-LEVEL = 4
+LEVEL = 3
 #: Of the digest: places of pieces count modulo this.
 PRIME = 1_000_003
 
@@ -335,8 +335,9 @@ def _encoded(docs: DataFrame, table: Table, carry: str, finish: Callable[[pa.Rec
             yield pa.RecordBatch.from_arrays([batch["_k"].take(of), batch["_l"].take(of), pa.array(u.hash[at].view(np.int64))], ["_k", "_l", "_hash"])
 
     def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=LEVEL).compress
         for batch in slices(batches):
-            packed_ = [zlib.compress(x, LEVEL) for x in batch["text"].cast(pa.binary()).to_pylist()]
+            packed_ = [pack(x) for x in batch["text"].cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["_carry"], batch["_k"], batch["_l"], pa.array(packed_, pa.binary())], ["_carry", "_k", "_l", "_z"])
 
     def met(docs_: DataFrame, salts: DataFrame | None) -> DataFrame:
@@ -366,8 +367,9 @@ def _encoded(docs: DataFrame, table: Table, carry: str, finish: Callable[[pa.Rec
     joined = joined.union(without)
 
     def unsqueezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in slices(batches, "_z", SLICE_BYTES // 4):
-            text = pa.array([zlib.decompress(x).decode() if x else None if x is None else "" for x in batch["_z"].to_pylist()], pa.string())
+            text = pa.array([unpack(x).decode() if x else None if x is None else "" for x in batch["_z"].to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([batch["_carry"], text, batch["_own"]], ["_carry", "text", "_own"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
